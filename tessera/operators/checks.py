@@ -52,7 +52,7 @@ def is_same_multiset(before: DataFrame, after: DataFrame) -> bool:
 
 def shrunk_tables(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tables present before and after whose row count fell (warning only)."""
-    b = before.select(F.col("table"), F.col("rows").alias("rows_before"))
-    a = after.select(F.col("table").alias("a_table"), F.col("rows").alias("rows_after"))
-    j = b.join(a, b["table"] == a["a_table"], "inner")
-    return j.where(F.col("rows_after") < F.col("rows_before")).select("table", "rows_before", "rows_after")
+    b = before.select(F.col("table_name"), F.col("rows").alias("rows_before"))
+    a = after.select(F.col("table_name"), F.col("rows").alias("rows_after"))
+    j = b.join(a, "table_name", "inner")
+    return j.where(F.col("rows_after") < F.col("rows_before")).select("table_name", "rows_before", "rows_after")

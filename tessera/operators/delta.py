@@ -203,7 +203,9 @@ def upsert_watermarks(old: DataFrame, advances: DataFrame, full_refresh: bool =
     (``coalesce`` covers an absent old mark). ``last_delta_rows`` counts every
     staged row, re-delivered ones included.
     """
-    adv = advances.where(F.coalesce("mark_ts", F.col("mark_date").cast("string"), F.col("mark_int").cast("string")).isNotNull())
+    adv = advances.where(
+        F.col("mark_ts").isNotNull() | F.col("mark_date").isNotNull() | F.col("mark_int").isNotNull()
+    )
     a = adv.select(*[F.col(c).alias("n_" + c) for c in WATERMARK_SCHEMA.fieldNames()])
     j = old.join(a, old["source"] == a["n_source"], "full_outer")
     has_new = F.col("n_source").isNotNull()

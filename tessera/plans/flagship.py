@@ -17,7 +17,7 @@ SELECT o.o_orderkey                        AS order_id,
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n   ON c.c_nationkey = n.n_nationkey
-"""
+{where}"""
 
 ORDERS_DAILY = """
 SELECT order_date,
@@ -28,7 +28,8 @@ GROUP BY order_date, region
 """
 
 
-def orders_product(sf_dir: str) -> Product:
+def orders_product(sf_dir: str, where: str | None = None) -> Product:
+    stg = STG_ORDERS.format(where=f"WHERE {where}\n" if where else "")
     return Product(
         name="orders",
         description="Daily order revenue per nation.",
@@ -36,7 +37,7 @@ def orders_product(sf_dir: str) -> Product:
             t: Source(name=t, kind="raw", uri=f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")
         },
         transforms=[
-            Transform(name="stg_orders", sql=STG_ORDERS, path="sql/stg_orders.sql"),
+            Transform(name="stg_orders", sql=stg, path="sql/stg_orders.sql"),
             Transform(name="orders_daily", sql=ORDERS_DAILY, path="sql/orders_daily.sql"),
         ],
         exports=[
@@ -69,12 +70,18 @@ def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_table("orders_daily", result.version)
 
 
-FLAGSHIP_ORACLE = """
+def flagship_oracle(where: str | None = None) -> str:
+    """The flagship result stated directly in SQL (DuckDB and Spark both run it)."""
+    return f"""
 SELECT CAST(o.o_orderdate AS DATE) AS order_date,
        n.n_name AS region,
        CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS revenue
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
-GROUP BY 1, 2
+{"WHERE " + where if where else ""}
+GROUP BY CAST(o.o_orderdate AS DATE), n.n_name
 """
+
+
+FLAGSHIP_ORACLE = flagship_oracle()
