@@ -1241,7 +1241,8 @@ _sql(
     """SELECT l_returnflag, l_linestatus,
               CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS sum_qty,
               CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS sum_price,
-              CAST(SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS sum_disc_price,
+              CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))))
+                   AS DECIMAL(20,4)) AS sum_disc_price,
               count(*) AS count_order, count(DISTINCT l_orderkey) AS n_orders
        FROM lineitem
        GROUP BY l_returnflag, l_linestatus
@@ -1369,7 +1370,7 @@ _sql(
               CAST(embedding[-1] AS DOUBLE) AS last,
               struct_pack(id := vec_id, label := label).label AS via_struct,
               map(['k'], [label])['k'] AS via_map,
-              len(list_filter(embedding, x -> x > 0)) AS n_positive
+              len(list_filter(embedding, lambda x: x > 0)) AS n_positive
        FROM embeddings""",
     tables=("embeddings",),
 )
