@@ -79,7 +79,7 @@ def preflight(spark: SparkSession, sql: str) -> Preflight:
     except (ParseException, AnalysisException):
         raise
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         return Preflight(ok=True, bytes=size)
     except Exception as e:  # statistics unavailable: warn, do not fail
         return Preflight(ok=True, bytes=None, warning=f"size estimate unavailable: {e}")
