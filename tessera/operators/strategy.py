@@ -56,13 +56,8 @@ def null_key_counts(df: DataFrame, key: list[str]) -> DataFrame:
 
 def check_null_keys(df: DataFrame, key: list[str], label: str) -> None:
     row = null_key_counts(df, key).first()
-    for k in key:
-        n = int(row[k] or 0)
-        if n > 0:
-            raise GuardError(
-                f"transform {label!r}: key column {k!r} is NULL in {n} staged rows; a NULL key cannot be "
-                f"matched and would add a new copy every run. Make {k!r} NOT NULL or filter those rows out"
-            )
+    stats = GuardStats({k: int(row[k] or 0) for k in key}, 0, set())
+    enforce_guards(df, key, stats, label)
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -81,17 +76,7 @@ def top_duplicates(dups: DataFrame, key: list[str], k: int = DUP_SAMPLE) -> Data
 
 
 def check_duplicate_keys(df: DataFrame, key: list[str], label: str) -> None:
-    dups = duplicate_keys(df, key)
-    sample = top_duplicates(dups, key).collect()  # at most DUP_SAMPLE rows
-    if not sample:
-        return
-    total = dups.count()  # failure path only
-    shown = ", ".join(f"{r['key_display']} ({r['n']}x)" for r in sample)
-    raise GuardError(
-        f"transform {label!r}: key {key} is not unique in the staged delta: {total} key value(s) occur more "
-        f"than once (e.g. {shown}). Keep one row per key in the SELECT (keep_latest / row_number() = 1 over "
-        f"the key, ordered by the column that should win)"
-    )
+    enforce_guards(df, key, guard_stats(df, key, 1), label)
 
 
 def schema_drift(staged: T.StructType, table: T.StructType) -> str | None:
@@ -152,15 +137,48 @@ def _conform(delta: DataFrame, schema: T.StructType) -> DataFrame:
     return delta.select(*[F.col(lower[f.name.lower()]).alias(f.name) for f in schema.fields])
 
 
-def _keys(delta: Staged, key: list[str]) -> DataFrame:
-    k = delta.df.select(*key)
-    return F.broadcast(k) if delta.bytes <= BROADCAST_DELTA_BYTES else k
+@dataclass
+class GuardStats:
+    nulls: dict[str, int]
+    duplicate_keys: int
+    touched: set[int]
 
 
-def _touched_buckets(delta: DataFrame, key: list[str], buckets: int) -> set[int]:
-    # At most `buckets` small ints reach the driver.
-    rows = delta.select(bucket_of(key, buckets).alias("b")).distinct().collect()
-    return {int(r["b"]) for r in rows}
+def guard_stats(delta: DataFrame, key: list[str], buckets: int) -> GuardStats:
+    """D8 + D9 + touched buckets in one job: one ``groupBy(key)`` and a global aggregate over the groups.
+
+    NULL keys form their own groups, so their row counts fall out of the same
+    pass; ``collect_set`` of bucket ids is bounded by the bucket count.
+    """
+    groups = delta.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    aggs = [F.coalesce(F.sum(F.when(F.col(k).isNull(), F.col("__n"))), F.lit(0)).alias(f"__null{i}")
+            for i, k in enumerate(key)]
+    aggs.append(F.count_if(F.col("__n") > 1).alias("__dups"))
+    aggs.append(F.collect_set(bucket_of(key, buckets)).alias("__touched"))
+    r = groups.agg(*aggs).first()
+    return GuardStats(
+        nulls={k: int(r[f"__null{i}"]) for i, k in enumerate(key)},
+        duplicate_keys=int(r["__dups"]),
+        touched={int(b) for b in (r["__touched"] or [])},
+    )
+
+
+def enforce_guards(delta: DataFrame, key: list[str], stats: GuardStats, label: str) -> None:
+    """Raise in the fixed order: NULL keys first, then duplicate keys (with a sample)."""
+    for k in key:
+        if stats.nulls[k] > 0:
+            raise GuardError(
+                f"transform {label!r}: key column {k!r} is NULL in {stats.nulls[k]} staged rows; a NULL key cannot "
+                f"be matched and would add a new copy every run. Make {k!r} NOT NULL or filter those rows out"
+            )
+    if stats.duplicate_keys > 0:
+        sample = top_duplicates(duplicate_keys(delta, key), key).collect()  # failure path only
+        shown = ", ".join(f"{r['key_display']} ({r['n']}x)" for r in sample)
+        raise GuardError(
+            f"transform {label!r}: key {key} is not unique in the staged delta: {stats.duplicate_keys} key value(s) "
+            f"occur more than once (e.g. {shown}). Keep one row per key in the SELECT (keep_latest / "
+            f"row_number() = 1 over the key, ordered by the column that should win)"
+        )
 
 
 def land_replace(store: Store, df: DataFrame, table: str, statement: str | None = None) -> Landing:
@@ -190,13 +208,14 @@ def land_keyed(
         # The table takes the delta's schema.
         nb = buckets or buckets_for_bytes(staged.bytes)
         current = TableState(name=table, schema=delta.schema, key=list(key), buckets=nb, strategy=strategy)
-    check_null_keys(delta, key, label)
-    check_duplicate_keys(delta, key, label)
+    nb = current.buckets or buckets_for_bytes(staged.bytes)
+    stats = guard_stats(delta, key, nb)
+    enforce_guards(delta, key, stats, label)
     if full_refresh:
         # Rebuild from the staged rows; drift is allowed, guards above still ran.
-        nb = current.buckets or buckets_for_bytes(staged.bytes)
         parts, rows = store.write_bucketed(delta, table, key, nb)
-        st = TableState(table, delta.schema, list(key), nb, parts, rows, strategy, statement)
+        st = TableState(table, delta.schema, list(key), nb, parts, rows, strategy, statement,
+                        touched=sorted(p["bucket"] for p in parts))
         return Landing(st, rows, len(parts), nb)
     drift = schema_drift(delta.schema, current.schema)
     if drift:
@@ -205,29 +224,41 @@ def land_keyed(
             "run a full refresh to rebuild it with the new shape"
         )
     delta = _conform(delta, current.schema)
-    nb = current.buckets
     if staged.rows == 0:
-        return Landing(current, 0, 0, nb)
-    touched = _touched_buckets(delta, key, nb)
+        st = TableState(table, current.schema, list(key), nb, current.parts, current.rows, strategy, statement,
+                        touched=[])
+        return Landing(st, 0, 0, nb)
+    touched = stats.touched
+    if not current.parts:
+        # Empty table: nothing to reconcile against.
+        parts, rows = store.write_bucketed(delta, table, key, nb)
+        st = TableState(table, current.schema, list(key), nb, parts, rows, strategy, statement, touched=sorted(touched))
+        return Landing(st, rows, len(parts), nb)
     target = store.read_state(current, touched)
+    small = staged.bytes <= BROADCAST_DELTA_BYTES
     if strategy == "append":
         # Only keys absent from the table; stored rows are never rewritten.
-        existing = target.select(*key).join(_keys(staged, key), key, "left_semi")
-        new_rows = delta.join(F.broadcast(existing) if staged.bytes <= BROADCAST_DELTA_BYTES else existing, key, "left_anti")
+        if small:
+            # Broadcast the delta's keys into the touched-bucket scan; what matches is at most the delta.
+            existing = target.select(*key).join(F.broadcast(delta.select(*key)), key, "left_semi")
+            new_rows = delta.join(F.broadcast(existing), key, "left_anti")
+        else:
+            new_rows = delta.join(target.select(*key), key, "left_anti")
         parts, rows = store.write_bucketed(new_rows, table, key, nb)
-        merged_parts = current.parts + parts
-        st = TableState(table, current.schema, list(key), nb, _sorted(merged_parts), current.rows + rows, strategy, statement)
+        st = TableState(table, current.schema, list(key), nb, _sorted(current.parts + parts), current.rows + rows,
+                        strategy, statement, touched=sorted(p["bucket"] for p in parts))
         return Landing(st, rows, len(parts), nb)
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
     seen = Observation(f"t_{uuid.uuid4().hex[:8]}")
     target = target.observe(seen, F.count(F.lit(1)).alias("rows"))
-    kept = target.join(_keys(staged, key), key, "left_anti")
-    rewritten = kept.unionByName(delta)
+    keys = F.broadcast(delta.select(*key)) if small else delta.select(*key)
+    rewritten = target.join(keys, key, "left_anti").unionByName(delta)
     parts, rows = store.write_bucketed(rewritten, table, key, nb)
     carried = [p for p in current.parts if p.get("bucket") not in touched]
     # Untouched buckets keep their rows; touched buckets lose what was read and hold `rows` now.
     total = current.rows - int(seen.get["rows"]) + rows
-    st = TableState(table, current.schema, list(key), nb, _sorted(carried + parts), total, strategy, statement)
+    st = TableState(table, current.schema, list(key), nb, _sorted(carried + parts), total, strategy, statement,
+                    touched=sorted(touched))
     return Landing(st, rows, len(touched), nb)
 
 

@@ -180,11 +180,8 @@ def run(
 
         verifications: list[Verification] = []
         if verify and product.exports:
-            frames = {n: store.read_state(st) for n, st in new_tables.items()}
-            for e in product.exports:
-                if e.bind is not None:
-                    frames[e.bind] = spark.table(e.bind)
-            verifications = verify_all(product.exports, frames)
+            frames, totals = verification_frames(spark, store, product, new_tables)
+            verifications = verify_all(product.exports, frames, totals=totals)
 
         if replay_check:
             replay(spark, store, product, new_tables)
@@ -211,6 +208,24 @@ def run(
             s.cleanup()
 
 
+def verification_frames(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState]):
+    """What each export is verified on: the whole table, or only the rewritten buckets of a keyed one."""
+    frames: dict[str, DataFrame] = {}
+    totals: dict[str, int] = {}
+    for e in product.exports:
+        if e.bind is not None:
+            frames[e.route] = spark.table(e.bind)
+            continue
+        st = tables[e.table]
+        grain = {g.lower() for g in e.grain}
+        if st.key and st.touched is not None and grain and {k.lower() for k in st.key} <= grain:
+            frames[e.route] = store.read_state(st, set(st.touched))
+            totals[e.route] = st.rows
+        else:
+            frames[e.route] = store.read_state(st)
+    return frames, totals
+
+
 def replay(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState]) -> None:
     """Evaluate every transform again on the identical staged inputs; each table must be the same multiset.
 

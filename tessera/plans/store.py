@@ -64,6 +64,7 @@ class TableState:
     rows: int = 0
     strategy: str = "replace"
     statement: str | None = None
+    touched: list[int] | None = None  # buckets rewritten by the landing that produced this state
 
     def to_json(self) -> dict:
         return {
@@ -75,6 +76,7 @@ class TableState:
             "rows": int(self.rows),
             "strategy": self.strategy,
             "statement": self.statement,
+            "touched": self.touched,
         }
 
     @staticmethod
@@ -88,6 +90,7 @@ class TableState:
             rows=int(d.get("rows") or 0),
             strategy=d.get("strategy", "replace"),
             statement=d.get("statement"),
+            touched=d.get("touched"),
         )
 
     def dirs(self, buckets: set[int] | None = None) -> list[str]:
