@@ -262,6 +262,31 @@ def land_keyed(
     return Landing(st, rows, len(touched), nb)
 
 
+# A bucket holding more directories than this is rewritten into one by the next landing.
+COMPACT_DIRS_PER_BUCKET = 8
+
+
+def compact(store: Store, state: TableState, max_dirs: int = COMPACT_DIRS_PER_BUCKET) -> tuple[TableState, int]:
+    """Rewrite buckets that accumulated more than ``max_dirs`` directories (appends add one per run).
+
+    Only the crowded buckets are read and rewritten; rows are unchanged, so the
+    result keeps the row count. Returns (new state, buckets compacted).
+    """
+    if not state.buckets:
+        return state, 0
+    per: dict[int, int] = {}
+    for p in state.parts:
+        per[p["bucket"]] = per.get(p["bucket"], 0) + 1
+    crowded = {b for b, n in per.items() if n > max_dirs}
+    if not crowded:
+        return state, 0
+    parts, _ = store.write_bucketed(store.read_state(state, crowded), state.name, state.key, state.buckets)
+    kept = [p for p in state.parts if p["bucket"] not in crowded]
+    out = TableState(state.name, state.schema, state.key, state.buckets, _sorted(kept + parts), state.rows,
+                     state.strategy, state.statement, touched=state.touched)
+    return out, len(crowded)
+
+
 def _sorted(parts: list[dict]) -> list[dict]:
     return sorted(parts, key=lambda p: (p.get("bucket") is None, p.get("bucket") or 0, p["dir"]))
 

@@ -149,3 +149,30 @@ def fleet(spark: SparkSession, prefix: str) -> DataFrame:
         "product", "readable", F.col("e.route").alias("route"), F.col("e.version").alias("version"),
         F.col("e.contract").alias("contract"), F.array_join("e.grain", ",").alias("grain"),
     ).orderBy("product", "route")
+
+
+def source_check_record(product: Product, verifications, profile: str = "default") -> dict:
+    """what was verified, against which interface and profile."""
+    return {
+        "product": product.name,
+        "profile": profile,
+        "config_digest": interface_digest(product),
+        "ok": all(v.ok for v in verifications),
+        "grain": [v.grain for v in verifications if v.grain],
+        "failures": [f for v in verifications for f in v.failures],
+    }
+
+
+def write_source_check(spark: SparkSession, root: str, product: Product, verifications, profile: str = "default") -> dict:
+    rec = source_check_record(product, verifications, profile)
+    fs.write_text(spark, fs.join(root, "source_check.json"), json.dumps(rec), overwrite=True)
+    return rec
+
+
+def source_check_fresh(spark: SparkSession, root: str, product: Product, profile: str = "default") -> bool:
+    """Fresh only when both the interface digest and the profile match the recorded check."""
+    path = fs.join(root, "source_check.json")
+    if not fs.exists(spark, path):
+        return False
+    rec = json.loads(fs.read_text(spark, path))
+    return rec.get("config_digest") == interface_digest(product) and rec.get("profile") == profile and rec.get("ok")

@@ -32,7 +32,7 @@ from tessera.operators.delta import (
     validate_cursor,
     watermarks_df,
 )
-from tessera.operators.strategy import append_by_key, land_keyed, land_replace, upsert_by_key
+from tessera.operators.strategy import append_by_key, compact, land_keyed, land_replace, upsert_by_key
 from tessera.operators.verify import Verification, verify_all
 from tessera.plans.store import Store, TableState, iso, utc_now
 from tessera.sources.jdbc import read_jdbc
@@ -155,6 +155,9 @@ def run(
                     store, staged, t.name, t.key, t.strategy, current.get(t.name),
                     full_refresh=full_refresh, label=t.label, buckets=t.buckets, statement=stmt,
                 )
+                landing.state, n_compacted = compact(store, landing.state)
+                if n_compacted:
+                    warnings.append(f"table {t.name!r}: compacted {n_compacted} bucket(s)")
             new_tables[t.name] = landing.state
             store.read_state(landing.state).createOrReplaceTempView(t.name)
             transforms_info.append({
@@ -208,6 +211,36 @@ def run(
             s.cleanup()
 
 
+def verify_published(
+    spark: SparkSession, product: Product, root: str, version: int | None = None, raise_on_failure: bool = True,
+) -> list[Verification]:
+    """3.3 ``verify``: check the committed snapshot (bound exports against their live sources).
+
+    Schema checks need no job; each export with a grain costs one aggregate.
+    Writes a source-check record with the interface digest so a later check
+    can tell whether it is still fresh.
+    """
+    from tessera.plans.catalog import write_source_check
+
+    store = Store(spark, root)
+    tables = store.tables(version)
+    for src in product.sources.values():
+        if any(e.bind == src.name for e in product.exports):
+            df, _ = read_source(spark, src)
+            df.createOrReplaceTempView(src.name)
+    frames: dict[str, DataFrame] = {}
+    for e in product.exports:
+        frames[e.route] = spark.table(e.bind) if e.bind is not None else store.read_state(tables[e.table])
+    out = verify_all(product.exports, frames, raise_on_failure=False)
+    write_source_check(spark, root, product, out)
+    fails = [f for v in out for f in v.failures]
+    if fails and raise_on_failure:
+        from tessera.errors import VerifyError
+
+        raise VerifyError("verification failed:\n  " + "\n  ".join(fails))
+    return out
+
+
 def verification_frames(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState]):
     """What each export is verified on: the whole table, or only the rewritten buckets of a keyed one."""
     frames: dict[str, DataFrame] = {}

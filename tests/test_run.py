@@ -152,3 +152,31 @@ def test_expire_and_orphan_sweep(spark, sf, root):
     refs = {r.dir for r in store.referenced_dirs_df().collect()}
     files = {r.dir for r in store.data_files_df().collect()}
     assert files == refs
+
+
+def test_compaction_bounds_directories_per_bucket(spark, sf, root):
+    from tessera.operators import strategy
+    store = Store(spark, root)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    state = None
+    for lo in range(0, 1500, 100):
+        staged = stage_parquet(orders.where(f"o_orderkey >= {lo} AND o_orderkey < {lo + 100}"))
+        state = strategy.land_keyed(store, staged, "o", ["o_orderkey"], "append", state, buckets=8).state
+    before = max(sum(1 for p in state.parts if p["bucket"] == b) for b in range(8))
+    compacted, n = strategy.compact(store, state, max_dirs=4)
+    after = max(sum(1 for p in compacted.parts if p["bucket"] == b) for b in range(8))
+    assert before > 4 and n > 0 and after <= 4
+    assert store.read_state(compacted).count() == orders.count() == compacted.rows
+
+
+def test_verify_published_and_source_check(spark, sf, root):
+    from tessera.plans import catalog as cat
+    from tessera.plans.run import verify_published
+    p = flagship.orders_product(sf)
+    run(spark, p, root)
+    out = verify_published(spark, p, root)
+    assert all(v.ok for v in out) and cat.source_check_fresh(spark, root, p)
+    p.exports[0].schema["revenue"] = ColumnSpec("double")
+    assert not cat.source_check_fresh(spark, root, p)
+    with pytest.raises(VerifyError, match="declared double"):
+        verify_published(spark, p, root)
