@@ -125,12 +125,20 @@ def schema_report(spark: SparkSession, exports: list[Export], frames: dict[str,
     return rep.withColumn("ok", ok)
 
 
-def native_type_report(declared: DataFrame, native: DataFrame, connector: str = "bigquery") -> DataFrame:
-    """declared (column, declared) joined to native (column, native_type); the native rule wins where known."""
-    d = declared.withColumn("__c", F.lower("column"))
-    n = native.select(F.lower("column").alias("__c"), "native_type")
-    j = d.join(n, "__c", "left")
-    ok = F.when(F.col("native_type").isNotNull(), native_type_ok_col(connector, F.col("declared"), F.col("native_type"))).otherwise(
-        type_ok_col(F.col("declared"), F.col("actual"))
-    )
-    return j.drop("__c").withColumn("ok", ok)
+def native_type_report(
+    declared: DataFrame, native: DataFrame, on: list[str] | None = None, connector: str = "bigquery"
+) -> DataFrame:
+    """declared (on..., declared, actual) left-joined to native (on..., native_type); the native rule wins.
+
+    Column names match case-insensitively. Where no native type is known the
+    local (Spark type) rule applies.
+    """
+    on = on or ["column"]
+    d = declared.select("*", *[F.lower(F.col(c)).alias(f"__k{i}") for i, c in enumerate(on)])
+    n = native.select(*[F.lower(F.col(c)).alias(f"__k{i}") for i, c in enumerate(on)], "native_type")
+    keys = [f"__k{i}" for i in range(len(on))]
+    j = d.join(n, keys, "left")
+    ok = F.when(
+        F.col("native_type").isNotNull(), native_type_ok_col(connector, F.col("declared"), F.col("native_type"))
+    ).otherwise(type_ok_col(F.col("declared"), F.col("actual")))
+    return j.drop(*keys).withColumn("ok", ok)

@@ -18,21 +18,29 @@ QUERY_TYPES = ("VIEW", "MATERIALIZED VIEW", "EXTERNAL")
 
 
 def fold_objects(meta: DataFrame) -> DataFrame:
-    """Per object: its type, column->type map and non-blank column descriptions."""
+    """Per object: its type, column->type map and non-blank column descriptions.
+
+    One scan, two aggregates: repeated metadata rows collapse per (object,
+    kind, column) first, then each object folds its rows. Both levels combine
+    map-side, so an object repeated across many rows is reduced per task.
+    """
     k, v1, v2 = F.col("k"), F.col("v1"), F.col("v2")
-    # One row per (object, column) first, so repeated metadata rows never clash in a map.
-    cols = (
-        meta.where(k == "C").groupBy("n", "v1").agg(F.max(v2).alias("v2"))
-        .groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("v1", "v2"))).alias("columns"))
+    rows = meta.where(k.isin("T", "C", "D") & ((k == "T") | v1.isNotNull()))
+    blank = F.trim(F.coalesce(v2, F.lit(""))) == ""
+    level1 = rows.groupBy(
+        "n", "k", F.when(k == "T", F.lit(None).cast("string")).otherwise(v1).alias("c")
+    ).agg(
+        F.max(F.when(k == "T", v1)).alias("t"),
+        F.max(F.when(~((k == "D") & blank), v2)).alias("v"),
     )
-    descs = (
-        meta.where((k == "D") & (F.trim(F.coalesce(v2, F.lit(""))) != ""))
-        .groupBy("n", "v1").agg(F.max(v2).alias("v2"))
-        .groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("v1", "v2"))).alias("descriptions"))
+    k1, c, v = F.col("k"), F.col("c"), F.col("v")
+    return level1.groupBy("n").agg(
+        F.max("t").alias("object_type"),
+        F.map_from_entries(F.collect_list(F.when(k1 == "C", F.struct(c.alias("v1"), v.alias("v2"))))).alias("columns"),
+        F.map_from_entries(
+            F.collect_list(F.when((k1 == "D") & v.isNotNull(), F.struct(c.alias("v1"), v.alias("v2"))))
+        ).alias("descriptions"),
     )
-    types = meta.where(k == "T").groupBy("n").agg(F.max(v1).alias("object_type"))
-    names = meta.select("n").distinct()
-    return names.join(types, "n", "left").join(cols, "n", "left").join(descs, "n", "left")
 
 
 def classify_objects(meta: DataFrame) -> DataFrame:
@@ -49,12 +57,11 @@ def classify_objects(meta: DataFrame) -> DataFrame:
         F.col("n").alias("object"),
         "object_type",
         kind.alias("kind"),
-        F.coalesce(F.size("columns"), F.lit(0)).cast("long").alias("n_columns"),
-        F.coalesce(F.size("descriptions"), F.lit(0)).cast("long").alias("n_described"),
+        F.size("columns").cast("long").alias("n_columns"),
+        F.size("descriptions").cast("long").alias("n_described"),
         "columns",
         "descriptions",
-    ).withColumn("n_columns", F.when(F.col("columns").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_columns"))) \
-     .withColumn("n_described", F.when(F.col("descriptions").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_described")))
+    )
 
 
 def source_descriptions(meta: DataFrame) -> DataFrame:
