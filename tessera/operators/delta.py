@@ -137,6 +137,26 @@ def stage_delta(
     return staged, Advance(source, cursor, kind, staged.rows, new_max)
 
 
+def pinned_delta(
+    df: DataFrame, cursor: str, mark=None, lookback: str | None = None, source: str = "source"
+) -> tuple[DataFrame, Advance]:
+    """The delta of a file source without copying it.
+
+    A file source resolves its file list once, when it is read, and every later
+    use of that DataFrame (guards, landing, replay) scans the same files, so the
+    rows are already pinned. Count and ``max(cursor)`` come from one aggregate
+    that reads only the cursor column, with the watermark filter pushed to the scan.
+    """
+    kind, _ = validate_cursor(df, cursor, source)
+    window = validate_lookback(kind, lookback, source)
+    delta = delta_filter(df, cursor, apply_lookback(mark, kind, window))
+    r = compute_advance(delta, cursor).first()
+    new_max = r["new_max"]
+    if kind == "integer" and new_max is not None:
+        new_max = int(new_max)
+    return delta, Advance(source, cursor, kind, int(r["rows"]), new_max)
+
+
 def compute_advance(delta: DataFrame, cursor: str) -> DataFrame:
     """B7 as a DataFrame: rows and max(cursor) of a delta in one aggregate."""
     return delta.agg(F.count(F.lit(1)).alias("rows"), F.max(cursor).alias("new_max"))

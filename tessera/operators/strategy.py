@@ -212,7 +212,9 @@ def land_keyed(
     stats = guard_stats(delta, key, nb)
     enforce_guards(delta, key, stats, label)
     if full_refresh:
-        # Rebuild from the staged rows; drift is allowed, guards above still ran.
+        # Rebuild from the staged rows; drift is allowed, guards above still ran. The bucket
+        # count is chosen again from the rebuilt size, so a table that grew gets more buckets.
+        nb = buckets or buckets_for_bytes(staged.bytes)
         parts, rows = store.write_bucketed(delta, table, key, nb)
         st = TableState(table, delta.schema, list(key), nb, parts, rows, strategy, statement,
                         touched=sorted(p["bucket"] for p in parts))

@@ -27,6 +27,7 @@ from tessera.operators.delta import (
     assert_unique_watermarks,
     mark_for,
     marks_to_json,
+    pinned_delta,
     stage_delta,
     upsert_watermarks,
     validate_cursor,
@@ -126,11 +127,19 @@ def run(
             kind, warns = validate_cursor(df, src.incremental.cursor, src.name)
             warnings += warns
             mark = None if full_refresh else mark_for(old_marks, src.name, kind)
-            staged, adv = stage_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
-            staged_all.append(staged)
+            if src.kind == "raw":
+                # Files are pinned at read: no copy needed for a consistent delta.
+                delta_df, adv = pinned_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
+                info.update(staged=False)
+            else:
+                # A live database can change between reads: stage the delta once.
+                staged, adv = stage_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
+                staged_all.append(staged)
+                delta_df = staged.df
+                info.update(staged=True, bytes=staged.bytes)
             advances.append(adv)
-            staged.df.createOrReplaceTempView(src.name)
-            info.update(incremental=True, rows=staged.rows, bytes=staged.bytes,
+            delta_df.createOrReplaceTempView(src.name)
+            info.update(incremental=True, rows=adv.rows,
                         mode="full_refresh" if full_refresh else ("bootstrap" if mark is None else "delta"))
         else:
             df.createOrReplaceTempView(src.name)

@@ -41,7 +41,7 @@ COMMIT_ATTEMPTS = 3
 # Target bytes per bucket when a keyed table is created without an explicit count.
 BUCKET_TARGET_BYTES = 256 * 1024 * 1024
 MIN_BUCKETS = 8
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384
 
 
 def utc_now() -> datetime:

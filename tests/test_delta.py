@@ -106,3 +106,16 @@ def test_status_and_diff(spark):
                       {"source": "only_target", "cursor_column": "id", "mark_int": 1}])
     d = {r.source: r.change for r in delta.watermark_diff(cur, tgt).collect()}
     assert d == {"a": "rewind", "b": "absent_in_target"}
+
+
+def test_file_source_delta_is_pinned_at_read(spark, tmp_path):
+    """A file source's delta keeps its file list: files landing mid-run are not half-seen."""
+    path = str(tmp_path / "src")
+    spark.createDataFrame([(1, 10), (2, 20)], "id long, c long").write.parquet(path)
+    src = spark.read.parquet(path)
+    d, adv = delta.pinned_delta(src, "c", 5, source="s")
+    assert adv.rows == 2 and adv.new_max == 20
+    spark.createDataFrame([(3, 30)], "id long, c long").write.mode("append").parquet(path)
+    d.createOrReplaceTempView("pinned_src")
+    assert sorted(r.id for r in spark.sql("SELECT id FROM pinned_src").collect()) == [1, 2]
+    assert d.count() == adv.rows
