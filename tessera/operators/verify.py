@@ -99,8 +99,19 @@ def verify_all(
     totals: dict[str, int] | None = None,
 ) -> list[Verification]:
     totals = totals or {}
-    out = [verify_export(e, frames[e.route] if e.route in frames else frames[e.bind or e.table],
-                         total_rows=totals.get(e.route)) for e in exports]
+
+    def one(e: Export) -> Verification:
+        df = frames[e.route] if e.route in frames else frames[e.bind or e.table]
+        return verify_export(e, df, total_rows=totals.get(e.route))
+
+    # Exports are independent jobs: submit them together so small ones share the cluster.
+    if len(exports) > 1:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=min(8, len(exports))) as pool:
+            out = list(pool.map(one, exports))
+    else:
+        out = [one(e) for e in exports]
     fails = [f for v in out for f in v.failures]
     if fails and raise_on_failure:
         raise VerifyError("verification failed:\n  " + "\n  ".join(fails))

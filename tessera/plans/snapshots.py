@@ -183,13 +183,30 @@ def orphan_files(listing: DataFrame, referenced: DataFrame, cutoff) -> DataFrame
     return old.join(refs, "dir", "left_anti")
 
 
+def orphan_deletions(orphans: DataFrame, referenced: DataFrame) -> DataFrame:
+    """What to delete for a set of orphan directories, as few paths as possible.
+
+    A write directory (``data/<table>/<uuid>``) none of whose buckets is
+    referenced goes as one path; a write directory some of whose buckets are
+    still carried by a manifest loses only its orphan bucket directories.
+    """
+    write_dir = r"^(data/[^/]+/[0-9a-f]{32})"
+    o = orphans.select("dir").distinct().withColumn("write_dir", F.regexp_extract("dir", write_dir, 1))
+    live = referenced.select(F.regexp_extract("dir", write_dir, 1).alias("write_dir")).distinct()
+    whole = o.join(live, "write_dir", "left_anti").select(F.col("write_dir").alias("path")).distinct()
+    partial = o.join(live, "write_dir", "left_semi").select(F.col("dir").alias("path"))
+    return whole.unionByName(partial)
+
+
 def sweep_orphans(spark: SparkSession, root: str, cutoff: datetime) -> int:
+    """Delete orphan data (G8); returns the number of paths removed."""
     store = Store(spark, root)
-    orphans = orphan_files(store.data_files_df(), store.referenced_dirs_df(), cutoff)
-    dirs = [r["dir"] for r in orphans.select("dir").distinct().collect()]
-    for d in dirs:
+    refs = store.referenced_dirs_df()
+    orphans = orphan_files(store.data_files_df(), refs, cutoff)
+    paths = [r["path"] for r in orphan_deletions(orphans, refs).collect()]  # one path per write, mostly
+    for d in paths:
         fs.delete(spark, store.path(d), True)
-    return len(dirs)
+    return len(paths)
 
 
 def manifest_json(spark: SparkSession, root: str, version: int | None = None) -> str:

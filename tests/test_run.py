@@ -147,7 +147,7 @@ def test_expire_and_orphan_sweep(spark, sf, root):
     expired = snapshots.expire(spark, root, datetime.now() + timedelta(days=1))
     assert expired == [1, 2] and store.versions() == [3]
     n = snapshots.sweep_orphans(spark, root, datetime.now() + timedelta(days=1))
-    assert n >= 3  # the failed run's directory plus the two expired versions' tables
+    assert n == 5  # one path per whole write directory: 2 tables x 2 expired versions + the failed run
     assert store.read_table("orders_daily").count() > 0  # LATEST untouched
     refs = {r.dir for r in store.referenced_dirs_df().collect()}
     files = {r.dir for r in store.data_files_df().collect()}
