@@ -244,18 +244,31 @@ def land_keyed(
             # Broadcast the delta's keys into the touched-bucket scan; what matches is at most the delta.
             existing = target.select(*key).join(F.broadcast(delta.select(*key)), key, "left_semi")
             new_rows = delta.join(F.broadcast(existing), key, "left_anti")
+            parts, rows = store.write_bucketed(new_rows, table, key, nb)
         else:
-            new_rows = delta.join(target.select(*key), key, "left_anti")
-        parts, rows = store.write_bucketed(new_rows, table, key, nb)
+            # Both sides hash-partitioned by key into B partitions, which is partitioning by bucket:
+            # the anti-join needs no further exchange and the write no rebalance.
+            d = _by_bucket(delta, key, nb)
+            new_rows = _anti(d, _by_bucket(target.select(*key), key, nb), key)
+            parts, rows = store.write_bucketed(new_rows, table, key, nb, clustered=True)
         st = TableState(table, current.schema, list(key), nb, _sorted(current.parts + parts), current.rows + rows,
                         strategy, statement, touched=sorted(p["bucket"] for p in parts))
         return Landing(st, rows, len(parts), nb)
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
     seen = Observation(f"t_{uuid.uuid4().hex[:8]}")
     target = target.observe(seen, F.count(F.lit(1)).alias("rows"))
-    keys = F.broadcast(delta.select(*key)) if small else delta.select(*key)
-    rewritten = target.join(keys, key, "left_anti").unionByName(delta)
-    parts, rows = store.write_bucketed(rewritten, table, key, nb)
+    if small:
+        # Stored rows stay where they are: every target file already holds one bucket, so only the
+        # delta is shuffled (rebalanced by bucket) before the write.
+        kept = target.join(F.broadcast(delta.select(*key)), key, "left_anti")
+        kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
+        incoming = delta.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
+    else:
+        d = _by_bucket(delta, key, nb)
+        kept = _anti(_by_bucket(target, key, nb), d.select(*key), key)
+        incoming = d
+    rewritten = kept.unionByName(incoming)
+    parts, rows = store.write_bucketed(rewritten, table, key, nb, clustered=True)
     carried = [p for p in current.parts if p.get("bucket") not in touched]
     # Untouched buckets keep their rows; touched buckets lose what was read and hold `rows` now.
     total = current.rows - int(seen.get["rows"]) + rows
@@ -264,6 +277,22 @@ def land_keyed(
     return Landing(st, rows, len(touched), nb)
 
 
+def _by_bucket(df: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    """Rows hash-partitioned by key into ``buckets`` partitions (partition id == bucket), bucket tagged."""
+    return df.repartition(buckets, *key).withColumn(BUCKET_COL, bucket_of(key, buckets))
+
+
+def _anti(left: DataFrame, right_keys: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``left`` whose key is not in ``right_keys``, keeping ``left``'s partitioning.
+
+    Written as a left outer join and a NULL test on a marker: the optimizer moves
+    a left-anti join below a repartition (and then shuffles twice), an outer join
+    it leaves in place, so both co-partitioned sides meet without another exchange.
+    """
+    marked = right_keys.select(*key, F.lit(True).alias("__hit"))
+    return left.join(marked, key, "left").where(F.col("__hit").isNull()).drop("__hit")
+
+
 # A bucket holding more directories than this is rewritten into one by the next landing.
 COMPACT_DIRS_PER_BUCKET = 8
 

@@ -12,7 +12,7 @@ A manifest lists every table's schema, key, bucket count, row count and the
 explicit directories that hold its rows, plus the watermarks and the landed
 stream batches. A reader opens one manifest and lists those directories; it
 never globs ``data/``. Keyed tables are hash-bucketed on the key
-(``pmod(xxhash64(key), B)``, B fixed at creation) so an upsert rewrites only
+(``pmod(murmur3(key), B)``, the shuffle partition id; B fixed at creation) so an upsert rewrites only
 the buckets its delta touches and carries the rest over by reference.
 
 Commit is the exclusive creation of ``versions/<N>.json`` with N one past the
@@ -77,6 +77,7 @@ class TableState:
             "strategy": self.strategy,
             "statement": self.statement,
             "touched": self.touched,
+            "bucket_function": BUCKET_FUNCTION if self.buckets else None,
         }
 
     @staticmethod
@@ -99,8 +100,19 @@ class TableState:
         return [p["dir"] for p in self.parts if p.get("bucket") in buckets]
 
 
+# Fixed value: name of the bucket function recorded in every manifest.
+BUCKET_FUNCTION = "pmod(murmur3(key), B)"
+
+
 def bucket_of(key: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
+    """Bucket of a key: Spark's own hash-partition id for ``repartition(B, *key)``.
+
+    So a shuffle on the key into B (or any power-of-two divisor or multiple of
+    B) partitions is bucket-aligned: every task holds whole buckets, joins on
+    the key need no second exchange, and the write produces one file per bucket
+    per task.
+    """
+    return F.pmod(F.hash(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
 
 def buckets_for_bytes(nbytes: int) -> int:
@@ -192,16 +204,21 @@ class Store:
         rows = int(obs.get["rows"])
         return ([{"bucket": None, "dir": rel}] if rows > 0 else []), rows
 
-    def write_bucketed(self, df: DataFrame, table: str, key: list[str], buckets: int) -> tuple[list[dict], int]:
+    def write_bucketed(
+        self, df: DataFrame, table: str, key: list[str], buckets: int, clustered: bool = False
+    ) -> tuple[list[dict], int]:
         """Write rows hash-bucketed on ``key`` into a fresh directory, one sub-directory per bucket.
 
-        ``rebalance`` on the bucket column lets AQE size the write tasks (split a
-        large bucket over several files, merge small ones) instead of one task per
-        bucket; keys are unique in a keyed table, so buckets are balanced.
+        Unless the caller says the rows are already ``clustered`` by bucket (each
+        task holding few buckets), ``rebalance`` on the bucket column lets AQE
+        size the write tasks (split a large bucket over several files, merge
+        small ones); keys are unique in a keyed table, so buckets are balanced.
         """
         rel = self._new_dir(table)
         obs = Observation(f"w_{uuid.uuid4().hex[:8]}")
-        out = df.withColumn(BUCKET_COL, bucket_of(key, buckets)).hint("rebalance", BUCKET_COL)
+        out = df if BUCKET_COL in df.columns else df.withColumn(BUCKET_COL, bucket_of(key, buckets))
+        if not clustered:
+            out = out.hint("rebalance", BUCKET_COL)
         (
             out.observe(obs, F.count(F.lit(1)).alias("rows"))
             .write.mode("errorifexists")
