@@ -140,9 +140,11 @@ def fleet(spark: SparkSession, prefix: str) -> DataFrame:
             T.StructField("contract", T.StringType()), T.StructField("grain", T.ArrayType(T.StringType()))]))),
     ])
     docs = spark.read.schema(schema).option("multiLine", "true").json(fs.join(prefix, "*", "catalog.json"))
-    known = F.col("format") == F.lit(CATALOG_FORMAT)
+    known = F.coalesce(F.col("format") == F.lit(CATALOG_FORMAT), F.lit(False))
+    # An unreadable document still names its product: the folder it sits in.
+    name = F.coalesce(F.col("product"), F.regexp_extract(F.input_file_name(), r"([^/]+)/catalog\.json$", 1))
     exploded = docs.select(
-        "product", known.alias("readable"),
+        name.alias("product"), known.alias("readable"),
         F.explode_outer(F.when(known, F.col("exports"))).alias("e"),
     )
     return exploded.select(
