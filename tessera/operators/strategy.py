@@ -255,17 +255,19 @@ def land_keyed(
                         strategy, statement, touched=sorted(p["bucket"] for p in parts))
         return Landing(st, rows, len(parts), nb)
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
+    # The rows read are counted in the write's final stage (never a map stage): result-stage metrics
+    # are applied once per partition even when lost executors force stages to re-run.
     seen = Observation(f"t_{uuid.uuid4().hex[:8]}")
-    target = target.observe(seen, F.count(F.lit(1)).alias("rows"))
+    count = F.count(F.lit(1)).alias("rows")
     if small:
         # Stored rows stay where they are: every target file already holds one bucket, so only the
         # delta is shuffled (rebalanced by bucket) before the write.
-        kept = target.join(F.broadcast(delta.select(*key)), key, "left_anti")
+        kept = target.observe(seen, count).join(F.broadcast(delta.select(*key)), key, "left_anti")
         kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
         incoming = delta.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
     else:
         d = _by_bucket(delta, key, nb)
-        kept = _anti(_by_bucket(target, key, nb), d.select(*key), key)
+        kept = _anti(_by_bucket(target, key, nb).observe(seen, count), d.select(*key), key)
         incoming = d
     rewritten = kept.unionByName(incoming)
     parts, rows = store.write_bucketed(rewritten, table, key, nb, clustered=True)
