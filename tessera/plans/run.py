@@ -215,6 +215,16 @@ def run(
         if version is not None:
             store.write_history(version, summary)
         return RunResult(version, new_tables, marks, verifications, warnings, summary)
+    except Exception as e:
+        if commit:
+            # A refused run publishes nothing but still leaves a record of what it tried.
+            store.write_failure({
+                "execution": None, "snapshot": None, "product": product.name, "started_at": iso(started),
+                "finished_at": iso(utc_now()), "outcome": f"failed: {type(e).__name__}: {e}"[:2000],
+                "full_refresh": full_refresh, "sources": sources_info, "transforms": transforms_info,
+                "warnings": warnings, "parent": parent,
+            })
+        raise
     finally:
         for s in staged_all:
             s.cleanup()

@@ -285,6 +285,14 @@ class Store:
     def write_history(self, version: int, summary: dict) -> None:
         fs.write_text(self.spark, self.path("history", f"{version}.json"), json.dumps(summary), overwrite=True)
 
+    def write_failure(self, summary: dict) -> None:
+        """A failed run's record: no version, named by time so it never collides with a commit."""
+        stamp = utc_now().strftime("%Y%m%dT%H%M%S%f")
+        try:
+            fs.write_text(self.spark, self.path("history", f"failed-{stamp}.json"), json.dumps(summary, default=str))
+        except Exception:
+            pass  # the original error matters more than its record
+
     # ----------------------------------------------------------- DataFrames over metadata
 
     def manifests_df(self) -> DataFrame:

@@ -180,3 +180,13 @@ def test_verify_published_and_source_check(spark, sf, root):
     assert not cat.source_check_fresh(spark, root, p)
     with pytest.raises(VerifyError, match="declared double"):
         verify_published(spark, p, root)
+
+
+def test_failed_run_is_recorded_in_history(spark, sf, root):
+    from tessera.plans import catalog as cat
+    run(spark, flagship.orders_product(sf), root)
+    with pytest.raises(VerifyError):
+        run(spark, _bad_grain_product(sf), root)
+    hist = cat.run_history(spark, root).select("execution", "outcome").distinct().collect()
+    outcomes = sorted((r.execution is None, r.outcome.split(":")[0]) for r in hist)
+    assert outcomes == [(False, "success"), (True, "failed")]
