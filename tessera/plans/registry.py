@@ -1029,7 +1029,14 @@ def q_probe_values(spark, sf):
     return out
 
 
-@register("probe_example")
+@register(
+    "probe_example",
+    f"""
+SELECT concat('order_date=', url_encode(CAST(order_date AS VARCHAR)), '&region=', url_encode(region)) AS example
+FROM ({flagship.FLAGSHIP_ORACLE}) t
+ORDER BY order_date NULLS LAST, region NULLS LAST LIMIT 1
+""",
+)
 def q_probe_example(spark, sf):
     views(spark, sf, "orders", "customer", "nation")
     df = spark.sql(flagship.FLAGSHIP_ORACLE)
