@@ -13,11 +13,6 @@ def key_display(cols: Sequence[str]) -> Column:
     return F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols])
 
 
-def row_hash(cols: Sequence[str]) -> Column:
-    """A 64-bit fingerprint of a whole row, NULL-aware, order of columns fixed."""
-    return F.xxhash64(*[F.col(c) for c in cols])
-
-
 def format_age(seconds: Column) -> Column:
     """Compact age text: the two largest non-zero units ('1d 3h', '2h 5m', '4m', 'just now')."""
     s = F.greatest(seconds.cast("long"), F.lit(0))

@@ -333,6 +333,3 @@ def upsert_by_key(target: DataFrame, delta: DataFrame, key: list[str]) -> DataFr
     """D2 as a pure DataFrame: the table after an upsert of ``delta``."""
     return target.join(delta.select(*key), key, "left_anti").unionByName(delta.select(*target.columns))
 
-
-def bucket_column(key: list[str], buckets: int):
-    return bucket_of(key, buckets).alias(BUCKET_COL)

@@ -148,7 +148,6 @@ def run(
 
     new_tables = dict(current)
     transforms_info = []
-    deltas: dict[str, Staged] = {}
     try:
         for t in product.transforms:
             t0 = time.monotonic()
@@ -159,7 +158,6 @@ def run(
             else:
                 staged = stage_parquet(df)
                 staged_all.append(staged)
-                deltas[t.name] = staged
                 landing = land_keyed(
                     store, staged, t.name, t.key, t.strategy, current.get(t.name),
                     full_refresh=full_refresh, label=t.label, buckets=t.buckets, statement=stmt,
