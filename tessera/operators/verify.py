@@ -17,6 +17,9 @@ from tessera.errors import VerifyError
 from tessera.model import Export
 from tessera.types import native_type_ok, native_type_ok_col, type_ok, type_ok_col
 
+# Fixed value: the name recorded for the grain measurement.
+GRAIN_CHECK = "grain_unique"
+
 
 @dataclass
 class Verification:
@@ -70,7 +73,7 @@ def grain_counts(df: DataFrame, grain: list[str]) -> DataFrame:
 
 def verify_export(
     export: Export, df: DataFrame, native: dict[str, str] | None = None, connector: str | None = None,
-    total_rows: int | None = None,
+    total_rows: int | None = None, incremental: bool = False,
 ) -> Verification:
     """F1-F6 for one export.
 
@@ -85,24 +88,30 @@ def verify_export(
         rows, distinct = int(r["rows"]), int(r["distinct_grain"])
         if total_rows is not None:
             distinct, rows = total_rows - (rows - distinct), total_rows
-        v.grain = {"check": "grain", "route": export.route, "grain": list(export.grain), "rows": rows,
+        v.grain = {"check": GRAIN_CHECK, "route": export.route, "grain": list(export.grain), "rows": rows,
                    "distinct_grain": distinct}
         if rows != distinct:
+            # With incremental sources the usual cause is a transform re-inserting a re-delivered delta.
+            hint = (
+                "; if this table consumes an incremental source, its transform is likely not replay-safe "
+                "(land it with upsert or append on a key)" if incremental else ""
+            )
             v.failures.append(
-                f"{export.route}: grain {export.grain} is not unique: {rows} rows but {distinct} distinct grain values"
+                f"{export.route}: grain {export.grain} is not unique: {rows} rows but {distinct} distinct grain "
+                f"values{hint}"
             )
     return v
 
 
 def verify_all(
     exports: list[Export], frames: dict[str, DataFrame], raise_on_failure: bool = True,
-    totals: dict[str, int] | None = None,
+    totals: dict[str, int] | None = None, incremental: bool = False,
 ) -> list[Verification]:
     totals = totals or {}
 
     def one(e: Export) -> Verification:
         df = frames[e.route] if e.route in frames else frames[e.bind or e.table]
-        return verify_export(e, df, total_rows=totals.get(e.route))
+        return verify_export(e, df, total_rows=totals.get(e.route), incremental=incremental)
 
     # Exports are independent jobs: submit them together so small ones share the cluster.
     if len(exports) > 1:

@@ -191,7 +191,8 @@ def run(
         verifications: list[Verification] = []
         if verify and product.exports:
             frames, totals = verification_frames(spark, store, product, new_tables)
-            verifications = verify_all(product.exports, frames, totals=totals)
+            verifications = verify_all(product.exports, frames, totals=totals,
+                                       incremental=bool(product.incremental_sources()))
 
         if replay_check:
             replay(spark, store, product, new_tables)
@@ -248,7 +249,7 @@ def verify_published(
     frames: dict[str, DataFrame] = {}
     for e in product.exports:
         frames[e.route] = spark.table(e.bind) if e.bind is not None else store.read_state(tables[e.table])
-    out = verify_all(product.exports, frames, raise_on_failure=False)
+    out = verify_all(product.exports, frames, raise_on_failure=False, incremental=bool(product.incremental_sources()))
     write_source_check(spark, root, product, out)
     fails = [f for v in out for f in v.failures]
     if fails and raise_on_failure:

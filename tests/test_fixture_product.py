@@ -22,7 +22,7 @@ def test_fixture_product_lifecycle(spark, root):
     assert [t.name for t in p.transforms] == ["stg_orders", "orders_daily"]
     res = run(spark, p, root)
     v = {x.route: x for x in res.verifications}
-    assert v["orders_daily@2"].grain == {"check": "grain", "route": "orders_daily@2",
+    assert v["orders_daily@2"].grain == {"check": "grain_unique", "route": "orders_daily@2",
                                          "grain": ["order_date", "region"], "rows": 4, "distinct_grain": 4}
     doc, warns = snapshots.release(spark, root, p)
     assert doc["routes"] == {"orders_daily@2": 1} and not warns

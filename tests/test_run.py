@@ -190,3 +190,16 @@ def test_failed_run_is_recorded_in_history(spark, sf, root):
     hist = cat.run_history(spark, root).select("execution", "outcome").distinct().collect()
     outcomes = sorted((r.execution is None, r.outcome.split(":")[0]) for r in hist)
     assert outcomes == [(False, "success"), (True, "failed")]
+
+
+def test_grain_failure_hints_at_replay_safety_with_incremental_sources(spark, sf, root):
+    ev = Source(name="events", uri=f"{sf}/events.parquet", incremental=Incremental("ts"))
+    p = Product(
+        name="ev", sources={"events": ev},
+        transforms=[Transform(name="acc", sql="SELECT DISTINCT user_id, event_type FROM events", strategy="append",
+                              key=["user_id", "event_type"]),
+                    Transform(name="by_user", sql="SELECT user_id, event_type FROM acc")],
+        exports=[Export(name="by_user", grain=["user_id"], schema={"user_id": ColumnSpec("bigint")})],
+    )
+    with pytest.raises(Exception, match="not replay-safe"):
+        run(spark, p, root)
