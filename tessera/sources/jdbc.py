@@ -115,28 +115,53 @@ def bigquery_options(conn: dict, table: str | None = None, query: str | None = N
     return opts
 
 
+def _ts_text(mark) -> str:
+    if isinstance(mark, datetime):
+        return mark.replace(tzinfo=None).isoformat(sep=" ")
+    return str(mark)
+
+
+def _strip_offset(text: str) -> str:
+    """Drop a trailing 'Z' or a +hh/-hh offset (only past the date's own hyphens)."""
+    if text.endswith("Z"):
+        return text[:-1]
+    pos = max(text.rfind("+"), text.rfind("-"))
+    return text[:pos] if pos > 10 else text
+
+
+def _with_offset(text: str) -> str:
+    t = text.rstrip()
+    return t if t.endswith("Z") or max(t.rfind("+"), t.rfind("-")) > 10 else t + "+00"
+
+
 def render_predicate(kind: str, cursor: str, column_type: str, mark) -> str:
-    """``cursor > <literal>`` for a query text, per column type.
+    """``cursor > <literal>`` for a server-side query text, in the warehouse's dialect.
 
-    TIMESTAMP carries a UTC offset, DATETIME none, then DATE and integers; any
-    other cursor type is refused. Only needed inside a ``query``; JDBC table
-    reads push typed filters themselves.
+    BigQuery: TIMESTAMP literals carry a UTC offset, DATETIME none, then DATE and
+    INT64; any other cursor type is refused. Snowflake: the cursor is folded to
+    upper case and quoted; literals are cast to TIMESTAMP_TZ or DATE. Only needed
+    inside a ``query``; JDBC table reads push typed filters themselves.
     """
     t = column_type.upper()
-    q = f'"{cursor}"' if kind in ("postgres", "snowflake", "jdbc") else f"`{cursor}`"
-    if t in ("TIMESTAMP", "TIMESTAMPTZ", "TIMESTAMP_TZ", "TIMESTAMP WITH TIME ZONE"):
-        if not isinstance(mark, datetime):
-            raise ConfigError(f"mark {mark!r} is not a timestamp")
-        return f"{q} > TIMESTAMP '{mark.strftime('%Y-%m-%d %H:%M:%S.%f')}+00:00'"
-    if t in ("DATETIME", "TIMESTAMP_NTZ", "TIMESTAMP WITHOUT TIME ZONE"):
-        return f"{q} > DATETIME '{mark.strftime('%Y-%m-%d %H:%M:%S.%f')}'" if kind == "bigquery" else (
-            f"{q} > TIMESTAMP '{mark.strftime('%Y-%m-%d %H:%M:%S.%f')}'"
+    if kind == "bigquery":
+        q = f"`{cursor}`"
+        if t == "TIMESTAMP":
+            return f"{q} > TIMESTAMP '{_with_offset(_ts_text(mark))}'"
+        if t == "DATETIME":
+            return f"{q} > DATETIME '{_strip_offset(_ts_text(mark))}'"
+        if t == "DATE":
+            d = mark.date() if isinstance(mark, datetime) else mark
+            return f"{q} > DATE '{d}'"
+        if t == "INT64":
+            return f"{q} > {int(mark)}"
+        raise ConfigError(
+            f"cursor {cursor!r} has BigQuery type {column_type}; supported: TIMESTAMP, DATETIME, DATE, INT64"
         )
-    if t == "DATE":
-        d = mark.date() if isinstance(mark, datetime) else mark
-        if not isinstance(d, date):
-            raise ConfigError(f"mark {mark!r} is not a date")
-        return f"{q} > DATE '{d.isoformat()}'"
-    if t in ("INT64", "INTEGER", "INT", "BIGINT", "SMALLINT", "NUMBER"):
-        return f"{q} > {int(mark)}"
-    raise ConfigError(f"cursor {cursor!r} of type {column_type} cannot carry a watermark")
+    q = '"' + (cursor.upper() if kind == "snowflake" else cursor).replace('"', '""') + '"'
+    if isinstance(mark, datetime):
+        return f"{q} > '{_ts_text(mark)}'::TIMESTAMP_TZ" if kind == "snowflake" else f"{q} > TIMESTAMP '{_ts_text(mark)}'"
+    if isinstance(mark, date):
+        return f"{q} > '{mark}'::DATE" if kind == "snowflake" else f"{q} > DATE '{mark}'"
+    if isinstance(mark, int):
+        return f"{q} > {mark}"
+    raise ConfigError(f"cursor {cursor!r}: a watermark must be a timestamp, a date or an integer, got {mark!r}")

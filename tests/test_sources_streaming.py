@@ -34,7 +34,12 @@ def test_table_paths_and_predicates():
             jdbc.split_table_path(kind, t)
     from datetime import date, datetime
     assert jdbc.render_predicate("bigquery", "ts", "TIMESTAMP", datetime(2024, 1, 2, 3)) == \
-        "`ts` > TIMESTAMP '2024-01-02 03:00:00.000000+00:00'"
+        "`ts` > TIMESTAMP '2024-01-02 03:00:00+00'"
+    assert jdbc.render_predicate("bigquery", "ts", "DATETIME", "2024-01-02 03:00:00.5+00") == \
+        "`ts` > DATETIME '2024-01-02 03:00:00.5'"
+    assert jdbc.render_predicate("snowflake", "updated_at", "TIMESTAMP_TZ", datetime(2024, 1, 2)) == \
+        "\"UPDATED_AT\" > '2024-01-02 00:00:00'::TIMESTAMP_TZ"
+    assert jdbc.render_predicate("snowflake", "d", "DATE", date(2024, 1, 2)) == "\"D\" > '2024-01-02'::DATE"
     assert jdbc.render_predicate("bigquery", "d", "DATE", date(2024, 1, 2)) == "`d` > DATE '2024-01-02'"
     assert jdbc.render_predicate("bigquery", "i", "INT64", 5) == "`i` > 5"
     with pytest.raises(ConfigError):
