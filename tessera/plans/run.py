@@ -13,6 +13,7 @@ removed later by the orphan sweep.
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, field
 
@@ -117,9 +118,11 @@ def run(
     advances: list[Advance] = []
     sources_info = []
 
-    # Lake tables first; a source may not carry a table's name (refused at resolve).
+    # Lake tables first (a source may not carry a table's name: refused at resolve). Only tables some
+    # transform mentions are bound: binding lists a table's files, which is work at thousands of buckets.
     for name, st in current.items():
-        store.read_state(st).createOrReplaceTempView(name)
+        if _mentioned(product.transforms, name):
+            store.read_state(st).createOrReplaceTempView(name)
 
     for src in product.sources.values():
         df, info = read_source(spark, src)
@@ -166,7 +169,9 @@ def run(
                 if n_compacted:
                     warnings.append(f"table {t.name!r}: compacted {n_compacted} bucket(s)")
             new_tables[t.name] = landing.state
-            store.read_state(landing.state).createOrReplaceTempView(t.name)
+            later = product.transforms[product.transforms.index(t) + 1:]
+            if _mentioned(later, t.name) or (replay_check and _mentioned(product.transforms, t.name)):
+                store.read_state(landing.state).createOrReplaceTempView(t.name)
             transforms_info.append({
                 "table": t.name, "strategy": t.strategy, "rows_written": landing.rows_written,
                 "rows": landing.state.rows, "buckets_touched": landing.buckets_touched,
@@ -229,6 +234,12 @@ def run(
             s.cleanup()
 
 
+def _mentioned(transforms, name: str) -> bool:
+    """Does any transform's text name ``name`` as a whole word (identifiers are case-insensitive)?"""
+    pattern = re.compile(rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])", re.IGNORECASE)
+    return any(pattern.search(t.sql) for t in transforms)
+
+
 def verify_published(
     spark: SparkSession, product: Product, root: str, version: int | None = None, raise_on_failure: bool = True,
 ) -> list[Verification]:
