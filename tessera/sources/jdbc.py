@@ -134,6 +134,33 @@ def _with_offset(text: str) -> str:
     return t if t.endswith("Z") or max(t.rfind("+"), t.rfind("-")) > 10 else t + "+00"
 
 
+def bigquery_read_options(
+    conn: dict, table: str, object_kind: str, cursor: str | None = None, cursor_type: str | None = None, mark=None
+) -> dict:
+    """A8 routing for one BigQuery object, from its classified kind (A10).
+
+    ``table`` objects use the storage read, where the connector pushes the
+    watermark filter itself; ``query`` objects (views, materialized views,
+    external tables) run as a query job whose text carries the rendered
+    watermark predicate (B11); anything else is refused.
+    """
+    dataset, tab = split_table_path("bigquery", table)
+    full = f"{conn['project']}.{dataset}.{tab}"
+    if object_kind == "table":
+        opts = {"parentProject": conn["project"], "table": full}
+        if cursor is not None and mark is not None:
+            opts["filter"] = render_predicate("bigquery", cursor, cursor_type or "", mark)
+        return opts
+    if object_kind == "query":
+        where = ""
+        if cursor is not None and mark is not None:
+            where = " WHERE " + render_predicate("bigquery", cursor, cursor_type or "", mark)
+        return {"parentProject": conn["project"], "viewsEnabled": "true",
+                "materializationDataset": conn.get("materialization_dataset", dataset),
+                "query": f"SELECT * FROM `{full}`{where}"}
+    raise ConfigError(f"BigQuery object {full!r} is a {object_kind}; only tables and views can be read")
+
+
 def render_predicate(kind: str, cursor: str, column_type: str, mark) -> str:
     """``cursor > <literal>`` for a server-side query text, in the warehouse's dialect.
 

@@ -101,3 +101,14 @@ def test_catalog_status_history_fleet(spark, sf, tmp_path):
     fl = cat.fleet(spark, prefix).collect()
     assert [(r.product, r.route) for r in fl] == [("orders", "orders_daily@2")]
     assert len(cat.interface_digest(p)) == 64
+
+
+def test_bigquery_routing_by_object_kind():
+    from datetime import datetime
+    conn = {"project": "prj"}
+    t = jdbc.bigquery_read_options(conn, "sales.orders", "table", "ts", "TIMESTAMP", datetime(2024, 1, 2))
+    assert t["table"] == "prj.sales.orders" and t["filter"] == "`ts` > TIMESTAMP '2024-01-02 00:00:00+00'"
+    v = jdbc.bigquery_read_options(conn, "sales.orders_v", "query", "id", "INT64", 42)
+    assert v["query"] == "SELECT * FROM `prj.sales.orders_v` WHERE `id` > 42" and v["viewsEnabled"] == "true"
+    with pytest.raises(ConfigError):
+        jdbc.bigquery_read_options(conn, "sales.m", "unsupported")
