@@ -438,12 +438,28 @@ def _transform(entry: Any, directory: str) -> Transform:
     return Transform(name=table_name_for(path), sql=sql, strategy=strategy, key=key, path=path, buckets=buckets)
 
 
-def load_product(path: str, profile: dict | None = None) -> Product:
-    """Load a product from YAML; ``profile`` supplies connections and upstream roots."""
+def load_profile(path: str) -> dict:
+    """An environment profile (YAML): ``connections`` by name, ``products`` (upstream name -> store root),
+    ``storage`` (this product's store root). Values may use ``${VAR}`` / ``${VAR:-default}``."""
     with open(path, encoding="utf-8") as fh:
         doc = yaml.safe_load(fh) or {}
     directory = os.path.dirname(os.path.abspath(path))
-    profile = profile or {}
+    out: dict = {"connections": {}, "products": {}}
+    for name, conn in (doc.get("connections") or {}).items():
+        out["connections"][name] = {k: expand(str(v)) for k, v in (conn or {}).items()}
+    for name, root in (doc.get("products") or {}).items():
+        out["products"][name] = resolve_uri(expand(str(root)), directory)
+    if doc.get("storage") is not None:
+        out["storage"] = resolve_uri(expand(str(doc["storage"])), directory)
+    return out
+
+
+def load_product(path: str, profile: dict | str | None = None) -> Product:
+    """Load a product from YAML; ``profile`` (a dict or a profile file) supplies connections and upstream roots."""
+    with open(path, encoding="utf-8") as fh:
+        doc = yaml.safe_load(fh) or {}
+    directory = os.path.dirname(os.path.abspath(path))
+    profile = load_profile(profile) if isinstance(profile, str) else (profile or {})
     name = doc.get("product", doc.get("cell"))
     if not name:
         raise ConfigError(f"{path}: missing `product` name")

@@ -139,3 +139,33 @@ def test_load_yaml(tmp_path):
     assert p.transforms[1].strategy == "upsert" and p.exports[0].grain == ["id"]
     assert p.sources["raw"].uri == str(tmp_path / "data" / "x.parquet")
     assert p.exports[0].schema["v"].unit == "m"
+
+
+def test_profile_file_binds_connections_and_upstreams(tmp_path, monkeypatch):
+    monkeypatch.setenv("CRM_URL", "jdbc:postgresql://db/crm")
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "joined.sql").write_text("SELECT * FROM accounts JOIN daily USING (region)")
+    (tmp_path / "profile.yaml").write_text(
+        "storage: ./.store\n"
+        "connections:\n  crm: {url: '${CRM_URL}', user: '${CRM_USER:-reader}', driver: org.postgresql.Driver}\n"
+        "products:\n  orders: /lake/products/orders\n"
+    )
+    (tmp_path / "product.yaml").write_text(
+        "product: crm_orders\n"
+        "sources:\n"
+        "  accounts: {connection: crm, table: sales.accounts, incremental: {cursor: updated_at, lookback: 1d}}\n"
+        "  daily: {product: orders, table: orders_daily, version: 3}\n"
+        "  regions: {uri: data/regions.csv, options: {sep: ';'}}\n"
+        "transforms:\n  - {sql: sql/joined.sql, materialize: upsert, key: [account_id]}\n"
+        "access: {shareable: true}\n"
+    )
+    p = load_product(str(tmp_path / "product.yaml"), str(tmp_path / "profile.yaml"))
+    acc = p.sources["accounts"]
+    assert acc.kind == "jdbc" and acc.connection == {"url": "jdbc:postgresql://db/crm", "user": "reader",
+                                                     "driver": "org.postgresql.Driver"}
+    assert acc.incremental.cursor == "updated_at" and acc.incremental.lookback == "1d"
+    daily = p.sources["daily"]
+    assert daily.kind == "product" and daily.root == "/lake/products/orders" and daily.version == 3
+    assert p.sources["regions"].options == {"sep": ";"}
+    with pytest.raises(ConfigError, match="not in the profile"):
+        load_product(str(tmp_path / "product.yaml"), {})
