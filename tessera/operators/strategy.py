@@ -13,10 +13,9 @@ of these joins, so no key can be hot).
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,8 +126,9 @@ def drift_report(staged: T.StructType, table: T.StructType) -> list[tuple[str, s
 class Landing:
     state: TableState
     rows_written: int
-    buckets_touched: int
+    buckets_touched: int  # buckets whose stored files were rewritten (upsert) or that received rows (append)
     buckets_total: int | None
+    rows_rewritten: int = 0  # stored rows copied into rewritten buckets
 
 
 def _conform(delta: DataFrame, schema: T.StructType) -> DataFrame:
@@ -251,32 +251,40 @@ def land_keyed(
             d = _by_bucket(delta, key, nb)
             new_rows = _anti(d, _by_bucket(target.select(*key), key, nb), key)
             parts, rows = store.write_bucketed(new_rows, table, key, nb, clustered=True)
+        # Stored files are untouched and the new rows' keys were shown absent by the anti-join above,
+        # so verification has no bucket to rescan.
         st = TableState(table, current.schema, list(key), nb, _sorted(current.parts + parts), current.rows + rows,
-                        strategy, statement, touched=sorted(p["bucket"] for p in parts))
+                        strategy, statement, touched=[])
         return Landing(st, rows, len(parts), nb)
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
-    # The rows read are counted in the write's final stage (never a map stage): result-stage metrics
-    # are applied once per partition even when lost executors force stages to re-run.
-    seen = Observation(f"t_{uuid.uuid4().hex[:8]}")
-    count = F.count(F.lit(1)).alias("rows")
+    # 1) Which delta keys already exist, and where: only the key column of the touched buckets is read,
+    #    and one aggregate returns the match count and the bucket set (at most B ints).
+    dkeys = delta.select(*key)
+    existing = target.select(*key).join(F.broadcast(dkeys) if small else dkeys, key, "left_semi")
+    r = existing.agg(F.count(F.lit(1)).alias("n"), F.collect_set(bucket_of(key, nb)).alias("b")).first()
+    matched, rewrite = int(r["n"]), {int(b) for b in (r["b"] or [])}
+    # 2) One write. Only buckets holding an updated key are rewritten (stored rows minus updated keys);
+    #    every other delta row is a new key and lands as a new file in its bucket, so an insert-heavy
+    #    delta spread over all buckets does not rewrite the table.
     if small:
-        # Stored rows stay where they are: every target file already holds one bucket, so only the
-        # delta is shuffled (rebalanced by bucket) before the write.
-        kept = target.observe(seen, count).join(F.broadcast(delta.select(*key)), key, "left_anti")
-        kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
         incoming = delta.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
+        kept = None
+        if rewrite:
+            # Stored rows are anti-joined where they lie (each file holds one bucket): no shuffle.
+            kept = store.read_state(current, rewrite).join(F.broadcast(dkeys), key, "left_anti")
+            kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
     else:
-        d = _by_bucket(delta, key, nb)
-        kept = _anti(_by_bucket(target, key, nb).observe(seen, count), d.select(*key), key)
-        incoming = d
-    rewritten = kept.unionByName(incoming)
-    parts, rows = store.write_bucketed(rewritten, table, key, nb, clustered=True)
-    carried = [p for p in current.parts if p.get("bucket") not in touched]
-    # Untouched buckets keep their rows; touched buckets lose what was read and hold `rows` now.
-    total = current.rows - int(seen.get["rows"]) + rows
+        incoming = _by_bucket(delta, key, nb)
+        kept = _anti(_by_bucket(store.read_state(current, rewrite), key, nb), incoming.select(*key), key) \
+            if rewrite else None
+    out = kept.unionByName(incoming) if kept is not None else incoming
+    parts, rows = store.write_bucketed(out, table, key, nb, clustered=True)
+    carried = [p for p in current.parts if p.get("bucket") not in rewrite]
+    total = current.rows - matched + staged.rows
+    # Verification rescans the rewritten buckets; rows appended elsewhere were shown absent by step 1.
     st = TableState(table, current.schema, list(key), nb, _sorted(carried + parts), total, strategy, statement,
-                    touched=sorted(touched))
-    return Landing(st, rows, len(touched), nb)
+                    touched=sorted(rewrite))
+    return Landing(st, rows, len(rewrite), nb, rows_rewritten=rows - staged.rows)
 
 
 def _by_bucket(df: DataFrame, key: list[str], buckets: int) -> DataFrame:

@@ -175,6 +175,7 @@ def run(
             transforms_info.append({
                 "table": t.name, "strategy": t.strategy, "rows_written": landing.rows_written,
                 "rows": landing.state.rows, "buckets_touched": landing.buckets_touched,
+                "rows_rewritten": landing.rows_rewritten,
                 "buckets": landing.buckets_total, "seconds": round(time.monotonic() - t0, 3),
                 "statement": stmt,
             })

@@ -135,3 +135,24 @@ def test_large_delta_path_matches_definition(spark, root, sf, monkeypatch, strat
     assert b.state.rows == orders.count()
     per_bucket = [sum(1 for p in b.state.parts if p["bucket"] == x) for x in range(8)]
     assert max(per_bucket) <= (2 if strat == "append" else 1)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_upsert_rewrites_only_buckets_with_updated_keys(spark, root, sf, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(strategy, "BROADCAST_DELTA_BYTES", 0)
+    store = Store(spark, root)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    old = orders.where("o_orderkey < 1000")
+    a = strategy.land_keyed(store, stage_parquet(old), "o", ["o_orderkey"], "upsert", None, buckets=16)
+    inserts = orders.where("o_orderkey >= 1000")  # new keys spread over every bucket
+    b = strategy.land_keyed(store, stage_parquet(inserts), "o", ["o_orderkey"], "upsert", a.state)
+    assert b.buckets_touched == 0 and b.rows_rewritten == 0 and b.state.rows == orders.count()
+    assert {p["dir"] for p in a.state.parts} <= {p["dir"] for p in b.state.parts}  # nothing rewritten
+    one = orders.where("o_orderkey = 7").withColumn("o_orderstatus", F.lit("Z"))
+    mixed = one.unionByName(spark.createDataFrame([(10**9, "N")], "o_orderkey long, o_orderstatus string"))
+    c = strategy.land_keyed(store, stage_parquet(mixed), "o", ["o_orderkey"], "upsert", b.state)
+    assert c.buckets_touched == 1 and c.state.rows == orders.count() + 1
+    expected = strategy.upsert_by_key(strategy.upsert_by_key(old, inserts, ["o_orderkey"]), mixed, ["o_orderkey"])
+    assert checks.is_same_multiset(store.read_state(c.state), expected)
+    assert c.state.touched == [c.state.touched[0]] and len(c.state.touched) == 1
