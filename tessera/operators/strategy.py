@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import GuardError
 from tessera.functions.columns import key_display
-from tessera.plans.store import BUCKET_COL, Store, TableState, bucket_of, buckets_for_bytes
+from tessera.plans.store import BUCKET_COL, Store, TableState, bucket_of, buckets_for_bytes, part_dir_of
 from tessera.sources.staging import Staged
 
 # Broadcast the delta's keys only below this many staged bytes (a measured bound).
@@ -257,31 +257,37 @@ def land_keyed(
                         strategy, statement, touched=[])
         return Landing(st, rows, len(parts), nb)
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
-    # 1) Which delta keys already exist, and where: only the key column of the touched buckets is read,
-    #    and one aggregate returns the match count and the bucket set (at most B ints).
+    # 1) Which delta keys already exist, and in which part directories: only the key column (and the
+    #    file path) of the touched buckets is read; one aggregate returns the match count and the
+    #    directory set (bounded by the directories of those buckets, which compaction keeps small).
     dkeys = delta.select(*key)
-    existing = target.select(*key).join(F.broadcast(dkeys) if small else dkeys, key, "left_semi")
-    r = existing.agg(F.count(F.lit(1)).alias("n"), F.collect_set(bucket_of(key, nb)).alias("b")).first()
-    matched, rewrite = int(r["n"]), {int(b) for b in (r["b"] or [])}
-    # 2) One write. Only buckets holding an updated key are rewritten (stored rows minus updated keys);
-    #    every other delta row is a new key and lands as a new file in its bucket, so an insert-heavy
-    #    delta spread over all buckets does not rewrite the table.
+    matched, rewrite_dirs = 0, set()
+    if current.dirs(touched):
+        located = target.select(*key, part_dir_of(F.col("_metadata.file_path")).alias("__dir"))
+        existing = located.join(F.broadcast(dkeys) if small else dkeys, key, "left_semi")
+        r = existing.agg(F.count(F.lit(1)).alias("n"), F.collect_set("__dir").alias("d")).first()
+        matched, rewrite_dirs = int(r["n"]), set(r["d"] or [])
+    rewrite = {p["bucket"] for p in current.parts if p["dir"] in rewrite_dirs}
+    # 2) One write. Only directories holding an updated key are rewritten (their rows minus updated
+    #    keys); every other delta row is a new key and lands as a new file in its bucket. Updates to
+    #    recently inserted keys rewrite only the recent directories, inserts rewrite nothing.
     if small:
         incoming = delta.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
         kept = None
-        if rewrite:
+        if rewrite_dirs:
             # Stored rows are anti-joined where they lie (each file holds one bucket): no shuffle.
-            kept = store.read_state(current, rewrite).join(F.broadcast(dkeys), key, "left_anti")
+            kept = store.read_dirs(current, rewrite_dirs).join(F.broadcast(dkeys), key, "left_anti")
             kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
     else:
         incoming = _by_bucket(delta, key, nb)
-        kept = _anti(_by_bucket(store.read_state(current, rewrite), key, nb), incoming.select(*key), key) \
-            if rewrite else None
+        kept = _anti(_by_bucket(store.read_dirs(current, rewrite_dirs), key, nb), incoming.select(*key), key) \
+            if rewrite_dirs else None
     out = kept.unionByName(incoming) if kept is not None else incoming
     parts, rows = store.write_bucketed(out, table, key, nb, clustered=True)
-    carried = [p for p in current.parts if p.get("bucket") not in rewrite]
+    carried = [p for p in current.parts if p["dir"] not in rewrite_dirs]
     total = current.rows - matched + staged.rows
-    # Verification rescans the rewritten buckets; rows appended elsewhere were shown absent by step 1.
+    # Verification rescans the buckets with a rewritten directory; rows appended elsewhere were shown
+    # absent from the table by step 1.
     st = TableState(table, current.schema, list(key), nb, _sorted(carried + parts), total, strategy, statement,
                     touched=sorted(rewrite))
     return Landing(st, rows, len(rewrite), nb, rows_rewritten=rows - staged.rows)

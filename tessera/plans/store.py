@@ -115,6 +115,11 @@ def bucket_of(key: list[str], buckets: int):
     return F.pmod(F.hash(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
 
+def part_dir_of(path):
+    """The part directory (relative to the store root) of a data file path Column."""
+    return F.regexp_extract(path, r".*/(data/[A-Za-z0-9_]+/[0-9a-f]{32}(?:/" + BUCKET_COL + r"=\d+)?)/[^/]+$", 1)
+
+
 def buckets_for_bytes(nbytes: int) -> int:
     """Bucket count for a new keyed table: a power of two near bytes/target, clamped."""
     want = max(MIN_BUCKETS, -(-int(nbytes) // BUCKET_TARGET_BYTES))
@@ -184,6 +189,13 @@ class Store:
             return self.spark.createDataFrame(self.spark.sparkContext.emptyRDD(), state.schema)
         return self.spark.read.schema(state.schema).parquet(*[self.path(d) for d in dirs])
 
+    def read_dirs(self, state: TableState, dirs: set[str]) -> DataFrame:
+        """Rows of the listed part directories of ``state`` only."""
+        chosen = [p["dir"] for p in state.parts if p["dir"] in dirs]
+        if not chosen:
+            return self.spark.createDataFrame(self.spark.sparkContext.emptyRDD(), state.schema)
+        return self.spark.read.schema(state.schema).parquet(*[self.path(d) for d in chosen])
+
     def read_table(self, table: str, version: int | None = None) -> DataFrame:
         """A table at LATEST or at a given version (time travel)."""
         tables = self.tables(version)
@@ -331,10 +343,7 @@ class Store:
             .load(data)
             .select("path", F.col("modificationTime").alias("mtime"), "length")
         )
-        rel = F.regexp_extract(
-            "path", r".*/(data/[A-Za-z0-9_]+/[0-9a-f]{32}(?:/" + BUCKET_COL + r"=\d+)?)/[^/]+$", 1
-        )
-        return df.withColumn("dir", rel)
+        return df.withColumn("dir", part_dir_of(F.col("path")))
 
 
 MANIFEST_SCHEMA = T.StructType(

@@ -156,3 +156,29 @@ def test_upsert_rewrites_only_buckets_with_updated_keys(spark, root, sf, monkeyp
     expected = strategy.upsert_by_key(strategy.upsert_by_key(old, inserts, ["o_orderkey"]), mixed, ["o_orderkey"])
     assert checks.is_same_multiset(store.read_state(c.state), expected)
     assert c.state.touched == [c.state.touched[0]] and len(c.state.touched) == 1
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_updates_to_recent_keys_rewrite_only_recent_directories(spark, root, sf, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(strategy, "BROADCAST_DELTA_BYTES", 0)
+    store = Store(spark, root)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    base = orders.where("o_orderkey < 1200")
+    recent = orders.where("o_orderkey >= 1200")
+    a = strategy.land_keyed(store, stage_parquet(base), "o", ["o_orderkey"], "upsert", None, buckets=4)
+    b = strategy.land_keyed(store, stage_parquet(recent), "o", ["o_orderkey"], "upsert", a.state)
+    upd = recent.where("o_orderkey < 1260").withColumn("o_orderstatus", F.lit("U"))
+    c = strategy.land_keyed(store, stage_parquet(upd), "o", ["o_orderkey"], "upsert", b.state)
+    old_dirs = {p["dir"] for p in a.state.parts}
+    assert old_dirs <= {p["dir"] for p in c.state.parts}  # the older directories were not rewritten
+    assert c.rows_rewritten == recent.count() - upd.count()
+    expected = strategy.upsert_by_key(strategy.upsert_by_key(base, recent, ["o_orderkey"]), upd, ["o_orderkey"])
+    assert checks.is_same_multiset(store.read_state(c.state), expected) and c.state.rows == orders.count()
+
+
+def test_upsert_into_buckets_without_files(spark, root):
+    store = Store(spark, root)
+    a = land(spark, store, [(1, "a")], "upsert", None, buckets=64)
+    b = land(spark, store, [(2, "b"), (3, "c")], "upsert", a.state)
+    assert rows_of(store, b.state) == [(1, "a"), (2, "b"), (3, "c")]
