@@ -352,7 +352,7 @@ def _events_product(uri: str, lookback: str | None = None, rollup: bool = False)
     exports = [Export(name="events_acc", version="1.0.0", schema={"event_id": ColumnSpec("bigint"),
                                                                   "ts": ColumnSpec("timestamp")})]
     if rollup:
-        transforms.append(Transform(name="events_rollup", sql=ROLLUP_SQL.replace("FROM events_acc", "FROM events_acc"),
+        transforms.append(Transform(name="events_rollup", sql=ROLLUP_SQL,
                                     path="sql/events_rollup.sql"))
         exports.append(Export(name="events_rollup", version="1.0.0", grain=["event_type"],
                               schema={"event_type": ColumnSpec("string"), "n": ColumnSpec("bigint"),

@@ -203,3 +203,15 @@ def test_grain_failure_hints_at_replay_safety_with_incremental_sources(spark, sf
     )
     with pytest.raises(Exception, match="not replay-safe"):
         run(spark, p, root)
+
+
+def test_commit_takes_the_next_free_version(spark, sf, root):
+    from tessera.plans import fs
+    run(spark, flagship.orders_product(sf), root)
+    store = Store(spark, root)
+    # another writer took version 2 between our read of LATEST and our commit
+    fs.write_text(spark, store.path("versions", "2.json"), '{"version": 2, "parent": 1, "tables": []}', overwrite=False)
+    v = store.commit(store.tables(1), [], product="orders", parent=1)
+    assert v == 3 and store.latest() == 3 and store.manifest(3)["parent"] == 1
+    with pytest.raises(Exception):
+        fs.write_text(spark, store.path("versions", "3.json"), "{}", overwrite=False)  # exclusive create
