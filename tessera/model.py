@@ -419,6 +419,7 @@ def _source(name: str, v: Any, directory: str, profile: dict) -> Source:
     return Source(
         name=name, kind="raw", uri=resolve_uri(expand(v["uri"]), directory), format=v.get("format"),
         options=dict(v.get("options") or {}), incremental=incremental, columns=dict(v.get("columns") or {}),
+        schema=v.get("schema"),  # DDL string, e.g. "id BIGINT, ts TIMESTAMP": no inference pass over the files
     )
 
 

@@ -112,3 +112,24 @@ def test_bigquery_routing_by_object_kind():
     assert v["query"] == "SELECT * FROM `prj.sales.orders_v` WHERE `id` > 42" and v["viewsEnabled"] == "true"
     with pytest.raises(ConfigError):
         jdbc.bigquery_read_options(conn, "sales.m", "unsupported")
+
+
+def test_yaml_raw_source_with_explicit_schema(spark, tmp_path):
+    from tessera.model import load_product
+    from tessera.plans.run import run
+    from tessera.plans.store import Store
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "a.csv").write_text("id,amount\n1,2.5\n2,4.0\n")
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "totals.sql").write_text("SELECT count(*) AS n, CAST(sum(amount) AS DECIMAL(10,2)) AS total FROM raw")
+    (tmp_path / "product.yaml").write_text(
+        "product: csvdemo\n"
+        "sources:\n  raw: {uri: data/*.csv, format: csv, schema: 'id BIGINT, amount DECIMAL(10,2)'}\n"
+        "transforms:\n  - sql/totals.sql\n"
+    )
+    p = load_product(str(tmp_path / "product.yaml"))
+    root = str(tmp_path / "store")
+    run(spark, p, root)
+    row = Store(spark, root).read_table("totals").first()
+    assert row.n == 2 and str(row.total) == "6.50"
