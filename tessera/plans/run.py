@@ -120,9 +120,11 @@ def run(
 
     # Lake tables first (a source may not carry a table's name: refused at resolve). Only tables some
     # transform mentions are bound: binding lists a table's files, which is work at thousands of buckets.
+    bound: set[str] = set()
     for name, st in current.items():
         if _mentioned(product.transforms, name):
             store.read_state(st).createOrReplaceTempView(name)
+            bound.add(name)
 
     for src in product.sources.values():
         df, info = read_source(spark, src)
@@ -142,10 +144,12 @@ def run(
                 info.update(staged=True, bytes=staged.bytes)
             advances.append(adv)
             delta_df.createOrReplaceTempView(src.name)
+            bound.add(src.name)
             info.update(incremental=True, rows=adv.rows,
                         mode="full_refresh" if full_refresh else ("bootstrap" if mark is None else "delta"))
         else:
             df.createOrReplaceTempView(src.name)
+            bound.add(src.name)
             info.update(incremental=False)
         sources_info.append(info)
 
@@ -172,6 +176,7 @@ def run(
             later = product.transforms[product.transforms.index(t) + 1:]
             if _mentioned(later, t.name) or (replay_check and _mentioned(product.transforms, t.name)):
                 store.read_state(landing.state).createOrReplaceTempView(t.name)
+                bound.add(t.name)
             transforms_info.append({
                 "table": t.name, "strategy": t.strategy, "rows_written": landing.rows_written,
                 "rows": landing.state.rows, "buckets_touched": landing.buckets_touched,
@@ -231,6 +236,9 @@ def run(
             })
         raise
     finally:
+        # The run's views point at staged scratch data that is removed here: drop them with it.
+        for name in bound:
+            spark.catalog.dropTempView(name)
         for s in staged_all:
             s.cleanup()
 
