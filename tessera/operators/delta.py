@@ -12,7 +12,7 @@ stays on the column untouched and reaches the scan as a pushed filter.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,10 +93,24 @@ def apply_lookback(mark, kind: str, lookback: timedelta | None):
 
 
 def typed_mark(mark, dtype: T.DataType) -> Column:
-    """The mark as a literal of the column's own type (keeps the filter pushable)."""
+    """The mark as a literal of the column's own type (keeps the filter pushable).
+
+    Marks of zone-aware timestamp cursors are stored as UTC wall-clock values; they
+    become UTC-aware literals so no driver or session time zone can shift them.
+    """
+    if isinstance(dtype, T.TimestampType) and isinstance(mark, datetime) and mark.tzinfo is None:
+        mark = mark.replace(tzinfo=timezone.utc)
     return F.lit(mark).cast(dtype)
 
 
+def stored_mark(value, dtype: T.DataType):
+    """A cursor maximum as stored: zone-aware timestamps become UTC wall-clock (PySpark returns them in
+    the Python process's local zone); everything else is kept as is."""
+    if isinstance(dtype, T.TimestampType) and isinstance(value, datetime):
+        return value.astimezone(timezone.utc).replace(tzinfo=None)
+    return value
+
+
 def delta_filter(df: DataFrame, cursor: str, mark) -> DataFrame:
     """B1/B2: no mark -> everything (NULL cursors included); else strictly past the mark."""
     if mark is None:
@@ -131,7 +145,7 @@ def stage_delta(
     start = apply_lookback(mark, kind, window)
     delta = delta_filter(df, cursor, start)
     staged = stage_parquet(delta, prefix, metrics={"__max": F.max(cursor)})
-    new_max = staged.metrics["__max"]
+    new_max = stored_mark(staged.metrics["__max"], df.schema[cursor].dataType)
     if kind == "integer" and new_max is not None:
         new_max = int(new_max)
     return staged, Advance(source, cursor, kind, staged.rows, new_max)
@@ -151,7 +165,7 @@ def pinned_delta(
     window = validate_lookback(kind, lookback, source)
     delta = delta_filter(df, cursor, apply_lookback(mark, kind, window))
     r = compute_advance(delta, cursor).first()
-    new_max = r["new_max"]
+    new_max = stored_mark(r["new_max"], df.schema[cursor].dataType)
     if kind == "integer" and new_max is not None:
         new_max = int(new_max)
     return delta, Advance(source, cursor, kind, int(r["rows"]), new_max)

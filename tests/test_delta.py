@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +119,34 @@ def test_file_source_delta_is_pinned_at_read(spark, tmp_path):
     d.createOrReplaceTempView("pinned_src")
     assert sorted(r.id for r in spark.sql("SELECT id FROM pinned_src").collect()) == [1, 2]
     assert d.count() == adv.rows
+
+
+def test_zone_aware_cursor_marks_survive_time_zone_changes(spark):
+    """A mark taken under one driver/session zone filters identically under another."""
+    import os
+    import time
+    saved_tz, saved_session = os.environ.get("TZ"), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        os.environ["TZ"] = "Asia/Tokyo"
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT id, TIMESTAMP '2024-03-10 12:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT), 0, 0) AS ts "
+                       "FROM range(10)")
+        _, adv = delta.pinned_delta(df, "ts", None)
+        # 12:00 in New York on 2024-03-10 (EDT) is 16:00 UTC; the latest row is nine hours later.
+        assert adv.new_max == datetime(2024, 3, 11, 1, 0)
+        first_max = adv.new_max
+        os.environ["TZ"] = "Europe/Berlin"
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        d, adv2 = delta.pinned_delta(df, "ts", first_max)
+        assert adv2.rows == 0  # nothing is past the stored mark, whatever the zones
+        d, adv3 = delta.pinned_delta(df, "ts", first_max - timedelta(hours=2))
+        assert adv3.rows == 2
+    finally:
+        if saved_tz is None:
+            os.environ.pop("TZ", None)
+        else:
+            os.environ["TZ"] = saved_tz
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", saved_session)
