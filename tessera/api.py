@@ -133,8 +133,10 @@ class DataProduct:
             if s.get("kind") == "product":
                 rows.append((s["name"], s.get("version"), s.get("data_as_of")))
         df = self.spark.createDataFrame(rows, "source string, execution long, data_as_of string")
+        if now is not None and now.tzinfo is None:
+            now = now.replace(tzinfo=timezone.utc)  # naive means UTC, like every stored time
         now_col = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        ts = F.to_timestamp("data_as_of")
+        ts = F.concat(F.col("data_as_of"), F.lit("Z")).cast("timestamp")  # stored times are UTC text
         return df.withColumn(
             "age", F.when(ts.isNull(), F.lit("unknown")).otherwise(profile.freshness_age(ts, now_col))
         )

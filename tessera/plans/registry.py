@@ -10,7 +10,7 @@ the oracle states the merged result directly.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -981,7 +981,7 @@ def q_orphan_files(spark, sf):
     except Exception:
         pass  # verification refused the run; its directory is now unreferenced
     store = Store(spark, root)
-    cutoff = datetime.now() + timedelta(days=1)
+    cutoff = datetime.now(timezone.utc) + timedelta(days=1)
     orphans = snapshots.orphan_files(store.data_files_df(), store.referenced_dirs_df(), cutoff)
     return orphans.groupBy(F.regexp_extract("dir", r"^data/([^/]+)/", 1).alias("table_name")).agg(
         F.countDistinct("dir").alias("n_dirs")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.errors import StoreError
 from tessera.model import Export, Product
@@ -146,13 +147,31 @@ def rollback(spark: SparkSession, root: str, to: int | None = None) -> tuple[int
 # ------------------------------------------------------------------ retention
 
 
+def _utc_text(ts) -> str:
+    """A cutoff as UTC wall-clock text; naive datetimes are taken as UTC, strings pass through."""
+    if isinstance(ts, datetime):
+        if ts.tzinfo is not None:
+            ts = ts.astimezone(timezone.utc).replace(tzinfo=None)
+        return ts.strftime("%Y-%m-%d %H:%M:%S.%f")
+    return str(ts)
+
+
+def _cutoff(ts, dtype) -> F.Column:
+    """The cutoff as a literal comparable with a column of ``dtype``, independent of any time zone setting."""
+    if isinstance(dtype, T.TimestampType):
+        aware = ts if isinstance(ts, datetime) else datetime.fromisoformat(str(ts))
+        aware = aware if aware.tzinfo is not None else aware.replace(tzinfo=timezone.utc)
+        return F.lit(aware).cast(dtype)
+    return F.lit(_utc_text(ts)).cast(dtype)
+
+
 def select_expirable(versions: DataFrame, pins: DataFrame, cutoff) -> DataFrame:
     """Versions committed before ``cutoff``, not pinned, and not the newest.
 
-    ``versions``: (version, committed_at); ``pins``: (version).
+    ``versions``: (version, committed_at); ``pins``: (version). A naive cutoff is UTC.
     """
     newest = versions.agg(F.max("version").alias("m")).first()["m"]  # one scalar
-    old = versions.where(F.col("committed_at") < F.lit(cutoff).cast(versions.schema["committed_at"].dataType))
+    old = versions.where(F.col("committed_at") < _cutoff(cutoff, versions.schema["committed_at"].dataType))
     unpinned = old.join(pins.select("version").distinct(), "version", "left_anti")
     return unpinned.where(F.col("version") != F.lit(newest)).select("version", "committed_at")
 
@@ -179,7 +198,7 @@ def orphan_files(listing: DataFrame, referenced: DataFrame, cutoff) -> DataFrame
     The cutoff lags one full retention window so a run still writing is never swept.
     """
     refs = referenced.select("dir").distinct()
-    old = listing.where(F.col("mtime") < F.lit(cutoff).cast("timestamp"))
+    old = listing.where(F.col("mtime") < _cutoff(cutoff, listing.schema["mtime"].dataType))
     return old.join(refs, "dir", "left_anti")
 
 

@@ -315,7 +315,7 @@ class Store:
         return self.manifests_df().select(
             F.col("version").cast("long").alias("version"),
             F.col("parent").cast("long").alias("parent"),
-            F.to_timestamp("committed_at").alias("committed_at"),
+            F.to_timestamp_ntz("committed_at").alias("committed_at"),  # UTC wall clock, as written
         )
 
     def referenced_dirs_df(self) -> DataFrame:
