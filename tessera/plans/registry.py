@@ -1325,7 +1325,7 @@ _sql(
     """SELECT CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS month, count(*) AS n,
               min(o_orderdate + INTERVAL 36 HOURS) AS first_plus,
               max(unix_timestamp(o_orderdate)) AS max_epoch,
-              max(to_timestamp('2001-02-03 04:05:06')) AS parsed
+              max(to_timestamp_ntz('2001-02-03 04:05:06')) AS parsed
        FROM orders GROUP BY CAST(date_trunc('MONTH', o_orderdate) AS DATE)""",
     """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n,
               min(o_orderdate + INTERVAL 36 HOURS) AS first_plus,
