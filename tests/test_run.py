@@ -215,3 +215,34 @@ def test_commit_takes_the_next_free_version(spark, sf, root):
     assert v == 3 and store.latest() == 3 and store.manifest(3)["parent"] == 1
     with pytest.raises(Exception):
         fs.write_text(spark, store.path("versions", "3.json"), "{}", overwrite=False)  # exclusive create
+
+
+def test_jdbc_delta_is_staged_once_and_cleaned_up(spark, sf, root, monkeypatch):
+    """The JDBC branch stages its delta (a live database may change between reads); no database is started:
+    the reader is replaced by a frame over the events table."""
+    from tessera.plans import fs
+    from tessera.plans import run as run_mod
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    calls = []
+
+    def fake_read_jdbc(spark_, conn, table=None, query=None, **kw):
+        calls.append((conn["url"], table, query))
+        return events
+
+    monkeypatch.setattr(run_mod, "read_jdbc", fake_read_jdbc)
+    src = Source(name="ev", kind="jdbc", connection={"url": "jdbc:test:events"}, table="app.events",
+                 incremental=Incremental("ts"))
+    p = Product(name="ev", sources={"ev": src},
+                transforms=[Transform(name="acc", sql="SELECT event_id, ts FROM ev", strategy="upsert",
+                                      key=["event_id"])])
+    res = run(spark, p, root)
+    info = res.summary["sources"][0]
+    assert calls == [("jdbc:test:events", "app.events", None)]
+    assert info["staged"] is True and info["rows"] == events.count() and info["mode"] == "bootstrap"
+    assert Store(spark, root).read_table("acc").count() == events.count()
+    assert "ev" not in [t.name for t in spark.catalog.listTables()]  # the run's views are gone
+    stage_root = fs.join(spark.conf.get("spark.checkpoint.dir"), "tessera", "stage")
+    leftovers = [n for n, is_dir, _, _ in fs.list_dir(spark, stage_root) if is_dir]
+    res2 = run(spark, p, root)
+    assert res2.summary["sources"][0]["rows"] == 0 and res2.watermarks == res.watermarks
+    assert [n for n, is_dir, _, _ in fs.list_dir(spark, stage_root) if is_dir] == leftovers  # staged data removed
