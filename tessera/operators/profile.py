@@ -36,18 +36,16 @@ def probe_coverage(df: DataFrame, export: Export) -> DataFrame:
 
 
 def probe_values(df: DataFrame, column: str, cap: int = MAX_VALUES) -> DataFrame:
-    """H2: sorted non-null distinct values; ``complete`` is false when there are more than ``cap``."""
-    vals = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    head = vals.orderBy("value").limit(cap + 1)
-    n = F.count(F.lit(1)).over(_whole())
-    return head.select("value", (n <= cap).alias("complete")).orderBy("value").limit(cap)
-
+    """H2: sorted non-null distinct values; ``complete`` is false when there are more than ``cap``.
 
-def _whole():
-    from pyspark.sql import Window
-
-    # Over at most cap+1 rows (the limit above bounds it).
-    return Window.partitionBy()
+    One job: partial distinct per task, then a distributed top ``cap + 1``; at most
+    ``cap + 1`` values reach the driver, which is how completeness is known.
+    """
+    vals = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    head = vals.orderBy("value").limit(cap + 1).collect()  # at most cap + 1 rows
+    complete = len(head) <= cap
+    schema = T.StructType([vals.schema["value"], T.StructField("complete", T.BooleanType(), False)])
+    return df.sparkSession.createDataFrame([(r["value"], complete) for r in head[:cap]], schema)
 
 
 def probe_example(df: DataFrame, export: Export) -> str | None:
