@@ -106,7 +106,8 @@ def run_history(spark: SparkSession, root: str) -> DataFrame:
         T.StructField("transforms", T.ArrayType(T.StructType([
             T.StructField("table", T.StringType()), T.StructField("strategy", T.StringType()),
             T.StructField("rows_written", T.LongType()), T.StructField("rows", T.LongType()),
-            T.StructField("buckets_touched", T.LongType()), T.StructField("seconds", T.DoubleType()),
+            T.StructField("buckets_touched", T.LongType()), T.StructField("rows_rewritten", T.LongType()),
+            T.StructField("seconds", T.DoubleType()),
             T.StructField("statement", T.StringType())]))),
         T.StructField("sources", T.ArrayType(T.StructType([
             T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()),
