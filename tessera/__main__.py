@@ -1,4 +1,5 @@
-"""Job entry point: ``spark-submit -m tessera <command> product.yaml [--profile p.yaml] [--root URI]``.
+"""Job entry point: ``python -m tessera <command> product.yaml [--profile p.yaml] [--root URI]``, or
+``spark-submit --py-files tessera.zip tessera/__main__.py <command> …`` on a cluster.
 
 Each command runs on the session the cluster provides (``getOrCreate``) and
 prints one JSON document; ``read`` prints one page (at most 1000 rows).
