@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import VerifyError
 from tessera.model import Export
-from tessera.types import native_type_ok, native_type_ok_col, type_ok, type_ok_col
+from tessera.declared_types import native_type_ok, native_type_ok_col, type_ok, type_ok_col
 
 # Fixed value: the name recorded for the grain measurement.
 GRAIN_CHECK = "grain_unique"

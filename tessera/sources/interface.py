@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.types import declared_for_col, native_declared_for
+from tessera.declared_types import declared_for_col, native_declared_for
 
 
 def infer_interface(df: DataFrame, native: dict[str, str] | None = None, connector: str | None = None) -> DataFrame:

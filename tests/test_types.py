@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.types import declared_for, native_type_ok, type_ok, type_ok_col
+from tessera.declared_types import declared_for, native_type_ok, type_ok, type_ok_col
 
 DECLARED = ["string", "varchar", "text", "int", "integer", "bigint", "long", "decimal", "numeric", "double",
             "float", "bool", "boolean", "date", "timestamp", "binary", "array<int>", "short"]
