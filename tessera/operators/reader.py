@@ -83,9 +83,10 @@ def apply_filters(df: DataFrame, filters: list[tuple[str, str]]) -> DataFrame:
 
 
 def order_columns(df: DataFrame, export: Export) -> list[Column]:
-    """Grain order, else all columns; NULLs last in ascending order."""
-    cols = export.grain if export.grain else df.columns
-    return [F.col(_field(df, c).name).asc_nulls_last() for c in cols]
+    """Grain order, else all columns (maps cannot be ordered and are skipped); NULLs last."""
+    if export.grain:
+        return [F.col(_field(df, c).name).asc_nulls_last() for c in export.grain]
+    return [F.col(f.name).asc_nulls_last() for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
 
 
 def read_export(df: DataFrame, export: Export, params: dict[str, str] | None = None) -> DataFrame:

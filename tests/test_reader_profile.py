@@ -62,3 +62,9 @@ def test_format_age(spark):
     df = spark.createDataFrame(rows, "s long")
     got = [r.a for r in df.select(profile.format_age(F.col("s")).alias("a")).collect()]
     assert got == ["just now", "just now", "1m", "3h 2m", "1d 3h", "just now"]
+
+
+def test_grainless_page_with_map_column(spark):
+    df = spark.sql("SELECT id, map('k', id) AS m FROM range(5)")
+    rows = reader.read_export(df, Export(name="maps"), {"limit": "2", "offset": "1"}).collect()
+    assert [r.id for r in rows] == [1, 2]
