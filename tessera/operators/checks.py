@@ -7,15 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _has_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.MapType):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _has_map(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_has_map(f.dataType) for f in dt.fields)
+    return False
+
+
+def _normal(c, dt: T.DataType):
+    """Maps (at any depth) become their entries sorted by key, so equal maps compare equal."""
+    if not _has_map(dt):
+        return c
+    if isinstance(dt, T.MapType):
+        entries = F.map_entries(c)
+        if _has_map(dt.valueType):
+            entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"),
+                                                              _normal(e["value"], dt.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _normal(x, dt.elementType))
+    return F.struct(*[_normal(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+
+
 def comparable(df: DataFrame) -> DataFrame:
-    """Set operations and grouping reject maps: replace each map by its sorted entries."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            cols.append(F.array_sort(F.map_entries(F.col(f.name))).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    """Set operations and grouping reject maps: replace every map, at any depth, by its sorted entries."""
+    return df.select(*[_normal(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def multiset_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -20,3 +20,11 @@ def test_shrunk_tables(spark):
     before = spark.createDataFrame([("a", 10), ("b", 5), ("gone", 3)], "table_name string, rows long")
     after = spark.createDataFrame([("a", 9), ("b", 6), ("new", 1)], "table_name string, rows long")
     assert [tuple(r) for r in checks.shrunk_tables(before, after).collect()] == [("a", 10, 9)]
+
+
+def test_nested_maps_are_comparable(spark):
+    a = spark.sql("SELECT named_struct('m', map('a', 1, 'b', 2)) AS s, array(map('x', map('p', 1, 'q', 2))) AS l")
+    b = spark.sql("SELECT named_struct('m', map('b', 2, 'a', 1)) AS s, array(map('x', map('q', 2, 'p', 1))) AS l")
+    c = spark.sql("SELECT named_struct('m', map('a', 1, 'b', 3)) AS s, array(map('x', map('p', 1, 'q', 2))) AS l")
+    assert checks.is_same_multiset(a, b)
+    assert not checks.is_same_multiset(a, c)
