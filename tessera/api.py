@@ -12,6 +12,7 @@ and history are Spark jobs over small metadata tables.
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.errors import ReadError
 from tessera.model import Export, Product
 from tessera.operators import delta, profile, reader
-from tessera.plans import catalog, snapshots
+from tessera.plans import catalog, fs, snapshots
 from tessera.plans.run import RunResult, run, verify_published
 from tessera.plans.store import Store
 
@@ -76,6 +77,20 @@ class DataProduct:
         doc["pins"] = self.store.releases().get("routes", {})
         return doc
 
+    def catalog(self) -> DataFrame:
+        """One row per discoverable export column (H4)."""
+        return catalog.catalog(self.spark, [self.product])
+
+    def upstreams(self) -> DataFrame:
+        """Declared upstream products joined to what the published run read (H7)."""
+        latest = self.store.latest()
+        summary = None
+        if latest is not None:
+            path = self.store.path("history", f"{latest}.json")
+            if fs.exists(self.spark, path):
+                summary = json.loads(fs.read_text(self.spark, path))
+        return catalog.upstreams(self.spark, self.product, summary)
+
     def attach(self, version: int | None = None, prefix: str = "") -> dict[str, DataFrame]:
         return snapshots.attach(self.spark, self.root, version, prefix)
 

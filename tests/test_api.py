@@ -78,3 +78,19 @@ def test_expire_and_freshness(spark, sf, root):
     assert dp.table("orders_daily@2").count() > 0
     fr = dp.freshness(now=future).first()
     assert fr.source == "self" and (fr.age.startswith("99d") or fr.age.startswith("100d"))
+
+
+def test_upstreams_and_catalog(spark, sf, tmp_path):
+    up_root, down_root = str(tmp_path / "up"), str(tmp_path / "down")
+    DataProduct(spark, flagship.orders_product(sf), up_root).run()
+    down = Product(
+        name="monthly",
+        sources={"daily": Source(name="daily", kind="product", product="orders", root=up_root, table="orders_daily")},
+        transforms=[Transform(name="m", sql="SELECT region, count(*) AS n FROM daily GROUP BY region")],
+        exports=[Export(name="m", grain=["region"], schema={"region": ColumnSpec("string")})],
+    )
+    dp = DataProduct(spark, down, down_root)
+    dp.run()
+    up = dp.upstreams().first()
+    assert (up.source, up.product, up.execution) == ("daily", "orders", 1) and up.data_as_of is not None
+    assert [r.column for r in dp.catalog().collect()] == ["region"]
