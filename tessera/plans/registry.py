@@ -15,6 +15,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.errors import GuardError
 from tessera.model import ColumnSpec, Export, Incremental, Product, Source, Transform
 from tessera.operators import checks, delta, profile, reader, strategy, verify
 from tessera.plans import catalog as cat
@@ -596,9 +597,19 @@ DRIFT_ROWS = [
 WHERE EXISTS (SELECT 1 FROM orders)""",
 )
 def q_schema_drift(spark, sf):
+    """D10 as it happens in a run: the accumulated table is landed from orders, the drifted SELECT is
+    staged, the guard refuses it, and every difference between the two is reported."""
     views(spark, sf, "orders")
-    staged = spark.sql(DRIFT_SQL).schema
-    rows = strategy.drift_report(staged, table(spark, sf, "orders").schema)
+    store = Store(spark, root_for(spark, "orders_drift"))
+    acc = strategy.land_keyed(store, staging.stage_parquet(table(spark, sf, "orders")), "orders_acc",
+                              ["o_orderkey"], "upsert", None).state
+    drifted = staging.stage_parquet(spark.sql(DRIFT_SQL))
+    try:
+        strategy.land_keyed(store, drifted, "orders_acc", ["o_orderkey"], "upsert", acc)
+        raise AssertionError("a drifted delta must be refused")
+    except GuardError:
+        pass
+    rows = strategy.drift_report(drifted.df.schema, acc.schema)
     return spark.createDataFrame(rows, "column string, change string, table_type string, select_type string")
 
 
