@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from tessera.model import Export, Product
 from tessera.plans import fs
 from tessera.plans.store import Store
 
+log = logging.getLogger("tessera")
+
 # Fixed value: default retention window in days.
 DEFAULT_RETENTION_DAYS = 30
 _SEP = "\u001f"
@@ -188,7 +191,7 @@ def expire(spark: SparkSession, root: str, cutoff: datetime, keep_pins: bool = T
         try:
             fs.delete(spark, store.path("versions", f"{v}.json"), False)
         except Exception as e:  # retention never fails a run
-            print(f"warning: could not expire version {v}: {e}")
+            log.warning("could not expire version %s: %s", v, e)
     return out
 
 
