@@ -40,7 +40,7 @@ from tessera.plans.store import Store, TableState, iso, utc_now
 from tessera.sources.jdbc import read_jdbc
 from tessera.sources.product import data_as_of
 from tessera.sources.raw import read_raw
-from tessera.sources.staging import Staged, stage_parquet
+from tessera.sources.staging import Staged, size_estimate, stage_parquet
 
 
 @dataclass
@@ -128,6 +128,7 @@ def run(
 
     for src in product.sources.values():
         df, info = read_source(spark, src)
+        info["estimated_bytes"] = size_estimate(df)  # A11: reported before any read, from plan statistics
         if src.incremental is not None:
             kind, warns = validate_cursor(df, src.incremental.cursor, src.name)
             warnings += warns

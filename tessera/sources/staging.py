@@ -68,6 +68,14 @@ class Preflight:
     warning: str | None = None
 
 
+def size_estimate(df: DataFrame) -> int | None:
+    """Estimated bytes from the optimized plan's statistics (no job); None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
 def preflight(spark: SparkSession, sql: str) -> Preflight:
     """Analyse a query without running it; invalid queries fail, estimated bytes reported.
 
@@ -78,8 +86,7 @@ def preflight(spark: SparkSession, sql: str) -> Preflight:
         df = spark.sql(sql)
     except (ParseException, AnalysisException):
         raise
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return Preflight(ok=True, bytes=size)
-    except Exception as e:  # statistics unavailable: warn, do not fail
-        return Preflight(ok=True, bytes=None, warning=f"size estimate unavailable: {e}")
+    size = size_estimate(df)
+    if size is None:  # statistics unavailable: warn, do not fail
+        return Preflight(ok=True, bytes=None, warning="size estimate unavailable")
+    return Preflight(ok=True, bytes=size)
