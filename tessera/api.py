@@ -64,8 +64,23 @@ class DataProduct:
             [(s.name, s.incremental.cursor) for s in self.product.incremental_sources()], "source string, cursor string"
         )
         st["watermarks"] = delta.watermark_status(declared, self.watermarks())
+        st["last_run"] = self._summary(self.store.latest())
         return st
 
+    def _summary(self, version: int | None) -> dict | None:
+        """The published run's summary, trimmed to what a status line shows."""
+        if version is None:
+            return None
+        path = self.store.path("history", f"{version}.json")
+        if not fs.exists(self.spark, path):
+            return None
+        h = json.loads(fs.read_text(self.spark, path))
+        return {
+            "execution": h.get("execution"), "outcome": h.get("outcome"), "started_at": h.get("started_at"),
+            "finished_at": h.get("finished_at"),
+            "tables": {t["table"]: t["rows"] for t in h.get("transforms", [])},
+        }
+
     def history(self) -> DataFrame:
         return catalog.run_history(self.spark, self.root)
 
@@ -84,11 +99,8 @@ class DataProduct:
     def upstreams(self) -> DataFrame:
         """Declared upstream products joined to what the published run read (H7)."""
         latest = self.store.latest()
-        summary = None
-        if latest is not None:
-            path = self.store.path("history", f"{latest}.json")
-            if fs.exists(self.spark, path):
-                summary = json.loads(fs.read_text(self.spark, path))
+        path = self.store.path("history", f"{latest}.json") if latest is not None else None
+        summary = json.loads(fs.read_text(self.spark, path)) if path and fs.exists(self.spark, path) else None
         return catalog.upstreams(self.spark, self.product, summary)
 
     def attach(self, version: int | None = None, prefix: str = "") -> dict[str, DataFrame]:

@@ -30,7 +30,9 @@ def test_build_release_read_probe_context(spark, root):
     assert p["example"] == "order_date=2025-03-01&region=north"
     ctx = dp.context()
     assert ctx["pins"] == {"orders_daily@2": 1} and ctx["execution"] == 2 and len(ctx["digest"]) == 64
-    assert dp.status()["status"] == "verified"
+    st = dp.status()
+    assert st["status"] == "verified" and st["last_run"]["outcome"] == "success"
+    assert st["last_run"]["tables"] == {"stg_orders": 5, "orders_daily": 4}
     assert dp.history().select("execution").distinct().count() == 2
 
 
