@@ -17,3 +17,12 @@ def test_job_entry_point_commands(spark, root, capsys):
     assert main(["rollback", FIXTURE, "--root", root], spark=spark)["to"] == 1
     assert len(main(["history", FIXTURE, "--root", root], spark=spark)) == 4
     assert '"orders_daily@2"' in capsys.readouterr().out
+
+
+def test_context_and_expire_commands(spark, root):
+    main(["run", FIXTURE, "--root", root], spark=spark)
+    ctx = main(["context", FIXTURE, "--root", root], spark=spark)
+    assert ctx["execution"] == 1 and [e["route"] for e in ctx["exports"]] == ["orders_daily@2", "orders_latest@1"]
+    main(["run", FIXTURE, "--root", root], spark=spark)
+    out = main(["expire", FIXTURE, "--root", root, "--retention-days", "0"], spark=spark)
+    assert out["expired_versions"] == [1]
