@@ -246,3 +246,17 @@ def test_jdbc_delta_is_staged_once_and_cleaned_up(spark, sf, root, monkeypatch):
     res2 = run(spark, p, root)
     assert res2.summary["sources"][0]["rows"] == 0 and res2.watermarks == res.watermarks
     assert [n for n, is_dir, _, _ in fs.list_dir(spark, stage_root) if is_dir] == leftovers  # staged data removed
+
+
+def test_bound_export_verified_against_live_source(spark, sf, root):
+    """a bound export is checked against its live source, in a run and in a standalone verify."""
+    from tessera.plans.run import verify_published
+    src = {"lineitem": Source(name="lineitem", uri=f"{sf}/lineitem.parquet")}
+    bad = Product(name="li", sources=src, transforms=[Transform(name="n", sql="SELECT count(*) AS n FROM lineitem")],
+                  exports=[Export(name="lines", bind="lineitem", grain=["l_orderkey", "l_linenumber"],
+                                  schema={"l_orderkey": ColumnSpec("bigint")})])
+    with pytest.raises(VerifyError, match=r"lines@1: grain \['l_orderkey', 'l_linenumber'\] is not unique"):
+        run(spark, bad, root)
+    assert Store(spark, root).latest() is None
+    with pytest.raises(VerifyError, match="not unique"):
+        verify_published(spark, bad, root)
