@@ -7,10 +7,14 @@ each transform with ``spark.sql``, lands the result with ``append``/``upsert``/
 contract and commits all tables plus watermarks as one immutable snapshot.
 """
 
-from tessera.model import Export, Incremental, Product, Source, Transform, load_product
+from tessera.api import DataProduct
+from tessera.model import ColumnSpec, Export, Incremental, Product, Source, Transform, load_product, load_profile
 from tessera.session import ensure_checkpoint_dir, scratch_path
 
 __all__ = [
+    "ColumnSpec",
+    "DataProduct",
+    "load_profile",
     "Export",
     "Incremental",
     "Product",
