@@ -7,11 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from tessera.plans.registry import TABLES
+from tessera.plans.registry import ORACLE, QUERIES, TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+CALLS = E.queries()
 
 
 def _norm(v):
@@ -43,7 +42,7 @@ def duck():
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
-    df = QUERIES[key](spark, SF)
+    df = CALLS[key](spark, SF)
     got = [tuple(r) for r in df.collect()]
     if key not in ORACLE:
         assert df.columns  # rows-only: it runs and has a stable schema
