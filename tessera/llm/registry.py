@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import bpe_transducer
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -18,11 +19,16 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_bpe_transducer": op2_bpe_transducer,
     "op3_token_counts": op3_token_counts,
 }
 
