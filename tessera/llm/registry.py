@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer
+from tessera.llm import bpe_transducer, decontaminate, simhash_index
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -27,9 +27,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.Decontaminator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.report().withColumnRenamed("id", "doc_id")
+
+
+def op6_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_simhash_index": op6_simhash_index,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontaminate": decontaminate.ORACLE,
+}
