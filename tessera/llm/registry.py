@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, decontaminate, simhash_index
+from tessera.llm import bpe_transducer, decontaminate, simhash_index, sketches, warc
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -19,6 +19,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -32,17 +36,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.report().withColumnRenamed("id", "doc_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
     "op6_simhash_index": op6_simhash_index,
 }
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
