@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, decontaminate, simhash_index, sketches, toxicity, warc
+from tessera.llm import bpe_transducer, decontaminate, simhash_index, sketches, toxicity, url_filter, warc
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -44,6 +44,10 @@ def op6_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.pages_through_lists(spark, sf_dir)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,10 +59,12 @@ QUERIES: dict[str, Query] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_simhash_index": op6_simhash_index,
+    "op7_url_filter": op7_url_filter,
     "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
 }
