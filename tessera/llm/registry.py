@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, decontaminate, simhash_index, sketches, toxicity, url_filter, warc
+from tessera.llm import bpe_transducer, decontaminate, quotation, simhash_index, sketches, toxicity, url_filter, warc
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -48,6 +48,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.pages_through_lists(spark, sf_dir)
 
 
+def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.linked_conversations(spark, sf_dir)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_simhash_index": op6_simhash_index,
     "op7_url_filter": op7_url_filter,
+    "op8_quotation": op8_quotation,
     "op9_toxicity": op9_toxicity,
 }
 
