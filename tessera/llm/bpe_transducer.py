@@ -117,16 +117,29 @@ class Transducer:
         return self._merge(symbols)
 
     def _merge(self, ids: list[int]) -> list[int]:
-        pairs = self.v.pairs
-        if len(ids) > 48:
-            return _merge_long(pairs, ids)
-        while len(ids) > 1:
-            found = [(r, i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := pairs.get(p))]
-            if not found:
-                break
-            (_, new), i = min(found)
-            ids[i : i + 2] = [new]
-        return ids
+        return _merge_short(self.v.pairs, ids) if len(ids) <= 48 else _merge_long(self.v.pairs, ids)
+
+
+#: Stands for a pair without a merge.
+NONE = (1 << 62, -1)
+
+
+def _merge_short(pairs: dict, ids: list[int]) -> list[int]:
+    """Applies the lowest-ranked merge until none is left; ``ids`` is changed."""
+    get = pairs.get
+    ranks = [get(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+    while ranks:
+        best = min(ranks)
+        if best is NONE:
+            break
+        i = ranks.index(best)
+        ids[i] = best[1]
+        del ids[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = get((best[1], ids[i + 1]), NONE)
+        if i:
+            ranks[i - 1] = get((ids[i - 1], best[1]), NONE)
+    return ids
 
 
 def _merge_long(pairs: dict, ids: list[int]) -> list[int]:
@@ -162,23 +175,40 @@ class Encoder(dict):
 
         self.v, self.block, self.step = vocabulary, block, step
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+        self.known: dict[str, bytes] = {}  # the same for pieces
         self.words = regex.compile(r"\P{White_Space}+")
         self.separators = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the vocabulary does not
         self.marks = re.compile("|".join(map(re.escape, vocabulary.special))) if vocabulary.special else None
 
     def __missing__(self, word: str) -> bytes:
-        ids: list[int] = []
-        for m in self.pieces.finditer(word):
-            piece = Transducer(self.v, self.step)
-            ids += piece.feed(m.group().encode("utf-8"))
-            ids += piece.finish()
-        out = np.array(ids, dtype="<u4").tobytes()
+        find = (self.ascii_pieces if word.isascii() else self.pieces).findall
+        out = b"".join(map(self._piece, find(word)))
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[word] = out
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        known = self.known.get(piece)
+        if known is not None:
+            return known
+        raw = piece.encode("utf-8")
+        if len(raw) <= self.v.lookahead:  # nothing can be stable before the piece ends
+            symbols = [self.v.symbol[b] for b in raw]
+            symbols[-1] = self.v.last_symbol[raw[-1]]
+            ids = _merge_short(self.v.pairs, symbols) if len(raw) <= 48 else _merge_long(self.v.pairs, symbols)
+        else:
+            transducer = Transducer(self.v, self.step)
+            ids = transducer.feed(raw) + transducer.finish()
+        out = np.array(ids, dtype="<u4").tobytes()
+        if len(piece) <= CACHE_LENGTH:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[piece] = out
+        return out
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of the whole text as little-endian unsigned 32-bit integers, in parts."""
         at = 0
