@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, decontaminate, quotation, simhash_index, sketches, toxicity, url_filter, warc
+from tessera.llm import bpe_transducer, decontaminate, gated_lm, quotation, simhash_index, sketches, toxicity, url_filter, warc
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -56,6 +56,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe_transducer": op2_bpe_transducer,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_quotation": op8_quotation,
     "op9_toxicity": op9_toxicity,
+    "op10_gated_lm": op10_gated_lm,
 }
 
 ORACLE: dict[str, str] = {
