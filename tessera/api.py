@@ -145,11 +145,11 @@ class DataProduct:
     # ------------------------------------------------------------ retention
 
     def expire(self, retention_days: int = snapshots.DEFAULT_RETENTION_DAYS, now: datetime | None = None) -> dict:
-        """Expire old unpinned versions, then sweep files unreferenced for a further full window."""
+        """Expire old unpinned versions; remove data that has been unreferenced for a full window."""
         now = now or datetime.now(timezone.utc).replace(tzinfo=None)
         window = timedelta(days=retention_days)
-        expired = snapshots.expire(self.spark, self.root, now - window)
-        swept = snapshots.sweep_orphans(self.spark, self.root, now - 2 * window)
+        swept = snapshots.sweep_orphans(self.spark, self.root, now - window)
+        expired = snapshots.expire(self.spark, self.root, now - window, now=now)
         return {"expired_versions": expired, "removed_paths": swept}
 
     def freshness(self, now: datetime | None = None) -> DataFrame:

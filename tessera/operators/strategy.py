@@ -5,10 +5,14 @@ Guard order is observable and fixed: bootstrap -> NULL keys -> duplicate keys
 
 Landing works on the key-bucketed layout of :mod:`tessera.plans.store`:
 rows with equal keys always live in the same bucket, so ``append`` and
-``upsert`` read only the buckets the delta touches. The delta's keys are
-broadcast to that read only when the staged delta is measured to be small;
-otherwise Spark shuffles both sides on the key (keys are unique on both sides
-of these joins, so no key can be hot).
+``upsert`` read only the buckets the delta touches. That holds only for a table
+laid out on the same key: when a transform's strategy or key changes, or the
+buckets have outgrown their target size, the whole table is read, shown unique
+on the key and laid out anew before anything lands.
+
+The delta's keys are broadcast to the read only when their measured bytes in
+memory are within a bound; otherwise Spark shuffles both sides on the key with
+its own partitioning (keys are unique on both sides, so no key can be hot).
 """
 
 from __future__ import annotations
@@ -21,11 +25,20 @@ from pyspark.sql import types as T
 
 from tessera.errors import GuardError
 from tessera.functions.columns import key_display
-from tessera.plans.store import BUCKET_COL, Store, TableState, bucket_of, buckets_for_bytes, part_dir_of
+from tessera.plans.store import (
+    BUCKET_COL,
+    BUCKET_TARGET_BYTES,
+    Store,
+    TableState,
+    bucket_of,
+    buckets_for_bytes,
+    part_dir_of,
+)
 from tessera.sources.staging import Staged
 
-# Broadcast the delta's keys only below this many staged bytes (a measured bound).
+# Broadcast the delta's keys only up to this many bytes, counted uncompressed with a row's overhead in a hash table.
 BROADCAST_DELTA_BYTES = 64 * 1024 * 1024
+HASHED_ROW_BYTES = 48
 DUP_SAMPLE = 5
 
 
@@ -142,6 +155,7 @@ class GuardStats:
     nulls: dict[str, int]
     duplicate_keys: int
     touched: set[int]
+    key_bytes: int = 0  # of the distinct keys, as a hash table would hold them
 
 
 def guard_stats(delta: DataFrame, key: list[str], buckets: int) -> GuardStats:
@@ -155,11 +169,14 @@ def guard_stats(delta: DataFrame, key: list[str], buckets: int) -> GuardStats:
             for i, k in enumerate(key)]
     aggs.append(F.count_if(F.col("__n") > 1).alias("__dups"))
     aggs.append(F.collect_set(bucket_of(key, buckets)).alias("__touched"))
+    widths = [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in key]
+    aggs.append(F.coalesce(F.sum(sum(widths, F.lit(HASHED_ROW_BYTES))), F.lit(0)).alias("__bytes"))
     r = groups.agg(*aggs).first()
     return GuardStats(
         nulls={k: int(r[f"__null{i}"]) for i, k in enumerate(key)},
         duplicate_keys=int(r["__dups"]),
         touched={int(b) for b in (r["__touched"] or [])},
+        key_bytes=int(r["__bytes"]),
     )
 
 
@@ -216,8 +233,7 @@ def land_keyed(
         # count is chosen again from the rebuilt size, so a table that grew gets more buckets.
         nb = buckets or buckets_for_bytes(staged.bytes)
         parts, rows = store.write_bucketed(delta, table, key, nb)
-        st = TableState(table, delta.schema, list(key), nb, parts, rows, strategy, statement,
-                        touched=sorted(p["bucket"] for p in parts))
+        st = TableState(table, delta.schema, list(key), nb, parts, rows, strategy, statement)
         return Landing(st, rows, len(parts), nb)
     drift = schema_drift(delta.schema, current.schema)
     if drift:
@@ -226,36 +242,31 @@ def land_keyed(
             "run a full refresh to rebuild it with the new shape"
         )
     delta = _conform(delta, current.schema)
+    want = _layout_needed(current, key, buckets, staged.bytes)
+    relaid = 0
+    if want is not None:
+        current = lay_out(store, current, key, want, label)
+        relaid, nb = current.rows, want
+        stats.touched = guard_stats(delta, key, nb).touched
     if staged.rows == 0:
-        st = TableState(table, current.schema, list(key), nb, current.parts, current.rows, strategy, statement,
-                        touched=[])
-        return Landing(st, 0, 0, nb)
+        st = TableState(table, current.schema, list(key), nb, current.parts, current.rows, strategy, statement)
+        return Landing(st, 0, 0, nb, rows_rewritten=relaid)
     touched = stats.touched
     if not current.parts:
         # Empty table: nothing to reconcile against.
         parts, rows = store.write_bucketed(delta, table, key, nb)
-        st = TableState(table, current.schema, list(key), nb, parts, rows, strategy, statement, touched=sorted(touched))
+        st = TableState(table, current.schema, list(key), nb, parts, rows, strategy, statement)
         return Landing(st, rows, len(parts), nb)
     target = store.read_state(current, touched)
-    small = staged.bytes <= BROADCAST_DELTA_BYTES
+    small = stats.key_bytes <= BROADCAST_DELTA_BYTES
+    bound = F.broadcast if small else (lambda df: df)
     if strategy == "append":
-        # Only keys absent from the table; stored rows are never rewritten.
-        if small:
-            # Broadcast the delta's keys into the touched-bucket scan; what matches is at most the delta.
-            existing = target.select(*key).join(F.broadcast(delta.select(*key)), key, "left_semi")
-            new_rows = delta.join(F.broadcast(existing), key, "left_anti")
-            parts, rows = store.write_bucketed(new_rows, table, key, nb)
-        else:
-            # Both sides hash-partitioned by key into B partitions, which is partitioning by bucket:
-            # the anti-join needs no further exchange and the write no rebalance.
-            d = _by_bucket(delta, key, nb)
-            new_rows = _anti(d, _by_bucket(target.select(*key), key, nb), key)
-            parts, rows = store.write_bucketed(new_rows, table, key, nb, clustered=True)
-        # Stored files are untouched and the new rows' keys were shown absent by the anti-join above,
-        # so verification has no bucket to rescan.
+        # Only keys absent from the table; stored rows are never rewritten. What matches is at most the delta.
+        existing = target.select(*key).join(bound(delta.select(*key)), key, "left_semi") if small else target.select(*key)
+        parts, rows = store.write_bucketed(delta.join(bound(existing), key, "left_anti"), table, key, nb)
         st = TableState(table, current.schema, list(key), nb, _sorted(current.parts + parts), current.rows + rows,
-                        strategy, statement, touched=[])
-        return Landing(st, rows, len(parts), nb)
+                        strategy, statement)
+        return Landing(st, rows, len(parts), nb, rows_rewritten=relaid)
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
     # 1) Which delta keys already exist, and in which part directories: only the key column (and the
     #    file path) of the touched buckets is read; one aggregate returns the match count and the
@@ -264,49 +275,56 @@ def land_keyed(
     matched, rewrite_dirs = 0, set()
     if current.dirs(touched):
         located = target.select(*key, part_dir_of(F.col("_metadata.file_path")).alias("__dir"))
-        existing = located.join(F.broadcast(dkeys) if small else dkeys, key, "left_semi")
+        existing = located.join(bound(dkeys), key, "left_semi")
         r = existing.agg(F.count(F.lit(1)).alias("n"), F.collect_set("__dir").alias("d")).first()
         matched, rewrite_dirs = int(r["n"]), set(r["d"] or [])
     rewrite = {p["bucket"] for p in current.parts if p["dir"] in rewrite_dirs}
     # 2) One write. Only directories holding an updated key are rewritten (their rows minus updated
     #    keys); every other delta row is a new key and lands as a new file in its bucket. Updates to
-    #    recently inserted keys rewrite only the recent directories, inserts rewrite nothing.
-    if small:
-        incoming = delta.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
-        kept = None
-        if rewrite_dirs:
-            # Stored rows are anti-joined where they lie (each file holds one bucket): no shuffle.
-            kept = store.read_dirs(current, rewrite_dirs).join(F.broadcast(dkeys), key, "left_anti")
-            kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
-    else:
-        incoming = _by_bucket(delta, key, nb)
-        kept = _anti(_by_bucket(store.read_dirs(current, rewrite_dirs), key, nb), incoming.select(*key), key) \
-            if rewrite_dirs else None
-    out = kept.unionByName(incoming) if kept is not None else incoming
+    #    recently inserted keys rewrite only the recent directories, inserts rewrite nothing. The number
+    #    of write tasks follows from the rows (rebalance), not from the bucket count.
+    incoming = delta.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
+    out = incoming
+    if rewrite_dirs:
+        # Broadcast keys meet stored rows where they lie (each file holds one bucket): no shuffle.
+        kept = store.read_dirs(current, rewrite_dirs).join(bound(dkeys), key, "left_anti")
+        kept = kept.withColumn(BUCKET_COL, bucket_of(key, nb))
+        out = (kept if small else kept.hint("rebalance", BUCKET_COL)).unionByName(incoming)
     parts, rows = store.write_bucketed(out, table, key, nb, clustered=True)
     carried = [p for p in current.parts if p["dir"] not in rewrite_dirs]
     total = current.rows - matched + staged.rows
-    # Verification rescans the buckets with a rewritten directory; rows appended elsewhere were shown
-    # absent from the table by step 1.
     st = TableState(table, current.schema, list(key), nb, _sorted(carried + parts), total, strategy, statement,
                     touched=sorted(rewrite))
-    return Landing(st, rows, len(rewrite), nb, rows_rewritten=rows - staged.rows)
+    return Landing(st, rows, len(rewrite), nb, rows_rewritten=rows - staged.rows + relaid)
 
 
-def _by_bucket(df: DataFrame, key: list[str], buckets: int) -> DataFrame:
-    """Rows hash-partitioned by key into ``buckets`` partitions (partition id == bucket), bucket tagged."""
-    return df.repartition(buckets, *key).withColumn(BUCKET_COL, bucket_of(key, buckets))
+def _layout_needed(current: TableState, key: list[str], buckets: int | None, incoming: int) -> int | None:
+    """The bucket count a stored table must be laid out with before rows can land on ``key``; None if it fits.
 
+    It does not fit when it was written without buckets (``replace``), on another key, or when its buckets
+    have grown past twice their target size. A count the transform names is kept as it is.
+    """
+    if not current.parts:
+        return None
+    stored = current.bytes
+    if not current.buckets or [k.lower() for k in current.key] != [k.lower() for k in key]:
+        return buckets or buckets_for_bytes(stored + incoming)
+    if buckets is None and stored + incoming > 2 * BUCKET_TARGET_BYTES * current.buckets:
+        wider = buckets_for_bytes(stored + incoming)
+        return wider if wider > current.buckets else None
+    return None
 
-def _anti(left: DataFrame, right_keys: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``left`` whose key is not in ``right_keys``, keeping ``left``'s partitioning.
 
-    Written as a left outer join and a NULL test on a marker: the optimizer moves
-    a left-anti join below a repartition (and then shuffles twice), an outer join
-    it leaves in place, so both co-partitioned sides meet without another exchange.
-    """
-    marked = right_keys.select(*key, F.lit(True).alias("__hit"))
-    return left.join(marked, key, "left").where(F.col("__hit").isNull()).drop("__hit")
+def lay_out(store: Store, current: TableState, key: list[str], buckets: int, label: str) -> TableState:
+    """The whole stored table written again, bucketed on ``key``, after a scan has shown it unique on that key."""
+    rows = store.read_state(current)
+    names = {f.name.lower(): f.name for f in current.schema.fields}
+    missing = [k for k in key if k.lower() not in names]
+    if missing:
+        raise GuardError(f"transform {label!r}: the stored table has no key column {missing[0]!r}; run a full refresh")
+    enforce_guards(rows, key, guard_stats(rows, key, buckets), f"{label} (rows already stored)")
+    parts, n = store.write_bucketed(rows, current.name, key, buckets)
+    return TableState(current.name, current.schema, list(key), buckets, parts, n, current.strategy, current.statement)
 
 
 # A bucket holding more directories than this is rewritten into one by the next landing.

@@ -33,13 +33,34 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
-    """Write a small file; with ``overwrite=False`` creation is exclusive (FileAlreadyExists)."""
+    """Write a small file whole or not at all: to a name of its own first, then renamed into place.
+
+    With ``overwrite=False`` the rename refuses an existing target (``FileExistsError``).
+    """
+    import uuid
+
+    from py4j.protocol import Py4JJavaError
+
     fs, p = _jpath(spark, path)
-    out = fs.create(p, bool(overwrite))
+    jvm = spark.sparkContext._jvm
+    fs.mkdirs(p.getParent())
+    temp = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temp, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE if overwrite else rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(temp), fs.makeQualified(p), how)
+    except Py4JJavaError as e:
+        fs.delete(temp, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from e
+        raise
 
 
 def delete(spark: SparkSession, path: str, recursive: bool = True) -> bool:

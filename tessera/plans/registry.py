@@ -532,6 +532,46 @@ def q_mat_upsert(spark, sf):
     return _two_runs(spark, sf, "upsert", "orders_upsert")
 
 
+@register(
+    "mat_strategy_change",
+    f"""
+SELECT 'append' AS strategy, * FROM ({ORD_T_SQL}
+  UNION ALL SELECT * FROM ({ORD_D_SQL}) d WHERE o_orderdate >= TIMESTAMP '{ORDERS_SPLIT} 00:00:00') a
+UNION ALL
+SELECT 'upsert' AS strategy, * FROM (SELECT {ORDER_COLS} FROM orders WHERE o_orderdate < TIMESTAMP '{ORDERS_OVERLAP} 00:00:00'
+  UNION ALL {ORD_D_SQL}) u
+""",
+)
+def q_mat_strategy_change(spark, sf):
+    """A table first built by ``replace`` and then landed by key: the stored rows are laid out on the key first."""
+    out = None
+    for name in ("append", "upsert"):
+        root = root_for(spark, f"orders_to_{name}")
+        run(spark, _orders_keyed(sf, ORD_T_SQL, "replace"), root)
+        res = run(spark, _orders_keyed(sf, ORD_D_SQL, name), root)
+        got = Store(spark, root).read_table("orders_acc", res.version).select(F.lit(name).alias("strategy"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register(
+    "mat_key_change",
+    f"""
+SELECT {ORDER_COLS} FROM orders WHERE o_orderdate < TIMESTAMP '{ORDERS_OVERLAP} 00:00:00'
+UNION ALL
+{ORD_D_SQL}
+""",
+)
+def q_mat_key_change(spark, sf):
+    """The key shrinks from (o_orderkey, o_custkey) to o_orderkey between two upserts."""
+    root = root_for(spark, "orders_rekeyed")
+    first = _orders_keyed(sf, ORD_T_SQL, "upsert")
+    first.transforms[0].key = ["o_orderkey", "o_custkey"]
+    run(spark, first, root)
+    res = run(spark, _orders_keyed(sf, ORD_D_SQL, "upsert"), root)
+    return Store(spark, root).read_table("orders_acc", res.version)
+
+
 @register("mat_replace", ORD_D_SQL)
 def q_mat_replace(spark, sf):
     return _two_runs(spark, sf, "replace", "orders_replace")

@@ -202,19 +202,21 @@ def run(
 
         verifications: list[Verification] = []
         if verify and product.exports:
-            frames, totals = verification_frames(spark, store, product, new_tables)
-            verifications = verify_all(product.exports, frames, totals=totals,
-                                       incremental=bool(product.incremental_sources()))
+            frames = {
+                e.route: spark.table(e.bind) if e.bind is not None else store.read_state(new_tables[e.table])
+                for e in product.exports
+            }
+            verifications = verify_all(product.exports, frames, incremental=bool(product.incremental_sources()))
 
         if replay_check:
             replay(spark, store, product, new_tables)
 
         version = None
         if commit:
-            version = store.commit(
-                new_tables, marks, product=product.name, parent=parent,
-                extra={"sources": sources_info},
-            )
+            extra = {"sources": sources_info}
+            if manifest.get("stream_batches"):
+                extra["stream_batches"] = manifest["stream_batches"]  # a stream into this store must still know its batches
+            version = store.commit(new_tables, marks, product=product.name, parent=parent, extra=extra)
         finished = utc_now()
         summary = {
             "execution": version, "snapshot": version, "product": product.name,
@@ -231,7 +233,7 @@ def run(
             # A refused run publishes nothing but still leaves a record of what it tried.
             store.write_failure({
                 "execution": None, "snapshot": None, "product": product.name, "started_at": iso(started),
-                "finished_at": iso(utc_now()), "outcome": f"failed: {type(e).__name__}: {e}"[:2000],
+                "finished_at": iso(utc_now()), "outcome": f"failed: {type(e).__name__}: {e}",
                 "full_refresh": full_refresh, "sources": sources_info, "transforms": transforms_info,
                 "warnings": warnings, "parent": parent,
             })
@@ -280,24 +282,6 @@ def verify_published(
     return out
 
 
-def verification_frames(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState]):
-    """What each export is verified on: the whole table, or only the rewritten buckets of a keyed one."""
-    frames: dict[str, DataFrame] = {}
-    totals: dict[str, int] = {}
-    for e in product.exports:
-        if e.bind is not None:
-            frames[e.route] = spark.table(e.bind)
-            continue
-        st = tables[e.table]
-        grain = {g.lower() for g in e.grain}
-        if st.key and st.touched is not None and grain and {k.lower() for k in st.key} <= grain:
-            frames[e.route] = store.read_state(st, set(st.touched))
-            totals[e.route] = st.rows
-        else:
-            frames[e.route] = store.read_state(st)
-    return frames, totals
-
-
 def replay(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState]) -> None:
     """Evaluate every transform again on the identical staged inputs; each table must be the same multiset.
 

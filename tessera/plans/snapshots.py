@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import logging
 from datetime import datetime, timezone
 
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from tessera.errors import StoreError
 from tessera.model import Export, Product
 from tessera.plans import fs
-from tessera.plans.store import Store
+from tessera.plans.store import Store, utc_now
 
 log = logging.getLogger("tessera")
 
@@ -113,38 +112,30 @@ def read_export_table(spark: SparkSession, root: str, export: Export) -> DataFra
 
 
 def rollback(spark: SparkSession, root: str, to: int | None = None) -> tuple[int, int]:
-    """Point LATEST at an earlier version; returns (from, to).
+    """Make an earlier version the published one; returns (from, to).
 
-    Default target: the greatest version below LATEST. Refused when it equals
-    LATEST, does not exist, or would drop a pinned snapshot (every pin must be
-    in the target's lineage). The next commit still numbers past the maximum.
+    Without ``to`` it is the version published before LATEST. A pinned route must keep its data, so the target's
+    lineage has to hold every pin. Later commits are still numbered past the greatest version.
     """
     store = Store(spark, root)
-    current = store.latest()
-    if current is None:
-        raise StoreError("no LATEST pointer: nothing to roll back")
-    versions = store.versions()
-    if to is None:
-        earlier = [v for v in versions if v < current]
-        if not earlier:
-            raise StoreError(f"LATEST is {current} and there is no earlier version")
-        to = earlier[-1]
-    if to == current:
-        raise StoreError(f"LATEST already points at {current}")
-    if to not in versions:
-        rng = f"{versions[0]}..{versions[-1]}" if versions else "none"
-        raise StoreError(f"version {to} does not exist; available: {rng}")
-    pins = store.releases().get("routes", {})
-    if pins:
-        lineage = set(store.lineage(to))
-        for route, pin in sorted(pins.items()):
-            if pin not in lineage:
-                raise StoreError(
-                    f"rollback to {to} refused: route {route!r} is pinned to version {pin}, which the target does "
-                    "not contain; release again after rolling back, or pick a target that contains the pin"
-                )
-    store.set_latest(to)
-    return current, to
+    published = store.latest()
+    if published is None:
+        raise StoreError("this store has not published anything yet")
+    known = store.versions()
+    target = max((v for v in known if v < published), default=None) if to is None else to
+    if target is None:
+        raise StoreError(f"version {published} is the oldest one kept: there is no earlier version")
+    if target == published:
+        raise StoreError(f"nothing to do: the store already points at version {target}")
+    if target not in known:
+        raise StoreError(f"version {target} does not exist; kept versions: {', '.join(map(str, known))}")
+    held = set(store.lineage(target))
+    lost = {route: pin for route, pin in store.releases().get("routes", {}).items() if pin not in held}
+    if lost:
+        named = "; ".join(f"{route} is pinned to version {pin}" for route, pin in sorted(lost.items()))
+        raise StoreError(f"version {target} was not built on every released version: {named}")
+    store.set_latest(target)
+    return published, target
 
 
 # ------------------------------------------------------------------ retention
@@ -179,8 +170,11 @@ def select_expirable(versions: DataFrame, pins: DataFrame, cutoff) -> DataFrame:
     return unpinned.where(F.col("version") != F.lit(newest)).select("version", "committed_at")
 
 
-def expire(spark: SparkSession, root: str, cutoff: datetime, keep_pins: bool = True) -> list[int]:
-    """Delete expirable manifests (the data they alone referenced becomes orphaned)."""
+def expire(spark: SparkSession, root: str, cutoff: datetime, keep_pins: bool = True, now: datetime | None = None) -> list[int]:
+    """Expire versions committed before ``cutoff``: manifest and run summary go, a tombstone stays.
+
+    The data stays readable for whoever opened it; ``sweep_orphans`` removes it a window after the tombstone's time.
+    """
     store = Store(spark, root)
     pins = store.releases().get("routes", {}) if keep_pins else {}
     pin_df = spark.createDataFrame([(int(v),) for v in set(pins.values())], "version long")
@@ -189,20 +183,30 @@ def expire(spark: SparkSession, root: str, cutoff: datetime, keep_pins: bool = T
     out = sorted(int(r["version"]) for r in doomed.select("version").collect())  # one small int per manifest
     for v in out:
         try:
-            fs.delete(spark, store.path("versions", f"{v}.json"), False)
+            store.bury(v, _aware(now) if now else utc_now())
         except Exception as e:  # retention never fails a run
             log.warning("could not expire version %s: %s", v, e)
     return out
 
 
-def orphan_files(listing: DataFrame, referenced: DataFrame, cutoff) -> DataFrame:
-    """Data files whose directory no manifest references, last modified before ``cutoff``.
+def _aware(ts: datetime) -> datetime:
+    return ts if ts.tzinfo is not None else ts.replace(tzinfo=timezone.utc)
+
 
-    The cutoff lags one full retention window so a run still writing is never swept.
+def orphan_files(listing: DataFrame, referenced: DataFrame, cutoff, tombstones: DataFrame | None = None) -> DataFrame:
+    """Data files no manifest references and that have been unreferenced since before ``cutoff``.
+
+    A directory of an expired version counts from its latest tombstone (``tombstones``: dir, expired_at), however
+    old its files are; a directory no version ever referenced (a refused run) counts from its files' time.
     """
     refs = referenced.select("dir").distinct()
-    old = listing.where(F.col("mtime") < _cutoff(cutoff, listing.schema["mtime"].dataType))
-    return old.join(refs, "dir", "left_anti")
+    loose = listing.join(refs, "dir", "left_anti")
+    if tombstones is None:
+        return loose.where(F.col("mtime") < _cutoff(cutoff, listing.schema["mtime"].dataType))
+    buried = tombstones.where("dir is not null").groupBy("dir").agg(F.max("expired_at").alias("__expired"))
+    old_file = F.col("mtime") < _cutoff(cutoff, listing.schema["mtime"].dataType)
+    old_grave = F.col("__expired") < _cutoff(cutoff, tombstones.schema["expired_at"].dataType)
+    return loose.join(buried, "dir", "left").where(F.when(F.col("__expired").isNull(), old_file).otherwise(old_grave)).drop("__expired")
 
 
 def orphan_deletions(orphans: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -220,16 +224,37 @@ def orphan_deletions(orphans: DataFrame, referenced: DataFrame) -> DataFrame:
     return whole.unionByName(partial)
 
 
-def sweep_orphans(spark: SparkSession, root: str, cutoff: datetime) -> int:
-    """Delete orphan data (G8); returns the number of paths removed."""
-    store = Store(spark, root)
-    refs = store.referenced_dirs_df()
-    orphans = orphan_files(store.data_files_df(), refs, cutoff)
-    paths = [r["path"] for r in orphan_deletions(orphans, refs).collect()]  # one path per write, mostly
-    for d in paths:
-        fs.delete(spark, store.path(d), True)
-    return len(paths)
+def sweep_orphans(spark: SparkSession, root: str, cutoff: datetime, workers: int = 16) -> int:
+    """Delete data unreferenced since before ``cutoff`` (G8); returns the number of paths removed.
 
+    Paths stream through the driver a partition at a time and are deleted side by side; a path that cannot be
+    deleted is left for the next sweep. Tombstones whose time is over go last, so an interrupted sweep repeats.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, root)
+    refs, graves = store.referenced_dirs_df(), store.tombstones_df()
+    orphans = orphan_files(store.data_files_df(), refs, cutoff, graves)
+    paths = orphan_deletions(orphans, refs)
 
-def manifest_json(spark: SparkSession, root: str, version: int | None = None) -> str:
-    return json.dumps(Store(spark, root).manifest(version), indent=2)
+    def remove(path: str) -> int:
+        try:
+            fs.delete(spark, store.path(path), True)
+            return 1
+        except Exception as e:
+            log.warning("could not remove %s: %s", path, e)
+            return 0
+
+    removed = 0
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        held: list[str] = []
+        for row in paths.toLocalIterator():
+            held.append(row["path"])
+            if len(held) >= 1000:
+                removed += sum(pool.map(remove, held))
+                held = []
+        removed += sum(pool.map(remove, held))
+    over = graves.where(F.col("expired_at") < _cutoff(cutoff, graves.schema["expired_at"].dataType)).select("version").distinct()
+    for row in over.toLocalIterator():
+        fs.delete(spark, store.path("tombstones", f"{row['version']}.json"), False)
+    return removed

@@ -12,8 +12,8 @@ A manifest lists every table's schema, key, bucket count, row count and the
 explicit directories that hold its rows, plus the watermarks and the landed
 stream batches. A reader opens one manifest and lists those directories; it
 never globs ``data/``. Keyed tables are hash-bucketed on the key
-(``pmod(murmur3(key), B)``, the shuffle partition id; B fixed at creation) so an upsert rewrites only
-the buckets its delta touches and carries the rest over by reference.
+(``pmod(murmur3(key), B)``, the shuffle partition id; B chosen again when the buckets outgrow their
+target) so an upsert rewrites only the buckets its delta touches and carries the rest over by reference.
 
 Commit is the exclusive creation of ``versions/<N>.json`` with N one past the
 greatest existing version (never LATEST+1: after a rollback LATEST is not the
@@ -94,6 +94,11 @@ class TableState:
             touched=d.get("touched"),
         )
 
+    @property
+    def bytes(self) -> int:
+        """Stored bytes of the table's parts, as measured when they were written."""
+        return sum(int(p.get("bytes") or 0) for p in self.parts)
+
     def dirs(self, buckets: set[int] | None = None) -> list[str]:
         if buckets is None:
             return [p["dir"] for p in self.parts]
@@ -142,17 +147,19 @@ class Store:
     # ----------------------------------------------------------- versions
 
     def versions(self) -> list[int]:
-        out = []
-        for name, is_dir, _, _ in fs.list_dir(self.spark, self.path("versions")):
-            if not is_dir and name.endswith(".json") and name[:-5].isdigit():
-                out.append(int(name[:-5]))
-        return sorted(out)
+        """Readable versions; an empty manifest (a writer that died) is none."""
+        return sorted(v for v, size in self._manifest_sizes().items() if size > 0)
+
+    def _manifest_sizes(self) -> dict[int, int]:
+        files = fs.list_dir(self.spark, self.path("versions"))
+        return {int(name[:-5]): size for name, is_dir, _, size in files if not is_dir and name.endswith(".json") and name[:-5].isdigit()}
 
     def latest(self) -> int | None:
         p = self.path("LATEST")
         if not fs.exists(self.spark, p):
             return None
-        return int(fs.read_text(self.spark, p).strip())
+        text = fs.read_text(self.spark, p).strip()
+        return int(text) if text else None
 
     def manifest(self, version: int | None = None) -> dict | None:
         v = self.latest() if version is None else version
@@ -170,13 +177,22 @@ class Store:
         return {d["name"]: TableState.from_json(d) for d in m["tables"]}
 
     def lineage(self, version: int) -> list[int]:
-        """Versions reachable from ``version`` by parent links (itself first)."""
-        out = []
-        v: int | None = version
-        while v is not None:
-            out.append(v)
-            v = self.manifest(v).get("parent")
-        return out
+        """Versions whose rows ``version`` was built on (itself first), as its manifest records them.
+
+        Recorded, not walked: expired ancestors stay in the lineage. Manifests written before the record existed
+        are followed by their parents as far as those still exist.
+        """
+        m = self.manifest(version)
+        out = [version]
+        while "lineage" not in m:
+            parent = m.get("parent")
+            if parent is None or parent in out:
+                return out
+            out.append(parent)
+            if parent not in self.versions():
+                return out
+            m = self.manifest(parent)
+        return out + [v for v in m["lineage"] if v not in out]
 
     def set_latest(self, version: int) -> None:
         fs.write_text(self.spark, self.path("LATEST"), str(version), overwrite=True)
@@ -214,7 +230,8 @@ class Store:
         obs = Observation(f"w_{uuid.uuid4().hex[:8]}")
         df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(self.path(rel))
         rows = int(obs.get["rows"])
-        return ([{"bucket": None, "dir": rel}] if rows > 0 else []), rows
+        size = fs.du(self.spark, self.path(rel))
+        return ([{"bucket": None, "dir": rel, "bytes": size}] if rows > 0 else []), rows
 
     def write_bucketed(
         self, df: DataFrame, table: str, key: list[str], buckets: int, clustered: bool = False
@@ -243,6 +260,10 @@ class Store:
             if is_dir and name.startswith(BUCKET_COL + "="):
                 parts.append({"bucket": int(name.split("=", 1)[1]), "dir": f"{rel}/{name}"})
         parts.sort(key=lambda p: p["bucket"])
+        # One measurement per write; keys are hashed, so its buckets are of about one size.
+        size = fs.du(self.spark, self.path(rel)) if parts else 0
+        for p in parts:
+            p["bytes"] = size // len(parts)
         return parts, rows
 
     # ----------------------------------------------------------- commit
@@ -267,20 +288,45 @@ class Store:
             "watermarks": list(watermarks or []),
         }
         body.update(extra or {})
+        before = self.lineage(parent) if parent is not None else []
         last_err = None
         for _ in range(COMMIT_ATTEMPTS):
-            existing = self.versions()
-            n = (existing[-1] + 1) if existing else 1
-            body["version"] = n
+            n = max([0, *self._manifest_sizes(), *self.tombstoned()]) + 1
+            body["version"], body["lineage"] = n, [n, *before]
             try:
                 fs.write_text(self.spark, self.path("versions", f"{n}.json"), json.dumps(body), overwrite=False)
-            except Exception as e:  # another writer took N
+            except FileExistsError as e:  # another writer took N
                 last_err = e
                 continue
             self.set_latest(n)
             return n
         raise StoreError(f"could not commit after {COMMIT_ATTEMPTS} attempts: {last_err}")
 
+    # ----------------------------------------------------------- tombstones
+
+    def tombstoned(self) -> list[int]:
+        """Expired versions whose data may still lie in the store."""
+        files = fs.list_dir(self.spark, self.path("tombstones"))
+        return sorted(int(name[:-5]) for name, is_dir, _, _ in files if not is_dir and name[:-5].isdigit())
+
+    def bury(self, version: int, expired_at: datetime) -> None:
+        """Replace a version's manifest and run summary by a tombstone that remembers its directories."""
+        m = self.manifest(version)
+        dirs = sorted({p["dir"] for t in m["tables"] for p in t.get("parts") or []})
+        doc = {"version": version, "expired_at": iso(expired_at), "dirs": dirs}
+        fs.write_text(self.spark, self.path("tombstones", f"{version}.json"), json.dumps(doc))
+        fs.delete(self.spark, self.path("versions", f"{version}.json"), False)
+        fs.delete(self.spark, self.path("history", f"{version}.json"), False)
+
+    def tombstones_df(self) -> DataFrame:
+        """(version, expired_at, dir) of expired versions."""
+        schema = "version bigint, expired_at string, dirs array<string>"
+        if not self.tombstoned():
+            empty = self.spark.createDataFrame([], schema)
+        else:
+            empty = self.spark.read.schema(schema).option("multiLine", "true").json(self.path("tombstones", "*.json"))
+        return empty.select("version", F.to_timestamp_ntz("expired_at").alias("expired_at"), F.explode_outer("dirs").alias("dir"))
+
     # ----------------------------------------------------------- release pins
 
     def releases(self) -> dict:

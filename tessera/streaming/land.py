@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.strategy import keep_latest, land_keyed
-from tessera.plans.store import Store
+from tessera.operators.strategy import compact, keep_latest, land_keyed
+from tessera.plans.store import Store, iso, utc_now
 from tessera.sources.staging import stage_parquet
 
 BATCH_KEY = "stream_batches"
@@ -25,6 +25,7 @@ def _lander(store: Store, table: str, key: list[str], strategy: str, order: list
         done = (manifest.get(BATCH_KEY) or {}).get(table)
         if done is not None and batch_id <= int(done):
             return  # retried batch: already committed
+        started = utc_now()
         if order:
             batch = keep_latest(batch, key, order)  # several deliveries of one key inside a batch
         staged = stage_parquet(batch)
@@ -32,11 +33,24 @@ def _lander(store: Store, table: str, key: list[str], strategy: str, order: list
             tables = store.tables()
             landing = land_keyed(store, staged, table, key, strategy, tables.get(table), label=f"stream:{table}",
                                  buckets=buckets)
+            # A batch a minute must not leave directories behind without end.
+            landing.state, compacted = compact(store, landing.state)
             tables[table] = landing.state
             batches = dict(manifest.get(BATCH_KEY) or {})
             batches[table] = int(batch_id)
-            store.commit(tables, manifest.get("watermarks", []), product=manifest.get("product"),
-                         extra={BATCH_KEY: batches})
+            version = store.commit(tables, manifest.get("watermarks", []), product=manifest.get("product"),
+                                   extra={BATCH_KEY: batches})
+            store.write_history(version, {
+                "execution": version, "snapshot": version, "product": manifest.get("product"), "started_at": iso(started),
+                "finished_at": iso(utc_now()), "outcome": "success", "full_refresh": False, "sources": [],
+                "transforms": [{
+                    "table": table, "strategy": strategy, "rows_written": landing.rows_written, "rows": landing.state.rows,
+                    "buckets_touched": landing.buckets_touched, "rows_rewritten": landing.rows_rewritten,
+                    "buckets": landing.buckets_total, "seconds": (utc_now() - started).total_seconds(),
+                    "statement": f"stream batch {batch_id}",
+                }],
+                "warnings": [f"table {table!r}: compacted {compacted} bucket(s)"] if compacted else [], "verified": False,
+            })
         finally:
             staged.cleanup()
 

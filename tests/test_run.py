@@ -260,3 +260,89 @@ def test_bound_export_verified_against_live_source(spark, sf, root):
     assert Store(spark, root).latest() is None
     with pytest.raises(VerifyError, match="not unique"):
         verify_published(spark, bad, root)
+
+
+def test_duplicate_in_an_untouched_bucket_is_refused(spark, root, sf, tmp_path):
+    """Verification counts the whole export: a stored duplicate is found even if the run lands elsewhere."""
+    from tessera.plans.store import BUCKET_COL, TableState, bucket_of
+
+    path = str(tmp_path / "in.parquet")
+    spark.createDataFrame([(5, "n")], "id int, val string").write.parquet(path)
+    store = Store(spark, root)
+    stored = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, val string")
+    parts, rows = store.write_bucketed(stored.withColumn(BUCKET_COL, bucket_of(["id"], 64)), "t", ["id"], 64)
+    store.commit({"t": TableState("t", stored.schema, ["id"], 64, parts, rows, "append")})
+    product = Product(
+        name="p", sources={"src": Source(name="src", kind="raw", uri=path)},
+        transforms=[Transform(name="t", sql="SELECT id, val FROM src", strategy="append", key=["id"], path="sql/t.sql")],
+        exports=[Export(name="t", version="1.0.0", grain=["id"], schema={"id": ColumnSpec("int")})],
+    )
+    before = store.latest()
+    with pytest.raises(VerifyError, match="4 rows but 3 distinct"):
+        run(spark, product, root)
+    assert store.latest() == before
+
+
+def _versions_of(spark, root, n):
+    store = Store(spark, root)
+    df = spark.range(4)
+    for k in range(n):
+        parts, rows = store.write_plain(df.withColumn("v", F.lit(k)), "t")
+        from tessera.plans.store import TableState
+
+        store.commit({"t": TableState("t", df.withColumn("v", F.lit(k)).schema, parts=parts, rows=rows)})
+    return store
+
+
+def test_data_of_an_expired_version_stays_for_a_window(spark, root):
+    """61 idle days, then one run: the version that was current an hour ago stays readable under open readers."""
+    store = _versions_of(spark, root, 2)
+    reader = store.read_table("t", 1)
+    now = datetime.now() + timedelta(days=61)
+    assert snapshots.sweep_orphans(spark, root, now - timedelta(days=30)) == 0
+    assert snapshots.expire(spark, root, now - timedelta(days=30), now=now) == [1]
+    assert snapshots.sweep_orphans(spark, root, now - timedelta(days=30)) == 0
+    assert reader.count() == 4 and store.tombstoned() == [1] and store.versions() == [2]
+    later = now + timedelta(days=31)
+    assert snapshots.sweep_orphans(spark, root, later - timedelta(days=30)) == 1
+    assert store.tombstoned() == [] and store.read_table("t").count() == 4
+
+
+def test_rollback_over_expired_ancestors(spark, root):
+    store = _versions_of(spark, root, 5)
+    store.write_releases({"routes": {"t@1": 2}, "digests": {}, "versions": {}})
+    now = datetime.now() + timedelta(days=61)
+    assert snapshots.expire(spark, root, now, now=now) == [1, 3, 4]
+    from tessera.plans.store import TableState
+
+    df = store.read_table("t")
+    store.commit({"t": TableState("t", df.schema, parts=store.tables()["t"].parts, rows=4)})
+    assert store.versions() == [2, 5, 6]
+    assert snapshots.rollback(spark, root, 5) == (6, 5)
+    assert store.lineage(6) == [6, 5, 4, 3, 2, 1]
+
+
+def test_a_half_written_manifest_is_ignored(spark, root):
+    import os
+
+    store = _versions_of(spark, root, 1)
+    open(os.path.join(root, "versions", "2.json"), "w").close()
+    assert store.versions() == [1] and store.latest() == 1
+    parts, rows = store.write_plain(spark.range(2), "t")
+    from tessera.plans.store import TableState
+
+    assert store.commit({"t": TableState("t", spark.range(2).schema, parts=parts, rows=rows)}) == 3
+    open(os.path.join(root, "LATEST"), "w").close()
+    assert store.latest() is None
+
+
+def test_small_files_are_created_once(spark, root):
+    from tessera.plans import fs
+
+    fs.write_text(spark, f"{root}/x.json", "one", overwrite=False)
+    with pytest.raises(FileExistsError):
+        fs.write_text(spark, f"{root}/x.json", "two", overwrite=False)
+    assert fs.read_text(spark, f"{root}/x.json") == "one"
+    fs.write_text(spark, f"{root}/x.json", "three")
+    assert fs.read_text(spark, f"{root}/x.json") == "three"
+    assert [n for n, *_ in fs.list_dir(spark, root)] == ["x.json"]

@@ -133,3 +133,29 @@ def test_yaml_raw_source_with_explicit_schema(spark, tmp_path):
     run(spark, p, root)
     row = Store(spark, root).read_table("totals").first()
     assert row.n == 2 and str(row.total) == "6.50"
+
+
+def test_stream_compacts_and_a_run_keeps_its_batch_ids(spark, root):
+    """Twelve batches keep at most eight directories a bucket; a retried batch after another run is a no-op."""
+    from tessera.model import Product, Source, Transform
+    from tessera.operators.strategy import COMPACT_DIRS_PER_BUCKET
+    from tessera.plans.run import run
+    from tessera.streaming.land import _lander
+
+    store = Store(spark, root)
+    land = _lander(store, "t", ["id"], "append", None, 2)
+    for b in range(12):
+        land(spark.range(b * 10, b * 10 + 10), b)
+    st = store.tables()["t"]
+    for bucket in range(2):
+        assert sum(p["bucket"] == bucket for p in st.parts) <= COMPACT_DIRS_PER_BUCKET
+    assert store.read_table("t").count() == 120
+    src = root + "-src.parquet"
+    spark.range(3).withColumnRenamed("id", "n").write.parquet(src)
+    product = Product(name="p", sources={"s": Source(name="s", kind="raw", uri=src)}, transforms=[Transform(name="o", sql="SELECT n FROM s", path="sql/o.sql")])
+    run(spark, product, root)
+    before = store.latest()
+    land(spark.range(500, 510), 11)  # Spark retries the last batch
+    assert store.latest() == before and store.read_table("t").count() == 120
+    land(spark.range(500, 510), 12)
+    assert store.read_table("t").count() == 130

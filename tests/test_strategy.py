@@ -182,3 +182,63 @@ def test_upsert_into_buckets_without_files(spark, root):
     a = land(spark, store, [(1, "a")], "upsert", None, buckets=64)
     b = land(spark, store, [(2, "b"), (3, "c")], "upsert", a.state)
     assert rows_of(store, b.state) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+@pytest.mark.parametrize("strat", ["append", "upsert"])
+def test_table_built_without_key_is_laid_out_before_landing(spark, root, strat):
+    store = Store(spark, root)
+    plain = strategy.land_replace(store, spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA), "t")
+    b = land(spark, store, [(2, "B"), (3, "c")], strat, plain.state)
+    assert rows_of(store, b.state) == [(1, "a"), (2, "B" if strat == "upsert" else "b"), (3, "c")] and b.state.rows == 3
+    dup = strategy.land_replace(store, spark.createDataFrame([(1, "a"), (1, "b")], SCHEMA), "t")
+    with pytest.raises(GuardError, match="already stored"):
+        land(spark, store, [(2, "B")], strat, dup.state)
+
+
+def test_changed_key_is_laid_out_anew(spark, root):
+    store = Store(spark, root)
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, val string, more string")
+    a = strategy.land_keyed(store, stage_parquet(df), "t", ["id", "val"], "upsert", None)
+    d = spark.createDataFrame([(1, "z", "w")], "id int, val string, more string")
+    b = strategy.land_keyed(store, stage_parquet(d), "t", ["ID"], "upsert", a.state)
+    assert sorted(tuple(r) for r in store.read_state(b.state).collect()) == [(1, "z", "w"), (2, "b", "y")]
+    assert b.state.rows == 2 and b.rows_rewritten >= 2
+
+
+def test_outgrown_buckets_are_chosen_again(spark, root, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(strategy, "BUCKET_TARGET_BYTES", 500)
+    monkeypatch.setattr(strategy, "buckets_for_bytes", lambda n: 8 if n < 9000 else 64)
+    store = Store(spark, root)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    a = strategy.land_keyed(store, stage_parquet(orders.where("o_orderkey < 20")), "o", ["o_orderkey"], "upsert", None)
+    assert a.state.buckets == 8
+    d = orders.where("o_orderkey >= 10").withColumn("o_orderstatus", F.lit("Z"))
+    b = strategy.land_keyed(store, stage_parquet(d), "o", ["o_orderkey"], "upsert", a.state)
+    assert b.state.buckets == 64 and b.state.rows == orders.count()
+    want = strategy.upsert_by_key(orders.where("o_orderkey < 20"), d, ["o_orderkey"])
+    assert checks.is_same_multiset(store.read_state(b.state), want)
+
+
+def test_large_delta_is_not_held_to_the_bucket_count(spark, root, monkeypatch):
+    """Joins and writes of a large delta into an 8-bucket table run in more tasks than buckets."""
+    monkeypatch.setattr(strategy, "BROADCAST_DELTA_BYTES", 0)
+    store = Store(spark, root)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        first = spark.range(0, 4000).selectExpr("cast(id as int) id", "cast(id as string) val")
+        second = spark.range(2000, 9000).selectExpr("cast(id as int) id", "'new' val")
+        a = strategy.land_keyed(store, stage_parquet(first), "t", ["id"], "upsert", None, buckets=8)
+        b = strategy.land_keyed(store, stage_parquet(second), "t", ["id"], "upsert", a.state)
+        files = store.data_files_df().where("path like '%/__bucket=%'")
+        new_dirs = [p["dir"] for p in b.state.parts if p["dir"] not in {q["dir"] for q in a.state.parts}]
+        assert files.where(F.col("dir").isin(new_dirs)).count() > 8
+        assert b.state.rows == 9000 and store.read_state(b.state).where("val = 'new'").count() == 7000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

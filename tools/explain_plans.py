@@ -55,10 +55,10 @@ def main():
     incoming = d.df.withColumn(BUCKET_COL, bucket_of(key, nb)).hint("rebalance", BUCKET_COL)
     show("upsert step 2, small delta: stored rows not shuffled, delta rebalanced by bucket",
          kept.unionByName(incoming))
-    inc = strategy._by_bucket(d.df, key, nb)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a delta too big to broadcast
-    show("upsert step 2, large delta: one co-partitioned exchange per side, no second shuffle to write",
-         strategy._anti(strategy._by_bucket(target, key, nb), inc.select(*key), key).unionByName(inc))
+    kept = target.join(d.df.select(*key), key, "left_anti").withColumn(BUCKET_COL, bucket_of(key, nb))
+    show("upsert step 2, large delta: Spark's own join partitioning, the write sized by rebalance, not by the bucket count",
+         kept.hint("rebalance", BUCKET_COL).unionByName(incoming))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     show("keep_latest: partial aggregate before the shuffle (hot keys reduced per task)",
          strategy.keep_latest(lineitem, ["l_orderkey", "l_linenumber"], ["l_shipdate"]))
