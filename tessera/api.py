@@ -59,7 +59,7 @@ class DataProduct:
 
     def status(self) -> dict:
         """Build status (H5) plus each declared incremental source's mark."""
-        st = catalog.status(self.spark, self.root, self.product)
+        st = catalog.status(self.spark, self.root, self.product, catalog.source_check_fresh(self.spark, self.root, self.product))
         declared = self.spark.createDataFrame(
             [(s.name, s.incremental.cursor) for s in self.product.incremental_sources()], "source string, cursor string"
         )
@@ -138,7 +138,8 @@ class DataProduct:
         for g in e.grain:
             if df.schema[g].dataType.simpleString() == "string":
                 rows = profile.probe_values(df, g).collect()  # at most 50 rows
-                out["values"][g] = {"values": [r.value for r in rows], "complete": all(r.complete for r in rows)}
+                complete = all(r.complete for r in rows)
+                out["values"][g] = {"values": [r.value for r in rows] if complete else None, "complete": complete}
         out["example"] = profile.probe_example(df, e)
         return out
 

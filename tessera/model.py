@@ -79,6 +79,7 @@ class Source:
     connection: dict[str, Any] | None = None
     connection_name: str | None = None
     query: str | None = None
+    partition: dict[str, Any] | None = None  # a partitioned JDBC table read: column, lower, upper, partitions
     incremental: Incremental | None = None
     columns: dict[str, str] = field(default_factory=dict)  # column descriptions (documented sources)
 
@@ -87,6 +88,12 @@ class Source:
             raise ConfigError(f"source {self.name!r}: unknown kind {self.kind!r}")
         if self.kind == "jdbc" and (self.table is None) == (self.query is None):
             raise ConfigError(f"source {self.name!r}: give exactly one of `table` and `query`")
+        if self.partition is not None:
+            if self.kind != "jdbc" or self.table is None:
+                raise ConfigError(f"source {self.name!r}: `partition` needs a connection and a `table`")
+            lacking = [k for k in ("column", "lower", "upper") if self.partition.get(k) is None]
+            if lacking:
+                raise ConfigError(f"source {self.name!r}: `partition` lacks {', '.join(lacking)}")
         if self.kind == "jdbc" and self.query is not None and self.incremental is not None:
             raise ConfigError(
                 f"source {self.name!r}: a `query` source is re-read in full every run; "
@@ -218,11 +225,12 @@ def _check_transforms(p: Product) -> None:
         if not _IDENT.fullmatch(t.name):
             raise ConfigError(f"transform {t.label!r}: table name {t.name!r} is not an identifier")
         check_reserved([t.name])
-        if t.name in seen:
+        # Spark resolves names without regard to case, so tables that differ only in case are one.
+        if t.name.lower() in seen:
             raise ConfigError(
-                f"transforms {seen[t.name]!r} and {t.label!r} both build table {t.name!r}; rename one file"
+                f"transforms {seen[t.name.lower()]!r} and {t.label!r} both build table {t.name!r}; rename one file"
             )
-        seen[t.name] = t.label
+        seen[t.name.lower()] = t.label
 
 
 def check_reserved(names) -> None:
@@ -244,7 +252,8 @@ def _check_replace_gate(p: Product) -> None:
         if t.strategy != "replace":
             continue
         for name in inc:
-            if mentions(t.sql, name):
+            # Without regard to case: Spark would resolve EV to the delta view ev all the same.
+            if mentions(t.sql.lower(), name.lower()):
                 raise ConfigError(
                     f"transform {t.label!r} rebuilds with replace but reads incremental source {name!r}; "
                     "a delta is not the whole table. Land it with append or upsert and roll up from that table"
@@ -253,7 +262,7 @@ def _check_replace_gate(p: Product) -> None:
 
 def _check_sources_vs_tables(p: Product) -> None:
     for t in p.transforms:
-        if t.name in p.sources:
+        if t.name.lower() in {name.lower() for name in p.sources}:
             raise ConfigError(f"table {t.name!r} has the name of a source; the source view would shadow it")
 
 
@@ -403,7 +412,7 @@ def _source(name: str, v: Any, directory: str, profile: dict) -> Source:
         conn = {k: expand(str(x)) for k, x in conns[conn_name].items()}
         return Source(
             name=name, kind="jdbc", connection=conn, connection_name=conn_name,
-            table=v.get("table"), query=v.get("query"), incremental=incremental,
+            table=v.get("table"), query=v.get("query"), partition=v.get("partition"), incremental=incremental,
             columns=dict(v.get("columns") or {}),
         )
     if "product" in v or "cell" in v:

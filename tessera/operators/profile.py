@@ -7,9 +7,7 @@ distributed top-1 (no full sort to one task).
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +16,8 @@ from tessera.model import Export
 
 # Fixed value: how many distinct values of a string grain column are listed.
 MAX_VALUES = 50
+# Fixed value: page size of the example request.
+EXAMPLE_LIMIT = 10
 
 
 def _time_like(dt: T.DataType) -> bool:
@@ -36,31 +36,28 @@ def probe_coverage(df: DataFrame, export: Export) -> DataFrame:
 
 
 def probe_values(df: DataFrame, column: str, cap: int = MAX_VALUES) -> DataFrame:
-    """H2: sorted non-null distinct values; ``complete`` is false when there are more than ``cap``.
+    """H2: all non-null distinct values as (value, complete), sorted; with more than ``cap`` of them none is listed.
 
-    One job: partial distinct per task, then a distributed top ``cap + 1``; at most
-    ``cap + 1`` values reach the driver, which is how completeness is known.
+    A list that is not the whole set would read as data, so an incomplete probe is one row: (NULL, false).
+    Partial distinct per task, then a distributed top ``cap + 1`` decides; at most ``cap + 1`` rows go further.
     """
-    vals = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    head = vals.orderBy("value").limit(cap + 1).collect()  # at most cap + 1 rows
-    complete = len(head) <= cap
-    schema = T.StructType([vals.schema["value"], T.StructField("complete", T.BooleanType(), False)])
-    return df.sparkSession.createDataFrame([(r["value"], complete) for r in head[:cap]], schema)
+    head = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value").limit(cap + 1)
+    complete = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) <= cap
+    counted = head.withColumn("complete", complete)
+    return counted.select(F.when(F.col("complete"), F.col("value")).alias("value"), "complete").distinct().orderBy("value")
+
+
+def example_request(export: Export) -> Column:
+    """H3 as a Column: ``route?g=v&...&limit=10``, NULL when any grain value is NULL."""
+    return F.concat(F.lit(export.route + "?"), example_column(export.grain), F.lit(f"&limit={EXAMPLE_LIMIT}")).alias("example")
 
 
 def probe_example(df: DataFrame, export: Export) -> str | None:
-    """H3: the first row by grain as ``g=v&...`` (percent-encoded); None if any value is NULL."""
+    """H3: a request for the first row by grain; None without a grain, a row, or a value for every grain column."""
     if not export.grain:
         return None
-    first = df.select(*[F.col(g).cast("string").alias(g) for g in export.grain]).orderBy(
-        *[F.col(g).asc_nulls_last() for g in export.grain]
-    ).limit(1).collect()
-    if not first:
-        return None
-    row = first[0]
-    if any(row[g] is None for g in export.grain):
-        return None
-    return "&".join(f"{quote(g, safe='')}={quote(str(row[g]), safe='')}" for g in export.grain)
+    first = df.orderBy(*[F.col(g).asc_nulls_last() for g in export.grain]).limit(1).select(example_request(export)).first()
+    return first["example"] if first else None
 
 
 def example_column(grain: list[str]) -> Column:

@@ -31,33 +31,26 @@ class ReadParams:
     offset: int
 
 
-def _nonneg_int(v: str) -> int | None:
-    s = str(v)
-    return int(s) if s.isdigit() else None
+def page_number(name: str, given: str | None, default: int, most: int) -> int:
+    """A page parameter: decimal digits, ``default`` when absent."""
+    if given is None:
+        return default
+    text = str(given)
+    if not text.isascii() or not text.isdigit():
+        raise ReadError(f"{name} must be an integer from 0 to {most}; got {given!r}")
+    return int(text)
 
 
 def validate_params(export: Export, params: dict[str, str]) -> ReadParams:
-    """Unknown names and non-integer limit/offset are errors; limit clamps; offset caps."""
-    for k in params:
-        if k not in ("limit", "offset") and k not in export.grain:
-            accepts = f"grain filters ({', '.join(export.grain)})" if export.grain else "no grain filters"
-            raise ReadError(f"unknown parameter {k!r}; this export accepts {accepts}, plus limit and offset")
-    limit = DEFAULT_LIMIT
-    if "limit" in params:
-        n = _nonneg_int(params["limit"])
-        if n is None:
-            raise ReadError(f"limit must be an integer between 0 and {MAX_LIMIT}, got {params['limit']!r}")
-        limit = min(n, MAX_LIMIT)
-    offset = 0
-    if "offset" in params:
-        n = _nonneg_int(params["offset"])
-        if n is None:
-            raise ReadError(f"offset must be an integer between 0 and {MAX_OFFSET}, got {params['offset']!r}")
-        if n > MAX_OFFSET:
-            raise ReadError(f"offset {n} is over the maximum {MAX_OFFSET}; filter by grain instead")
-        offset = n
-    filters = [(g, params[g]) for g in export.grain if g in params]
-    return ReadParams(filters, limit, offset)
+    """Grain filters, ``limit`` (cut to its maximum) and ``offset`` (refused beyond its maximum); nothing else."""
+    known = {*export.grain, "limit", "offset"}
+    for name in sorted(set(params) - known):
+        raise ReadError(f"unknown parameter {name!r} for {export.route}; known are {', '.join(sorted(known))}")
+    offset = page_number("offset", params.get("offset"), 0, MAX_OFFSET)
+    if offset > MAX_OFFSET:
+        raise ReadError(f"offset {offset}: the maximum is {MAX_OFFSET}, narrow the read by its grain")
+    limit = min(MAX_LIMIT, page_number("limit", params.get("limit"), DEFAULT_LIMIT, MAX_LIMIT))
+    return ReadParams([(g, params[g]) for g in export.grain if g in params], limit, offset)
 
 
 def _field(df: DataFrame, name: str) -> T.StructField:

@@ -1058,10 +1058,12 @@ def q_probe_coverage(spark, sf):
 
 
 def _values_oracle(col: str, src: str) -> str:
+    n = f"(SELECT count(DISTINCT {col}) FROM {src})"
     return f"""
-SELECT '{col}' AS column_name, value, (SELECT count(*) FROM (SELECT DISTINCT {col} FROM {src} WHERE {col} IS NOT NULL
-        ORDER BY {col} LIMIT 51) x) <= 50 AS complete
-FROM (SELECT DISTINCT {col} AS value FROM {src} WHERE {col} IS NOT NULL ORDER BY value LIMIT 50) h"""
+SELECT '{col}' AS column_name, value, true AS complete
+FROM (SELECT DISTINCT {col} AS value FROM {src} WHERE {col} IS NOT NULL) h WHERE {n} <= 50
+UNION ALL
+SELECT '{col}', NULL, false WHERE {n} > 50"""
 
 
 @register(
@@ -1081,7 +1083,7 @@ def q_probe_values(spark, sf):
 @register(
     "probe_example",
     f"""
-SELECT concat('order_date=', url_encode(CAST(order_date AS VARCHAR)), '&region=', url_encode(region)) AS example
+SELECT concat('orders_daily@2?order_date=', url_encode(CAST(order_date AS VARCHAR)), '&region=', url_encode(region), '&limit=10') AS example
 FROM ({flagship.FLAGSHIP_ORACLE}) t
 ORDER BY order_date NULLS LAST, region NULLS LAST LIMIT 1
 """,
@@ -1089,9 +1091,9 @@ ORDER BY order_date NULLS LAST, region NULLS LAST LIMIT 1
 def q_probe_example(spark, sf):
     views(spark, sf, "orders", "customer", "nation")
     df = spark.sql(flagship.FLAGSHIP_ORACLE)
-    grain = ["order_date", "region"]
-    first = df.orderBy(*[F.col(g).asc_nulls_last() for g in grain]).limit(1)
-    return first.select(profile.example_column(grain))
+    export = flagship.orders_product(sf).export("orders_daily@2")
+    first = df.orderBy(*[F.col(g).asc_nulls_last() for g in export.grain]).limit(1)
+    return first.select(profile.example_request(export))
 
 
 def _catalog_products(sf: str) -> list[Product]:

@@ -37,6 +37,7 @@ from tessera.operators.delta import (
 from tessera.operators.strategy import append_by_key, compact, land_keyed, land_replace, upsert_by_key
 from tessera.operators.verify import Verification, verify_all
 from tessera.plans.store import Store, TableState, iso, utc_now
+from tessera.sources import jdbc
 from tessera.sources.jdbc import read_jdbc
 from tessera.sources.product import data_as_of
 from tessera.sources.raw import read_raw
@@ -93,10 +94,31 @@ def read_source(spark: SparkSession, src: Source) -> tuple[DataFrame, dict]:
     else:
         conn = src.connection or {}
         query = expand_connection(src.name, src.query, conn.get("project")) if src.query else None
-        df = read_jdbc(spark, conn, table=src.table, query=query)
+        if str(conn.get("type") or "jdbc").lower() in ("snowflake", "bigquery"):
+            df = jdbc.read_connection(spark, conn, table=src.table, query=query)
+        else:
+            part = src.partition or {}
+            bounds = {"partition_column": part["column"], "lower": part["lower"], "upper": part["upper"],
+                      "num_partitions": part.get("partitions")} if part else {}
+            if src.table is not None and conn.get("type") == "postgres":
+                jdbc.split_table_path("postgres", src.table)
+            df = read_jdbc(spark, conn, table=src.table, query=query, **bounds)
     return df, info
 
 
+def isolated(spark: SparkSession) -> SparkSession:
+    """A session of its own for one run: its views never meet the caller's, its settings are the caller's.
+
+    A run binds sources and tables as temp views; in the caller's session that would replace and then drop views of
+    the same names, and two runs at once would read each other's.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if (k.startswith("spark.sql.") or k == "spark.checkpoint.dir") and own.conf.get(k, None) != v and spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
 def run(
     spark: SparkSession,
     product: Product,
@@ -106,6 +128,7 @@ def run(
     verify: bool = True,
     commit: bool = True,
 ) -> RunResult:
+    spark = isolated(spark)
     store = Store(spark, root)
     parent = store.latest()
     manifest = store.manifest(parent) or {}
@@ -141,7 +164,7 @@ def run(
                 # A live database can change between reads: stage the delta once.
                 staged, adv = stage_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
                 staged_all.append(staged)
-                delta_df = staged.df
+                delta_df = spark.read.schema(staged.df.schema).parquet(staged.path)
                 info.update(staged=True, bytes=staged.bytes)
             advances.append(adv)
             delta_df.createOrReplaceTempView(src.name)
@@ -149,9 +172,15 @@ def run(
             info.update(incremental=True, rows=adv.rows,
                         mode="full_refresh" if full_refresh else ("bootstrap" if mark is None else "delta"))
         else:
+            info.update(incremental=False)
+            if src.kind == "jdbc":
+                # A live database can change between reads: every transform and the replay see one copy.
+                staged = stage_parquet(df)
+                staged_all.append(staged)
+                df = spark.read.schema(staged.df.schema).parquet(staged.path)
+                info.update(staged=True, rows=staged.rows, bytes=staged.bytes)
             df.createOrReplaceTempView(src.name)
             bound.add(src.name)
-            info.update(incremental=False)
         sources_info.append(info)
 
     new_tables = dict(current)
@@ -209,7 +238,7 @@ def run(
             verifications = verify_all(product.exports, frames, incremental=bool(product.incremental_sources()))
 
         if replay_check:
-            replay(spark, store, product, new_tables)
+            replay(spark, store, product, new_tables, full_refresh)
 
         version = None
         if commit:
@@ -263,6 +292,7 @@ def verify_published(
     """
     from tessera.plans.catalog import write_source_check
 
+    spark = isolated(spark)
     store = Store(spark, root)
     tables = store.tables(version)
     for src in product.sources.values():
@@ -282,23 +312,25 @@ def verify_published(
     return out
 
 
-def replay(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState]) -> None:
-    """Evaluate every transform again on the identical staged inputs; each table must be the same multiset.
+def replay(spark: SparkSession, store: Store, product: Product, tables: dict[str, TableState], full_refresh: bool = False) -> None:
+    """The whole pipeline once more on the same staged inputs; each table must come out as the same multiset.
 
-    Nothing is written: the second landing is computed as a DataFrame over the
-    first one's output and compared by one signed-count aggregate per table.
+    Nothing is written. Every replayed table takes its view's place, so a difference reaches the transforms after
+    it as it would in a rerun. A full refresh rebuilds keyed tables from their SELECT alone: rows a rerun no longer
+    returns count as a difference too.
     """
     for t in product.transforms:
         before = store.read_state(tables[t.name])
         again = evaluate(spark, t)
-        if t.strategy == "upsert":
+        if t.strategy == "replace" or full_refresh:
+            after = again
+        elif t.strategy == "upsert":
             after = upsert_by_key(before, again.select(*before.columns), t.key)
-        elif t.strategy == "append":
-            after = append_by_key(before, again.select(*before.columns), t.key)
         else:
-            after = again
+            after = append_by_key(before, again.select(*before.columns), t.key)
         if not checks.is_same_multiset(before, after):
             raise TesseraError(
                 f"replay check failed: transform {t.label!r} gives different rows when run again on the same "
                 "input; it is not replay-safe (a nondeterministic expression, or a delta read twice)"
             )
+        after.createOrReplaceTempView(t.name)

@@ -29,10 +29,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
-    """Return the session's checkpoint folder; create a local one only when unset."""
+    """The session's checkpoint folder. Only a local master gets one made for it when none is set.
+
+    On a cluster a folder of the driver's machine would be invisible to executors, so an unset one is an error.
+    """
     d = checkpoint_dir(spark)
     if d:
         return d
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share (master {master})")
     d = default or tempfile.mkdtemp(prefix="tessera-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, d)
     try:

@@ -10,7 +10,7 @@ database: stage it once so every transform sees the same rows.
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +62,29 @@ def read_jdbc(
     return r.load()
 
 
+def read_connection(
+    spark: SparkSession, conn: dict, table: str | None = None, query: str | None = None, partition: dict | None = None,
+) -> DataFrame:
+    """A6-A9 for a run: the reader that the connection's ``type`` names (``jdbc`` types by default).
+
+    Snowflake and BigQuery go through their connectors' formats; a BigQuery object's kind (``object_kind`` of the
+    connection, as classified by A10) picks storage read or query job. Table names obey the type's path rules.
+    """
+    kind = str(conn.get("type") or "jdbc").lower()
+    if kind == "snowflake":
+        return spark.read.format("snowflake").options(**snowflake_options(conn, table, query)).load()
+    if kind == "bigquery":
+        opts = bigquery_read_options(conn, table, str(conn.get("object_kind") or "table")) if table else bigquery_options(conn, query=query)
+        return spark.read.format("bigquery").options(**opts).load()
+    if table is not None and kind == "postgres":
+        split_table_path(kind, table)
+    part = dict(partition or {})
+    return read_jdbc(
+        spark, conn, table=table, query=query, partition_column=part.get("column"), lower=part.get("lower"), upper=part.get("upper"),
+        num_partitions=part.get("partitions"),
+    )
+
+
 def bind_jdbc(spark: SparkSession, name: str, conn: dict, table: str, **kw) -> DataFrame:
     df = read_jdbc(spark, conn, table=table, **kw)
     df.createOrReplaceTempView(name)
@@ -115,23 +138,13 @@ def bigquery_options(conn: dict, table: str | None = None, query: str | None = N
     return opts
 
 
-def _ts_text(mark) -> str:
-    if isinstance(mark, datetime):
-        return mark.replace(tzinfo=None).isoformat(sep=" ")
-    return str(mark)
-
-
-def _strip_offset(text: str) -> str:
-    """Drop a trailing 'Z' or a +hh/-hh offset (only past the date's own hyphens)."""
-    if text.endswith("Z"):
-        return text[:-1]
-    pos = max(text.rfind("+"), text.rfind("-"))
-    return text[:pos] if pos > 10 else text
-
-
-def _with_offset(text: str) -> str:
-    t = text.rstrip()
-    return t if t.endswith("Z") or max(t.rfind("+"), t.rfind("-")) > 10 else t + "+00"
+def _mark_text(mark, offset: bool = False) -> str:
+    """A timestamp mark as UTC text, fraction without trailing zeros; ``offset`` appends the zone."""
+    ts = mark if isinstance(mark, datetime) else datetime.fromisoformat(str(mark))
+    if ts.tzinfo is not None:
+        ts = ts.astimezone(timezone.utc)
+    fraction = f"{ts.microsecond / 1e6:.6f}".rstrip("0").removeprefix("0").removesuffix(".")
+    return f"{ts:%Y-%m-%d %H:%M:%S}{fraction}{'+00' if offset else ''}"
 
 
 def bigquery_read_options(
@@ -173,9 +186,9 @@ def render_predicate(kind: str, cursor: str, column_type: str, mark) -> str:
     if kind == "bigquery":
         q = f"`{cursor}`"
         if t == "TIMESTAMP":
-            return f"{q} > TIMESTAMP '{_with_offset(_ts_text(mark))}'"
+            return f"{q} > TIMESTAMP '{_mark_text(mark, offset=True)}'"
         if t == "DATETIME":
-            return f"{q} > DATETIME '{_strip_offset(_ts_text(mark))}'"
+            return f"{q} > DATETIME '{_mark_text(mark)}'"
         if t == "DATE":
             d = mark.date() if isinstance(mark, datetime) else mark
             return f"{q} > DATE '{d}'"
@@ -186,7 +199,7 @@ def render_predicate(kind: str, cursor: str, column_type: str, mark) -> str:
         )
     q = '"' + (cursor.upper() if kind == "snowflake" else cursor).replace('"', '""') + '"'
     if isinstance(mark, datetime):
-        return f"{q} > '{_ts_text(mark)}'::TIMESTAMP_TZ" if kind == "snowflake" else f"{q} > TIMESTAMP '{_ts_text(mark)}'"
+        return f"{q} > '{_mark_text(mark)}'::TIMESTAMP_TZ" if kind == "snowflake" else f"{q} > TIMESTAMP '{_mark_text(mark)}'"
     if isinstance(mark, date):
         return f"{q} > '{mark}'::DATE" if kind == "snowflake" else f"{q} > DATE '{mark}'"
     if isinstance(mark, int):

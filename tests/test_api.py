@@ -27,7 +27,7 @@ def test_build_release_read_probe_context(spark, root):
     p = dp.probe("orders_daily@2")
     assert p["coverage"] == {"rows": 4, "min_order_date": "2025-03-01", "max_order_date": "2025-03-02"}
     assert p["values"]["region"] == {"values": ["north", "south", "west"], "complete": True}
-    assert p["example"] == "order_date=2025-03-01&region=north"
+    assert p["example"] == "orders_daily@2?order_date=2025-03-01&region=north&limit=10"
     ctx = dp.context()
     assert ctx["pins"] == {"orders_daily@2": 1} and ctx["execution"] == 2 and len(ctx["digest"]) == 64
     st = dp.status()

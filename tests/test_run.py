@@ -346,3 +346,71 @@ def test_small_files_are_created_once(spark, root):
     fs.write_text(spark, f"{root}/x.json", "three")
     assert fs.read_text(spark, f"{root}/x.json") == "three"
     assert [n for n, *_ in fs.list_dir(spark, root)] == ["x.json"]
+
+
+def test_a_run_leaves_the_callers_views_alone(spark, sf, root):
+    spark.range(3).createOrReplaceTempView("orders")
+    try:
+        run(spark, flagship.orders_product(sf), root)
+        assert spark.table("orders").count() == 3
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
+def test_warehouse_sources_are_dispatched_and_staged_once(spark, sf, root, monkeypatch):
+    """Connection type picks the reader, partition options reach it, and a plain JDBC source is read once."""
+    import tessera.plans.run as run_mod
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    calls = []
+
+    def jdbc_reader(spark_, conn, table=None, query=None, **kw):
+        calls.append(("jdbc", table or query, kw))
+        return orders
+
+    def vendor_reader(spark_, conn, table=None, query=None, partition=None):
+        calls.append((conn["type"], table, {}))
+        return orders
+
+    monkeypatch.setattr(run_mod, "read_jdbc", jdbc_reader)
+    monkeypatch.setattr(run_mod.jdbc, "read_connection", vendor_reader)
+    pg = {"type": "postgres", "url": "jdbc:postgresql://h/d"}
+    product = Product(
+        name="p",
+        sources={
+            "a": Source(name="a", kind="jdbc", connection=pg, table="s.orders", partition={"column": "o_orderkey", "lower": 0, "upper": 9, "partitions": 3}),
+            "b": Source(name="b", kind="jdbc", connection={"type": "snowflake", "account": "x", "database": "d"}, table="s.orders"),
+        },
+        transforms=[Transform(name=n, sql=f"SELECT o_orderkey FROM {s}", path=f"sql/{n}.sql") for n, s in (("t1", "a"), ("t2", "a"), ("t3", "b"))],
+    )
+    res = run(spark, product, root)
+    assert sorted(c[0] for c in calls) == ["jdbc", "snowflake"]
+    assert [c[2] for c in calls if c[0] == "jdbc"] == [{"partition_column": "o_orderkey", "lower": 0, "upper": 9, "num_partitions": 3}]
+    assert {t.rows for t in res.tables.values()} == {orders.count()}
+    assert all(s["staged"] and s["rows"] == orders.count() for s in res.summary["sources"])
+    with pytest.raises(ConfigError, match="exactly two parts"):
+        bad = Product(name="p", sources={"a": Source(name="a", kind="jdbc", connection=pg, table="orders")}, transforms=product.transforms[:1])
+        run(spark, bad, root)
+    with pytest.raises(ConfigError, match="lacks upper"):
+        Source(name="a", kind="jdbc", connection=pg, table="s.o", partition={"column": "k", "lower": 1})
+
+
+def test_names_that_differ_in_case_are_one(spark):
+    inc = Source(name="ev", kind="raw", uri="x.parquet", incremental=Incremental(cursor="ts"))
+    with pytest.raises(ConfigError, match="incremental source 'ev'"):
+        Product(name="p", sources={"ev": inc}, transforms=[Transform(name="r", sql="SELECT * FROM EV")])
+    with pytest.raises(ConfigError, match="both build"):
+        Product(name="p", transforms=[Transform(name="t", sql="SELECT 1 AS a"), Transform(name="T", sql="SELECT 2 AS a")])
+    with pytest.raises(ConfigError, match="name of a source"):
+        Product(name="p", sources={"ev": inc}, transforms=[Transform(name="EV", sql="SELECT 1 AS a")])
+
+
+def test_replay_of_a_full_refresh_notices_rows_a_rerun_loses(spark, root, tmp_path):
+    path = str(tmp_path / "in.parquet")
+    spark.range(400).write.parquet(path)
+    product = Product(
+        name="p", sources={"s": Source(name="s", kind="raw", uri=path)},
+        transforms=[Transform(name="t", sql="SELECT id FROM s WHERE rand() < 0.5", strategy="upsert", key=["id"], path="sql/t.sql")],
+    )
+    with pytest.raises(TesseraError, match="replay"):
+        run(spark, product, root, full_refresh=True, replay_check=True)
