@@ -92,6 +92,24 @@ def read_export(df: DataFrame, export: Export, params: dict[str, str] | None = N
     return out.limit(p.limit)
 
 
+def read_after(df: DataFrame, export: Export, last: dict[str, str | None], limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The page that follows the row whose grain values are ``last`` (keyset paging).
+
+    Deep pages cost what the first one does: the position is a filter on the grain, so each task keeps only
+    ``limit`` rows, where an offset makes every task carry all skipped rows. Order as in ``read_export``, NULLs last.
+    """
+    if not export.grain or set(last) != set(export.grain):
+        raise ReadError(f"give a value for each grain column of {export.route}: {', '.join(export.grain) or 'it has none'}")
+    out = project(df, export)
+    beyond, same = F.lit(False), F.lit(True)
+    for name in export.grain:
+        f = _field(out, name)
+        col, value = F.col(f.name), F.lit(last[name]).cast(f.dataType)
+        later = F.lit(False) if last[name] is None else (col > value) | col.isNull()
+        beyond, same = beyond | (same & later), same & col.eqNullSafe(value)
+    return out.where(beyond).orderBy(*order_columns(out, export)).limit(min(limit, MAX_LIMIT))
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON object per row; NULL fields kept; timestamps rendered as text first."""
     cols = []

@@ -1443,3 +1443,54 @@ _sql(
        FROM embeddings""",
     tables=("embeddings",),
 )
+
+
+# =====================================================================  oracles of the metadata keys
+# Row counts come from the raw tables; names, versions and statements are what the products above declare.
+
+
+def _text(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+_DAILY = f"(SELECT count(*) FROM ({flagship.FLAGSHIP_ORACLE}) d)"
+_BEFORE_V1 = flagship.flagship_oracle(f"o.o_orderdate < TIMESTAMP '{ORDERS_V1} 00:00:00'")
+_DAILY_V1 = f"(SELECT count(*) FROM ({_BEFORE_V1}) d)"
+_STAGED = "(SELECT count(*) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"
+_GRAMMAR = "grain equality filters; limit 0..1000 (default 100); offset 0..1000000; ordered by grain"
+
+ORACLE.update({
+    "upstream_as_of": f"""
+SELECT CAST(1 AS BIGINT) AS version, true AS has_data_as_of, {_DAILY_V1} AS "rows"
+UNION ALL SELECT CAST(2 AS BIGINT), true, {_DAILY}""",
+    "run_history": f"""
+SELECT CAST(1 AS BIGINT) AS execution, 'orders' AS product, 'success' AS outcome, false AS full_refresh, t."table", 'replace' AS strategy,
+       t.n AS rows_written, t.n AS "rows", CAST(0 AS BIGINT) AS buckets_touched, CAST(0 AS BIGINT) AS rows_rewritten, t.statement
+FROM (SELECT 'stg_orders' AS "table", {_STAGED} AS n, {_text("REPLACE stg_orders AS (" + flagship.STG_ORDERS.format(where="").strip() + ")")} AS statement
+      UNION ALL SELECT 'orders_daily', {_DAILY}, {_text("REPLACE orders_daily AS (" + flagship.ORDERS_DAILY.strip() + ")")}) t""",
+    "upstreams": """
+SELECT 'daily' AS source, 'orders' AS product, CAST(NULL AS BIGINT) AS pinned, CAST(1 AS BIGINT) AS execution, true AS has_data_as_of
+WHERE EXISTS (SELECT 1 FROM orders)""",
+    "orphan_files": """
+SELECT 'orders_snap' AS table_name, CAST(1 AS BIGINT) AS n_dirs
+FROM (SELECT count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders) t WHERE n > k""",
+    "catalog_status": """
+SELECT 'orders' AS product, 'verified' AS status, count(*) = count(DISTINCT (order_date, region)) AS grain_verified, CAST(1 AS BIGINT) AS execution
+FROM (""" + flagship.FLAGSHIP_ORACLE + """) d
+UNION ALL SELECT 'orders_monthly', 'draft', false, CAST(NULL AS BIGINT)""",
+    "catalog_columns": f"""
+SELECT product, route, export, version, contract, "column", type, unit, CAST(NULL AS VARCHAR) AS description, grain, '{_GRAMMAR}' AS grammar, upstreams,
+       CASE WHEN product = 'orders' THEN {_DAILY} END AS published_rows
+FROM (VALUES ('orders', 'orders_daily@2', 'orders_daily', '2.1.0', 'supported', 'order_date', 'date', NULL, 'order_date,region', ''),
+             ('orders', 'orders_daily@2', 'orders_daily', '2.1.0', 'supported', 'region', 'string', NULL, 'order_date,region', ''),
+             ('orders', 'orders_daily@2', 'orders_daily', '2.1.0', 'supported', 'revenue', 'decimal', 'USD', 'order_date,region', ''),
+             ('orders_monthly', 'orders_monthly@1', 'orders_monthly', '1.2.0', 'experimental', 'region', 'string', NULL, 'region,month', 'orders@latest'),
+             ('orders_monthly', 'orders_monthly@1', 'orders_monthly', '1.2.0', 'experimental', 'month', 'date', NULL, 'region,month', 'orders@latest'),
+             ('orders_monthly', 'orders_monthly@1', 'orders_monthly', '1.2.0', 'experimental', 'revenue', 'decimal', 'USD', 'region,month', 'orders@latest')
+     ) AS c(product, route, export, version, contract, "column", type, unit, grain, upstreams)""",
+    "fleet_manifest": """
+SELECT * FROM (VALUES ('legacy', false, NULL, NULL, NULL, NULL), ('orders', true, 'orders_daily@2', '2.1.0', 'supported', 'order_date,region'),
+                      ('orders_monthly', true, 'orders_monthly@1', '1.2.0', 'experimental', 'region,month')
+              ) AS f(product, readable, route, version, contract, grain)
+WHERE EXISTS (SELECT 1 FROM orders)""",
+})

@@ -68,3 +68,21 @@ def test_grainless_page_with_map_column(spark):
     df = spark.sql("SELECT id, map('k', id) AS m FROM range(5)")
     rows = reader.read_export(df, Export(name="maps"), {"limit": "2", "offset": "1"}).collect()
     assert [r.id for r in rows] == [1, 2]
+
+
+def test_keyset_pages_follow_the_offset_pages(spark):
+    rows = [(a, b) for a in ("x", "y", None) for b in (3, 1, None, 2)]
+    df = spark.createDataFrame(rows, "g string, h int")
+    e = Export(name="t", grain=["g", "h"])
+    whole = [tuple(r) for r in reader.read_export(df, e).collect()]
+    pages, last = [], None
+    while True:
+        page = reader.read_after(df, e, last, 5) if last else reader.read_export(df, e, {"limit": "5"})
+        got = [tuple(r) for r in page.collect()]
+        if not got:
+            break
+        pages += got
+        last = {"g": got[-1][0], "h": None if got[-1][1] is None else str(got[-1][1])}
+    assert pages == whole
+    with pytest.raises(ReadError, match="each grain column"):
+        reader.read_after(df, e, {"g": "x"})
