@@ -90,12 +90,6 @@ def status(spark: SparkSession, root: str, product: Product, source_checked: boo
     return {"product": product.name, "status": state, "grain_verified": grain_ok, "execution": latest}
 
 
-def status_column(has_run, source_checked, all_grains):
-    """H5 as a Column over (has_run, source_checked, all_grains) booleans."""
-    st = F.when(has_run, F.lit("verified")).when(source_checked, F.lit("verified_at_source")).otherwise(F.lit("draft"))
-    return st, (st != F.lit("draft")) & all_grains
-
-
 def run_history(spark: SparkSession, root: str) -> DataFrame:
     """H6: one row per (execution, transform) from the run summaries, read by Spark."""
     store = Store(spark, root)

@@ -20,7 +20,7 @@ from tessera.model import ColumnSpec, Export, Incremental, Product, Source, Tran
 from tessera.operators import checks, delta, profile, reader, strategy, verify
 from tessera.plans import catalog as cat
 from tessera.plans import flagship, snapshots
-from tessera.plans.run import run
+from tessera.plans.run import evaluate, isolated, read_source, run
 from tessera.plans.store import Store
 from tessera.session import scratch_path
 from tessera.sources import classify, interface, product as product_src, raw, staging
@@ -1281,8 +1281,11 @@ def q_accumulate_rollup(spark, sf):
 
 def _sql(key: str, spark_sql: str, duck_sql: str | None = None, tables=()):
     def q(spark, sf):
-        views(spark, sf, *tables)
-        return spark.sql(spark_sql)
+        # As a transform of a run over bound sources: parsed as one SELECT, in a session of its own.
+        own = isolated(spark)
+        for name, source in raw_sources(sf, *tables).items():
+            read_source(own, source)[0].createOrReplaceTempView(name)
+        return evaluate(own, Transform(name=key, sql=spark_sql, path=f"sql/{key}.sql"))
 
     register(key, duck_sql if duck_sql is not None else spark_sql)(q)
 
