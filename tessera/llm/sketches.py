@@ -134,7 +134,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = written(docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h")).select(place.alias("key")).distinct(), "id-ranges")
     heads = rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("bucket", "text")
     follows = next_lower(buckets).withColumnRenamed("key", "at")
-    heads = follows.join(heads, follows["next"] == heads["bucket"]).select("at", F.col("text").alias("head"), words_of(F.col("text")).alias("w"))
+    # Null-safe, so no filter is inferred below the exchange: both readers of ``rows`` then share one shuffle.
+    heads = follows.join(heads, follows["next"].eqNullSafe(heads["bucket"])).select("at", F.col("text").alias("head"), words_of(F.col("text")).alias("w"))
     heads = heads.select("at", "head", sketch_of(F.col("w"), k, shingle).alias("head_sketch"))
 
     own = rows.withColumn("w", words_of(F.col("text")))
