@@ -31,7 +31,6 @@ import base64
 import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,10 +39,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import python_rows, written
 from tessera.session import scratch_path
 
-#: Compressed bytes after which an archive is closed, largest gap read through, and largest byte range.
+#: Compressed bytes after which an archive is closed, largest gap read through, and cell of offsets a byte range stays in.
 ARCHIVE_BYTES = 256 << 20
 GAP = 64 << 10
 RANGE = 4 << 20
+#: Bytes of archives a task reads back.
+TASK_BYTES = 64 << 20
 #: Smallest payload that can become a revisit.
 MIN_REVISIT = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -162,6 +163,14 @@ def byte_ranges(selected: DataFrame, gap: int = GAP, size: int = RANGE) -> DataF
     ).select("archive", "start", "stop", "records")
 
 
+def _spread(ranges: DataFrame, per_task: int = TASK_BYTES) -> DataFrame:
+    """Ranges dealt over tasks by the bytes they will read. The rows are tiny, so row-based planning would put them into one task."""
+    ranges = written(ranges, "warc-ranges")
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    tasks = max(-(-size // per_task), min(n, ranges.sparkSession.sparkContext.defaultParallelism), 1)
+    return ranges.repartition(int(tasks), "archive", "start")
+
+
 READ = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, stored_sha1 string"
 
 
@@ -190,10 +199,10 @@ def read_records(selected: DataFrame, folder: str, gap: int = GAP, size: int = R
 
     strings, numbers = pa.string(), pa.int64()
     schema = pa.schema([("page_id", numbers), ("url", strings), ("record_type", strings), ("refers_to", numbers), ("payload_bytes", numbers), ("payload_digest", strings), ("stored_sha1", strings)])
-    return byte_ranges(selected, gap, size).mapInArrow(run, READ)
+    return _spread(byte_ranges(selected, gap, size)).mapInArrow(run, READ)
 
 
-def read_bodies(selected: DataFrame, folder: str, gap: int = GAP, size: int = RANGE) -> Iterator:
+def read_bodies(selected: DataFrame, folder: str, gap: int = GAP, size: int = RANGE) -> DataFrame:
     """(page_id, html) of the selected responses; revisits have no body of their own and are left out."""
 
     def run(batches):
@@ -207,7 +216,7 @@ def read_bodies(selected: DataFrame, folder: str, gap: int = GAP, size: int = RA
                 kept = [(int(x["X-Page-ID"]) if x["X-Page-ID"] else None, body.decode("utf-8")) for x, _, body in parsed if x["WARC-Type"] == "response"]
                 yield pa.record_batch([pa.array([k for k, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.string())], names=["page_id", "html"])
 
-    return byte_ranges(selected, gap, size).mapInArrow(run, "page_id bigint, html string")
+    return _spread(byte_ranges(selected, gap, size)).mapInArrow(run, "page_id bigint, html string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
