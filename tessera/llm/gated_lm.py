@@ -128,10 +128,27 @@ class Layout:
         return np.log10((n + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
+def _frequent(counts: DataFrame) -> list:
+    """All words from some count on, at most ``COUNTED``; always the end.
+
+    The count comes from a histogram of counts in steps of a sixteenth of a doubling, a table of bounded size, so
+    neither a task nor the driver sees more than the words that are kept, however many partitions there are.
+    """
+    step = F.floor(F.log2("n") * 16)
+    held, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        held += r.words
+        if held > COUNTED - 1:
+            break
+        lowest = r.step
+    frequent = step >= lowest if lowest is not None else F.lit(False)
+    return counts.where(frequent | (F.col("word") == END)).collect()
+
+
 def layout_of(counts: DataFrame) -> Layout:
     """Reads the bounded parts of the counts: the most frequent words, endings and class totals."""
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(COUNTED).collect()
+    top = sorted(_frequent(counts), key=lambda r: (-r.n, r.word))
     frequent = [r.word for r in top if r.word != END][: HEAD - 1]
     head = [END, *sorted(frequent, key=lambda w: (w[-ENDING:], w))]
     rest = counts.where(~F.col("word").isin(head))
