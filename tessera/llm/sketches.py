@@ -54,13 +54,16 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 def merge_sketches(sketches: DataFrame, keys: list[str], sketch_col: str = "sketch", k: int = K) -> DataFrame:
     """One sketch per group of rows. Rows are folded in bounded sub-groups first, so no group meets in one task whole."""
-    exploded = sketches.select(*keys, F.explode_outer(sketch_col).alias("_h")).distinct()
+    exploded = sketches.select(*keys, F.explode(sketch_col).alias("_h")).distinct()
     # The k smallest of a sub-group contain all of its hashes that can be among the k smallest of the group.
     salted = exploded.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(256)))
     first = Window.partitionBy(*keys, "_salt").orderBy("_h")
     second = Window.partitionBy(*keys).orderBy("_h")
     kept = salted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
     kept = kept.withColumn("_r", F.row_number().over(second)).where(F.col("_r") <= k)
+    # Groups without any hash have only the null, which collect_list leaves out.
+    every = sketches.select(*keys).distinct().withColumn("_h", F.lit(None).cast("bigint"))
+    kept = kept.select(*keys, "_h").unionByName(every)
     return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(sketch_col))
 
 

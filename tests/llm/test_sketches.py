@@ -76,6 +76,15 @@ def test_sketches_merge_across_parts(spark):
     assert got == {i: s[:64] for i, s in full.items()}
 
 
+def test_empty_parts_take_no_place(spark):
+    words = " ".join(f"v{i}" for i in range(500))
+    parts = [(1, words), (1, None), (1, ""), (2, " "), (2, None), (None, words), (None, ""), (3, "a b")]
+    sketches = S.fingerprint(spark.createDataFrame(parts, "doc_id bigint, text string"), k=64)
+    got = dict(S.merge_sketches(sketches, ["doc_id"], k=64).collect())
+    full = next(r.sketch for r in sketches.collect() if r.doc_id == 1 and r.sketch)
+    assert len(full) == 64 and got[1] == got[None] == full and got[2] == [] and len(got[3]) == 1
+
+
 def test_null_ids_and_repeats(spark):
     rows = [(4, "a b"), (4, "a b"), (None, "z y x w v u"), (None, None), (-5, "a b")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
