@@ -12,9 +12,12 @@ inside a class by their counts with one place for unseen words, so the model
 covers an open vocabulary and its probabilities add up to one.
 
 **Training** is truncated backpropagation in numpy over every training
-document: tasks start from the same count-based weights, run once over their
-own documents with the state carried from window to window, and the weights are
-averaged by tokens in a Spark aggregate, parameter by parameter.
+document in synchronised rounds. Documents are dealt evenly into replicas of a
+fixed number of tokens, however the table is partitioned. The replicas of a
+round start from the same weights, run once over their own documents with the
+state carried from window to window, and are averaged by tokens in a Spark
+aggregate, parameter by parameter; the next round starts from the average. There
+are as many rounds as replicas in a round, so updates grow with the corpus.
 
 **Scoring** carries the state through the whole document. The frequent words'
 counts (``COUNTED`` of them, a bound) travel to every task; the counts of all
@@ -30,8 +33,9 @@ result; other columns are ignored whatever their names; texts are read whole.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,8 @@ WINDOW = 16
 RATE, SEEN = 0.04, 0.03
 #: Words after which training starts a long document's state anew, so that one document does not hold up all lanes.
 PART = 2048
+#: Training tokens of a replica of the network in one round.
+REPLICA_TOKENS = 1 << 19
 #: Documents turned into lanes at a time, and counted words held by a task before it gives them out.
 SLICE = 6144
 HELD_WORDS = 400_000
@@ -351,32 +357,76 @@ def _slices(batches):
         yield held
 
 
-def train(texts: DataFrame, layout: Layout) -> dict[str, np.ndarray]:
-    """Weights after one pass of every task over its own documents, averaged by tokens."""
-    start = Network(layout).w
-    names = list(start)
+def _dealt(texts: DataFrame, layout: Layout, replicas: int, rounds: int) -> DataFrame:
+    """(numbers, replica, round): documents in parts of at most ``PART`` words, dealt evenly over the replicas whatever the files are."""
 
     def run(batches):
-        net = Network(layout)
-        learner = Adagrad(net)
-        for rows in _slices(batches):
+        for rows in python_rows(batches):
             documents = [layout.numbers(tokens_of(t)) for (t,) in rows]
-            run_lanes(net, [d[at : at + PART] for d in documents for at in range(0, len(d), PART)], WINDOW, learn=learner)
-        if learner.tokens:
-            flat = np.concatenate([net.w[k].ravel() for k in names]).astype(np.float64) * learner.tokens
+            parts = [d[at : at + PART].tobytes() for d in documents for at in range(0, len(d), PART)]
+            yield pa.record_batch([pa.array(parts, pa.binary())], names=["numbers"])
+
+    dealt = texts.mapInArrow(run, "numbers binary").repartition(replicas).withColumn("replica", F.spark_partition_id())
+    return written(dealt.withColumn("round", F.col("replica") % rounds), "lm-parts", "round")
+
+
+def _replicas(batches):
+    """Lists of a replica's parts; a replica is one file, so its rows follow one another."""
+    held, at = [], None
+    for rows in python_rows(batches):
+        for numbers, replica in rows:
+            if replica != at and held:
+                yield held
+                held = []
+            at = replica
+            held.append(np.frombuffer(numbers, np.int32))
+    if held:
+        yield held
+
+
+def train(texts: DataFrame, layout: Layout) -> dict[str, np.ndarray]:
+    """Weights after one pass over all documents in synchronised rounds.
+
+    The corpus is dealt into replicas of about ``REPLICA_TOKENS``, these into as many rounds as a round has replicas.
+    Each round starts from the average (by tokens) of the round before, step sizes included.
+    """
+    w = Network(layout).w
+    if not layout.total:
+        return w
+    replicas = -(-layout.total // REPLICA_TOKENS)
+    rounds = math.ceil(replicas**0.5)
+    parts = _dealt(texts, layout, replicas, rounds)
+    slim = replace(layout, counts={}, number={})
+    seen = {k: np.full_like(x, SEEN) for k, x in w.items()}
+    for r in range(rounds):
+        w, seen = _round(parts.where(F.col("round") == r).select("numbers", "replica"), slim, w, seen)
+    return w
+
+
+def _round(parts: DataFrame, layout: Layout, w: dict[str, np.ndarray], seen: dict[str, np.ndarray]) -> tuple[dict, dict]:
+    """Average weights and squared gradients of the replicas of one round; as given without any parts."""
+    names = list(w)
+
+    def run(batches):
+        for documents in _replicas(batches):
+            learner = Adagrad(Network(layout, {k: x.copy() for k, x in w.items()}))
+            learner.seen = {k: x.copy() for k, x in seen.items()}
+            run_lanes(Network(layout, learner.w), documents, WINDOW, learn=learner)
+            flat = np.concatenate([x[k].ravel() for x in (learner.w, learner.seen) for k in names]).astype(np.float64) * learner.tokens
             yield pa.record_batch([pa.array([learner.tokens], pa.int64()), pa.array([flat])], names=["tokens", "weights"])
 
-    trained = written(texts.mapInArrow(run, "tokens bigint, weights array<double>"), "lm-replicas")
+    trained = written(parts.mapInArrow(run, "tokens bigint, weights array<double>"), "lm-replicas")
     tokens = trained.agg(F.sum("tokens")).first()[0]
     if not tokens:
-        return start
-    # One row per parameter and task is summed; the driver gets one row per parameter, as many as the network has.
+        return w, seen
+    # One row per parameter and replica is summed; the driver gets one row per parameter, as many as the network has.
     summed = trained.select(F.posexplode("weights").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
     flat = summed.orderBy("at").select("x").toPandas()["x"].to_numpy() / tokens
-    out, at = {}, 0
-    for k in names:
-        out[k] = flat[at : at + start[k].size].reshape(start[k].shape).astype(np.float32)
-        at += start[k].size
+    out, at = ({}, {}), 0
+    for held in out:
+        for k in names:
+            held[k] = flat[at : at + w[k].size].reshape(w[k].shape).astype(np.float32)
+            at += w[k].size
     return out
 
 

@@ -136,3 +136,12 @@ def test_better_than_the_base_on_held_out_documents(spark):
     held = [r for r in G.scored(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert sum(r.score > r.base_score for r in held) > 0.9 * len(held)
+
+
+def test_fine_partitions_do_not_lower_the_score(spark, monkeypatch):
+    monkeypatch.setattr(G, "REPLICA_TOKENS", 1 << 16, raising=False)  # several rounds
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mean = lambda rows: sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+    whole, fine = (mean(G.scored(d).where("held_out").collect()) for d in (docs.coalesce(1), docs.repartition(64)))
+    print("held-out score per token:", whole, fine)
+    assert fine > whole - 0.01
