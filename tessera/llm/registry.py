@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, decontaminate, gated_lm, quotation, simhash_index, sketches, toxicity, url_filter, warc
+from tessera.llm import bpe_transducer, decontaminate, gated_lm, prefix_trie, quotation, simhash_index, sketches
+from tessera.llm import topk_scan, toxicity, url_filter, warc, word_runs
 from tessera.llm.common import table
 from tessera.llm.token_counts import count_tokens
 
@@ -60,6 +61,18 @@ def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated_lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_topk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_scan.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe_transducer": op2_bpe_transducer,
@@ -71,10 +84,15 @@ QUERIES: dict[str, Query] = {
     "op8_quotation": op8_quotation,
     "op9_toxicity": op9_toxicity,
     "op10_gated_lm": op10_gated_lm,
+    "op11_topk_scan": op11_topk_scan,
+    "op12_word_runs": op12_word_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_warc": warc.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op11_topk_scan": topk_scan.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
