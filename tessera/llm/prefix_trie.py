@@ -119,9 +119,10 @@ def _numbered(turns: DataFrame) -> DataFrame:
     schema = "part long, conv_id long, i long, q binary, turn binary, words long, edge boolean"
     local = written(ranged.select("conv_id", "turn", "words").mapInArrow(_chained, schema), "trie-ranges")
     # Two rows a task at most: where a conversation goes on, and from which state.
+    edges = local.where("edge").select("part", "conv_id", "i", "q").collect()
     went: dict[tuple[int, int], tuple[int, int]] = {}
     conv, n, state = None, 0, 0
-    for e in local.where("edge").select("part", "conv_id", "i", "q").orderBy("part", "conv_id").toLocalIterator():
+    for e in sorted(edges, key=lambda e: (e.part, e.conv_id)):
         if e.conv_id == conv:
             went[e.part, e.conv_id] = (n, state)
             n, state = n + e.i, (state * pow(X, e.i, P) + _int(e.q)) % P
