@@ -5,8 +5,8 @@ kept. A stage's result is written as Parquet and read back as the next one's
 ``docs``, so a lost executor repeats part of one stage and no more. All stages
 but the last return the columns of ``docs``.
 
-Near-duplicates are texts with a five-word Jaccard similarity of 0.8 or more.
-Stages cannot be stated in SQL (a fitted classifier, components, a tokenizer),
+Near-duplicates are what operator 6 links: fingerprints of three-word shingles
+within two bits. Stages cannot be stated in SQL (a fitted classifier, components, a tokenizer),
 so there is no ``ORACLE_SQL``; tests hold every stage against a plain version.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, decontaminate, near_copies, toxicity
+from tessera.llm import bpe_transducer, decontaminate, simhash_index, toxicity
 from tessera.llm.common import table, written
 
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked near copies the document with the smallest id stays."""
-    return near_copies.one_per_group(docs)
+    """Of each group linked by SimHash fingerprints the document with the smallest id stays."""
+    return simhash_index.one_per_component(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
