@@ -90,6 +90,9 @@ class DataProduct:
         doc["digest"] = catalog.interface_digest(self.product)
         doc["execution"] = self.store.latest()
         doc["pins"] = self.store.releases().get("routes", {})
+        described = catalog.source_descriptions(self.spark, self.root, self.product)
+        if described:
+            doc["source_descriptions"] = described
         return doc
 
     def catalog(self) -> DataFrame:

@@ -166,6 +166,7 @@ class Product:
     description: str | None = None
     directory: str = "."
     warnings: list[str] = field(default_factory=list)
+    profile: str = "default"  # the environment it was loaded for: a check under one attests no other
 
     def __post_init__(self):
         self.resolve()
@@ -450,11 +451,12 @@ def _transform(entry: Any, directory: str) -> Transform:
 
 def load_profile(path: str) -> dict:
     """An environment profile (YAML): ``connections`` by name, ``products`` (upstream name -> store root),
-    ``storage`` (this product's store root). Values may use ``${VAR}`` / ``${VAR:-default}``."""
+    ``storage`` (this product's store root), ``name`` (the file's stem if absent). Values may use ``${VAR}`` / ``${VAR:-default}``."""
     with open(path, encoding="utf-8") as fh:
         doc = yaml.safe_load(fh) or {}
     directory = os.path.dirname(os.path.abspath(path))
     out: dict = {"connections": {}, "products": {}}
+    out["name"] = str(doc.get("name") or os.path.splitext(os.path.basename(path))[0])
     for name, conn in (doc.get("connections") or {}).items():
         out["connections"][name] = {k: expand(str(v)) for k, v in (conn or {}).items()}
     for name, root in (doc.get("products") or {}).items():
@@ -478,5 +480,5 @@ def load_product(path: str, profile: dict | str | None = None) -> Product:
     exports = [_export(e) for e in (doc.get("interface") or [])]
     return Product(
         name=name, sources=sources, transforms=transforms, exports=exports,
-        description=doc.get("description"), directory=directory,
+        description=doc.get("description"), directory=directory, profile=profile.get("name", "default"),
     )

@@ -148,11 +148,11 @@ def fleet(spark: SparkSession, prefix: str) -> DataFrame:
     ).orderBy("product", "route")
 
 
-def source_check_record(product: Product, verifications, profile: str = "default") -> dict:
+def source_check_record(product: Product, verifications) -> dict:
     """what was verified, against which interface and profile."""
     return {
         "product": product.name,
-        "profile": profile,
+        "profile": product.profile,
         "config_digest": interface_digest(product),
         "ok": all(v.ok for v in verifications),
         "grain": [v.grain for v in verifications if v.grain],
@@ -160,16 +160,32 @@ def source_check_record(product: Product, verifications, profile: str = "default
     }
 
 
-def write_source_check(spark: SparkSession, root: str, product: Product, verifications, profile: str = "default") -> dict:
-    rec = source_check_record(product, verifications, profile)
+def write_source_check(spark: SparkSession, root: str, product: Product, verifications) -> dict:
+    rec = source_check_record(product, verifications)
     fs.write_text(spark, fs.join(root, "source_check.json"), json.dumps(rec), overwrite=True)
     return rec
 
 
-def source_check_fresh(spark: SparkSession, root: str, product: Product, profile: str = "default") -> bool:
-    """Fresh only when both the interface digest and the profile match the recorded check."""
-    path = fs.join(root, "source_check.json")
+def _fresh(spark: SparkSession, path: str, product: Product) -> dict | None:
+    """A record written for this interface under this profile, else None."""
     if not fs.exists(spark, path):
-        return False
+        return None
     rec = json.loads(fs.read_text(spark, path))
-    return rec.get("config_digest") == interface_digest(product) and rec.get("profile") == profile and rec.get("ok")
+    return rec if rec.get("config_digest") == interface_digest(product) and rec.get("profile") == product.profile else None
+
+
+def source_check_fresh(spark: SparkSession, root: str, product: Product) -> bool:
+    """Fresh only when both the interface digest and the profile match the recorded check."""
+    return bool((_fresh(spark, fs.join(root, "source_check.json"), product) or {}).get("ok"))
+
+
+def write_source_descriptions(spark: SparkSession, root: str, product: Product, described: dict[str, dict[str, str]]) -> None:
+    """What the warehouse says about the columns of bound sources; nothing is written when it says nothing."""
+    if described:
+        rec = {"product": product.name, "profile": product.profile, "config_digest": interface_digest(product), "sources": described}
+        fs.write_text(spark, fs.join(root, "source_descriptions.json"), json.dumps(rec), overwrite=True)
+
+
+def source_descriptions(spark: SparkSession, root: str, product: Product) -> dict[str, dict[str, str]]:
+    """Source -> column -> description, while the record is fresh for this interface and profile."""
+    return (_fresh(spark, fs.join(root, "source_descriptions.json"), product) or {}).get("sources", {})

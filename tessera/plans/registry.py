@@ -454,6 +454,48 @@ def q_land_stream(spark, sf):
     return Store(spark, root).read_table("events_stream")
 
 
+def _warehouse(objects: dict[str, tuple[DataFrame, dict[str, str]]]):
+    """A loader that answers as a warehouse of views would, over Spark frames: metadata rows, then query texts."""
+
+    def load(spark, fmt, options):
+        text = options["query"]
+        if "INFORMATION_SCHEMA" in text:
+            rows = [("T", name, "VIEW", None) for name in objects]
+            rows += [("C", name, c, t) for name, (_, types) in objects.items() for c, t in types.items()]
+            return spark.createDataFrame(rows, "k string, n string, v1 string, v2 string")
+        for name, (df, _) in objects.items():
+            text = text.replace(f"`acme.sales.{name}`", "{" + name + "}")
+        session = next(iter(objects.values()))[0].sparkSession
+        return session.sql(text.replace("DATETIME '", "TIMESTAMP_NTZ '"), **{name: df for name, (df, _) in objects.items()})
+
+    return load
+
+
+@register(
+    "warehouse_view_delta",
+    f"""
+WITH mark AS (SELECT max(ts) - INTERVAL 6 HOURS AS m FROM events WHERE ts <= TIMESTAMP '{TS_SPLIT}')
+SELECT event_id, ts, user_id, event_type, CASE WHEN ts > m THEN value + 1 ELSE value END AS value FROM events, mark
+""",
+)
+def q_warehouse_view_delta(spark, sf):
+    """A view's delta, filtered by the server from the rendered mark; the view's older rows changed unseen."""
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    types = {"event_id": "INT64", "ts": "DATETIME", "user_id": "INT64", "event_type": "STRING", "value": "FLOAT64"}
+    view = Source(name="events", kind="jdbc", connection={"type": "bigquery", "project": "acme"}, table="sales.events_v",
+                  incremental=Incremental(cursor="ts", lookback="6h"))
+    product = Product(
+        name="events", sources={"events": view},
+        transforms=[Transform(name="events_acc", sql=EVENTS_ACC_SQL, strategy="upsert", key=["event_id"], path="sql/events_acc.sql")],
+    )
+    root = root_for(spark, "warehouse_view")
+    first = events.where(F.col("ts") <= F.lit(TS_SPLIT).cast("timestamp_ntz"))
+    later = events.withColumn("value", F.col("value") + 1)
+    for rows in (first, later):
+        run(spark, product, root, load=_warehouse({"events_v": (rows, types)}))
+    return Store(spark, root).read_table("events_acc")
+
+
 # =====================================================================  2.C transforms
 
 

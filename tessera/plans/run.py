@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.errors import ConfigError, TesseraError
-from tessera.functions.env import expand_connection
 from tessera.model import Product, Source, Transform
 from tessera.operators import checks
 from tessera.operators.delta import (
@@ -37,11 +36,10 @@ from tessera.operators.delta import (
 from tessera.operators.strategy import append_by_key, compact, land_keyed, land_replace, upsert_by_key
 from tessera.operators.verify import Verification, verify_all
 from tessera.plans.store import Store, TableState, iso, utc_now
-from tessera.sources import jdbc
-from tessera.sources.jdbc import read_jdbc
 from tessera.sources.product import data_as_of
 from tessera.sources.raw import read_raw
 from tessera.sources.staging import Staged, size_estimate, stage_parquet
+from tessera.sources.warehouse import Load, Warehouse
 
 
 @dataclass
@@ -80,7 +78,9 @@ def statement_for(t: Transform) -> str:
     return f"{verb} {t.name} KEY ({', '.join(t.key)}) FROM ({t.sql.strip()})"
 
 
-def read_source(spark: SparkSession, src: Source) -> tuple[DataFrame, dict]:
+def read_source(
+    spark: SparkSession, src: Source, house: Warehouse | None = None, start: tuple[str, object] | None = None
+) -> tuple[DataFrame, dict]:
     info: dict = {"name": src.name, "kind": src.kind}
     if src.kind == "raw":
         df = read_raw(spark, src.uri, src.format, src.options, src.schema)
@@ -92,17 +92,10 @@ def read_source(spark: SparkSession, src: Source) -> tuple[DataFrame, dict]:
         as_of = data_as_of(spark, src.root, v)
         info["data_as_of"] = iso(as_of) if as_of else None
     else:
-        conn = src.connection or {}
-        query = expand_connection(src.name, src.query, conn.get("project")) if src.query else None
-        if str(conn.get("type") or "jdbc").lower() in ("snowflake", "bigquery"):
-            df = jdbc.read_connection(spark, conn, table=src.table, query=query)
-        else:
-            part = src.partition or {}
-            bounds = {"partition_column": part["column"], "lower": part["lower"], "upper": part["upper"],
-                      "num_partitions": part.get("partitions")} if part else {}
-            if src.table is not None and conn.get("type") == "postgres":
-                jdbc.split_table_path("postgres", src.table)
-            df = read_jdbc(spark, conn, table=src.table, query=query, **bounds)
+        house = house or Warehouse(spark, {src.name: src})
+        df = house.open(src, start)
+        described = house.info(src)
+        info.update(route="query" if src.query or (described and described.kind == "query") else "table")
     return df, info
 
 
@@ -127,7 +120,9 @@ def run(
     replay_check: bool = False,
     verify: bool = True,
     commit: bool = True,
+    load: Load | None = None,
 ) -> RunResult:
+    """One run. ``load`` opens a warehouse connector's reader in place of Spark's own."""
     spark = isolated(spark)
     store = Store(spark, root)
     parent = store.latest()
@@ -149,39 +144,66 @@ def run(
             store.read_state(st).createOrReplaceTempView(name)
             bound.add(name)
 
-    for src in product.sources.values():
-        df, info = read_source(spark, src)
-        info["estimated_bytes"] = size_estimate(df)  # A11: reported before any read, from plan statistics
-        if src.incremental is not None:
-            kind, warns = validate_cursor(df, src.incremental.cursor, src.name)
-            warnings += warns
-            mark = None if full_refresh else mark_for(old_marks, src.name, kind)
-            if src.kind == "raw":
-                # Files are pinned at read: no copy needed for a consistent delta.
-                delta_df, adv = pinned_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
-                info.update(staged=False)
+    house = Warehouse(spark, product.sources, load)
+
+    def clean() -> None:
+        # The run's views point at staged scratch data that is removed here: drop them with it.
+        for name in bound:
+            spark.catalog.dropTempView(name)
+        for s in staged_all:
+            s.cleanup()
+        house.cleanup()
+
+    try:
+        house.preflight(list(product.sources.values()))
+        for src in product.sources.values():
+            start = house.start(src, old_marks, full_refresh)
+            df, info = read_source(spark, src, house, start)
+            info["estimated_bytes"] = size_estimate(df)  # A11: reported before any read, from plan statistics
+            if info["estimated_bytes"] is None:
+                warnings.append(f"source {src.name!r}: no size estimate")
+            if start is not None:
+                info["pushed_mark"] = str(start[1])
+            if src.incremental is not None:
+                kind, warns = validate_cursor(df, src.incremental.cursor, src.name)
+                warnings += warns
+                mark = None if full_refresh else mark_for(old_marks, src.name, kind)
+                if src.kind == "raw":
+                    # Files are pinned at read: no copy needed for a consistent delta.
+                    delta_df, adv = pinned_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
+                    info.update(staged=False)
+                else:
+                    # A live database can change between reads: stage the delta once.
+                    try:
+                        staged, adv = stage_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
+                    except Exception as e:
+                        raise house.named(src, e) from e
+                    staged_all.append(staged)
+                    delta_df = spark.read.schema(staged.df.schema).parquet(staged.path)
+                    info.update(staged=True, bytes=staged.bytes)
+                advances.append(adv)
+                delta_df.createOrReplaceTempView(src.name)
+                bound.add(src.name)
+                info.update(incremental=True, rows=adv.rows,
+                            mode="full_refresh" if full_refresh else ("bootstrap" if mark is None else "delta"))
             else:
-                # A live database can change between reads: stage the delta once.
-                staged, adv = stage_delta(df, src.incremental.cursor, mark, src.incremental.lookback, src.name)
-                staged_all.append(staged)
-                delta_df = spark.read.schema(staged.df.schema).parquet(staged.path)
-                info.update(staged=True, bytes=staged.bytes)
-            advances.append(adv)
-            delta_df.createOrReplaceTempView(src.name)
-            bound.add(src.name)
-            info.update(incremental=True, rows=adv.rows,
-                        mode="full_refresh" if full_refresh else ("bootstrap" if mark is None else "delta"))
-        else:
-            info.update(incremental=False)
-            if src.kind == "jdbc":
-                # A live database can change between reads: every transform and the replay see one copy.
-                staged = stage_parquet(df)
-                staged_all.append(staged)
-                df = spark.read.schema(staged.df.schema).parquet(staged.path)
-                info.update(staged=True, rows=staged.rows, bytes=staged.bytes)
-            df.createOrReplaceTempView(src.name)
-            bound.add(src.name)
-        sources_info.append(info)
+                info.update(incremental=False)
+                if src.kind == "jdbc":
+                    # A live database can change between reads: every transform and the replay see one copy.
+                    try:
+                        staged = stage_parquet(df)
+                    except Exception as e:
+                        raise house.named(src, e) from e
+                    staged_all.append(staged)
+                    df = spark.read.schema(staged.df.schema).parquet(staged.path)
+                    info.update(staged=True, rows=staged.rows, bytes=staged.bytes)
+                df.createOrReplaceTempView(src.name)
+                bound.add(src.name)
+            sources_info.append(info)
+    except Exception:
+        clean()
+        raise
+    warnings += house.warnings
 
     new_tables = dict(current)
     transforms_info = []
@@ -235,7 +257,10 @@ def run(
                 e.route: spark.table(e.bind) if e.bind is not None else store.read_state(new_tables[e.table])
                 for e in product.exports
             }
-            verifications = verify_all(product.exports, frames, incremental=bool(product.incremental_sources()))
+            native, connectors = house.native_types(_bound(product))
+            verifications = verify_all(
+                product.exports, frames, incremental=bool(product.incremental_sources()), native=native, connectors=connectors
+            )
 
         if replay_check:
             replay(spark, store, product, new_tables, full_refresh)
@@ -268,11 +293,13 @@ def run(
             })
         raise
     finally:
-        # The run's views point at staged scratch data that is removed here: drop them with it.
-        for name in bound:
-            spark.catalog.dropTempView(name)
-        for s in staged_all:
-            s.cleanup()
+        clean()
+
+
+def _bound(product: Product) -> list[Source]:
+    """The sources that exports are bound to."""
+    names = {e.bind for e in product.exports if e.bind is not None}
+    return [s for s in product.sources.values() if s.name in names]
 
 
 def _mentioned(transforms, name: str) -> bool:
@@ -283,27 +310,33 @@ def _mentioned(transforms, name: str) -> bool:
 
 def verify_published(
     spark: SparkSession, product: Product, root: str, version: int | None = None, raise_on_failure: bool = True,
+    load: Load | None = None,
 ) -> list[Verification]:
     """3.3 ``verify``: check the committed snapshot (bound exports against their live sources).
 
     Schema checks need no job; each export with a grain costs one aggregate.
-    Writes a source-check record with the interface digest so a later check
-    can tell whether it is still fresh.
+    Writes a source-check record and the bound sources' column descriptions with
+    the interface digest and the profile, so a reader can tell whether they are
+    still fresh.
     """
-    from tessera.plans.catalog import write_source_check
+    from tessera.plans.catalog import write_source_check, write_source_descriptions
 
     spark = isolated(spark)
     store = Store(spark, root)
     tables = store.tables(version)
-    for src in product.sources.values():
-        if any(e.bind == src.name for e in product.exports):
-            df, _ = read_source(spark, src)
-            df.createOrReplaceTempView(src.name)
+    bound = _bound(product)
+    house = Warehouse(spark, {s.name: s for s in bound}, load)
+    live = {src.name: read_source(spark, src, house)[0] for src in bound}
     frames: dict[str, DataFrame] = {}
     for e in product.exports:
-        frames[e.route] = spark.table(e.bind) if e.bind is not None else store.read_state(tables[e.table])
-    out = verify_all(product.exports, frames, raise_on_failure=False, incremental=bool(product.incremental_sources()))
+        frames[e.route] = live[e.bind] if e.bind is not None else store.read_state(tables[e.table])
+    native, connectors = house.native_types(bound)
+    out = verify_all(
+        product.exports, frames, raise_on_failure=False, incremental=bool(product.incremental_sources()), native=native, connectors=connectors
+    )
     write_source_check(spark, root, product, out)
+    write_source_descriptions(spark, root, product, house.descriptions(bound))
+    house.cleanup()
     fails = [f for v in out for f in v.failures]
     if fails and raise_on_failure:
         from tessera.errors import VerifyError

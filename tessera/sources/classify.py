@@ -62,12 +62,3 @@ def classify_objects(meta: DataFrame) -> DataFrame:
         "columns",
         "descriptions",
     )
-
-
-def source_descriptions(meta: DataFrame) -> DataFrame:
-    """(object, column, description) for documented columns, blanks dropped."""
-    return (
-        meta.where((F.col("k") == "D") & (F.trim(F.coalesce("v2", F.lit(""))) != ""))
-        .select(F.col("n").alias("object"), F.col("v1").alias("column"), F.col("v2").alias("description"))
-        .dropDuplicates(["object", "column"])
-    )

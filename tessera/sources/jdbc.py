@@ -39,64 +39,52 @@ def jdbc_options(conn: dict) -> dict:
     return opts
 
 
+def load(spark: SparkSession, fmt: str, options: dict) -> DataFrame:
+    """Open a connector's reader."""
+    return spark.read.format(fmt).options(**options).load()
+
+
 def read_jdbc(
     spark: SparkSession, conn: dict, table: str | None = None, query: str | None = None,
     partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
-    num_partitions: int | None = None,
+    num_partitions: int | None = None, load=load,
 ) -> DataFrame:
     """``dbtable`` (pushdown) or ``query`` (server-side shaping)."""
     if (table is None) == (query is None):
         raise ConfigError("give exactly one of table and query")
-    r = spark.read.format("jdbc").options(**jdbc_options(conn))
+    opts = jdbc_options(conn)
     if table is not None:
-        r = r.option("dbtable", table)
+        opts["dbtable"] = table
         if partition_column:
-            r = (
-                r.option("partitionColumn", partition_column)
-                .option("lowerBound", str(lower))
-                .option("upperBound", str(upper))
-                .option("numPartitions", str(num_partitions or 8))
-            )
+            opts.update(partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(num_partitions or 8))
     else:
-        r = r.option("query", query)
-    return r.load()
+        opts["query"] = query
+    return load(spark, "jdbc", opts)
 
 
 def read_connection(
     spark: SparkSession, conn: dict, table: str | None = None, query: str | None = None, partition: dict | None = None,
+    load=load,
 ) -> DataFrame:
     """A6-A9 for a run: the reader that the connection's ``type`` names (``jdbc`` types by default).
 
-    Snowflake and BigQuery go through their connectors' formats; a BigQuery object's kind (``object_kind`` of the
-    connection, as classified by A10) picks storage read or query job. Table names obey the type's path rules.
+    Snowflake and BigQuery go through their connectors' formats. A BigQuery table is read as a table here; objects
+    are classified and routed by ``warehouse.Warehouse``. Table names obey the type's path rules.
     """
     kind = str(conn.get("type") or "jdbc").lower()
     if kind == "snowflake":
-        return spark.read.format("snowflake").options(**snowflake_options(conn, table, query)).load()
+        return load(spark, "snowflake", snowflake_options(conn, table, query))
     if kind == "bigquery":
-        opts = bigquery_read_options(conn, table, str(conn.get("object_kind") or "table")) if table else bigquery_options(conn, query=query)
-        return spark.read.format("bigquery").options(**opts).load()
+        return load(spark, "bigquery", bigquery_read_options(conn, table, "table") if table else bigquery_options(conn, query=query))
     if table is not None and kind == "postgres":
         split_table_path(kind, table)
     part = dict(partition or {})
     return read_jdbc(
         spark, conn, table=table, query=query, partition_column=part.get("column"), lower=part.get("lower"), upper=part.get("upper"),
-        num_partitions=part.get("partitions"),
+        num_partitions=part.get("partitions"), load=load,
     )
 
 
-def bind_jdbc(spark: SparkSession, name: str, conn: dict, table: str, **kw) -> DataFrame:
-    df = read_jdbc(spark, conn, table=table, **kw)
-    df.createOrReplaceTempView(name)
-    return df
-
-
-def bind_jdbc_query(spark: SparkSession, name: str, conn: dict, query: str) -> DataFrame:
-    df = read_jdbc(spark, conn, query=query)
-    df.createOrReplaceTempView(name)
-    return df
-
-
 # ------------------------------------------------------------------ vendor connectors
 
 

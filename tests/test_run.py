@@ -221,7 +221,6 @@ def test_jdbc_delta_is_staged_once_and_cleaned_up(spark, sf, root, monkeypatch):
     """The JDBC branch stages its delta (a live database may change between reads); no database is started:
     the reader is replaced by a frame over the events table."""
     from tessera.plans import fs
-    from tessera.plans import run as run_mod
     events = spark.read.parquet(f"{sf}/events.parquet")
     calls = []
 
@@ -229,7 +228,7 @@ def test_jdbc_delta_is_staged_once_and_cleaned_up(spark, sf, root, monkeypatch):
         calls.append((conn["url"], table, query))
         return events
 
-    monkeypatch.setattr(run_mod, "read_jdbc", fake_read_jdbc)
+    monkeypatch.setattr("tessera.sources.jdbc.read_jdbc", fake_read_jdbc)
     src = Source(name="ev", kind="jdbc", connection={"url": "jdbc:test:events"}, table="app.events",
                  incremental=Incremental("ts"))
     p = Product(name="ev", sources={"ev": src},
@@ -359,7 +358,6 @@ def test_a_run_leaves_the_callers_views_alone(spark, sf, root):
 
 def test_warehouse_sources_are_dispatched_and_staged_once(spark, sf, root, monkeypatch):
     """Connection type picks the reader, partition options reach it, and a plain JDBC source is read once."""
-    import tessera.plans.run as run_mod
 
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     calls = []
@@ -368,12 +366,11 @@ def test_warehouse_sources_are_dispatched_and_staged_once(spark, sf, root, monke
         calls.append(("jdbc", table or query, kw))
         return orders
 
-    def vendor_reader(spark_, conn, table=None, query=None, partition=None):
-        calls.append((conn["type"], table, {}))
+    def vendor_reader(spark_, fmt, options):
+        calls.append((fmt, options["dbtable"], {}))
         return orders
 
-    monkeypatch.setattr(run_mod, "read_jdbc", jdbc_reader)
-    monkeypatch.setattr(run_mod.jdbc, "read_connection", vendor_reader)
+    monkeypatch.setattr("tessera.sources.jdbc.read_jdbc", jdbc_reader)
     pg = {"type": "postgres", "url": "jdbc:postgresql://h/d"}
     product = Product(
         name="p",
@@ -383,9 +380,9 @@ def test_warehouse_sources_are_dispatched_and_staged_once(spark, sf, root, monke
         },
         transforms=[Transform(name=n, sql=f"SELECT o_orderkey FROM {s}", path=f"sql/{n}.sql") for n, s in (("t1", "a"), ("t2", "a"), ("t3", "b"))],
     )
-    res = run(spark, product, root)
+    res = run(spark, product, root, load=vendor_reader)
     assert sorted(c[0] for c in calls) == ["jdbc", "snowflake"]
-    assert [c[2] for c in calls if c[0] == "jdbc"] == [{"partition_column": "o_orderkey", "lower": 0, "upper": 9, "num_partitions": 3}]
+    assert [{k: v for k, v in c[2].items() if k != "load"} for c in calls if c[0] == "jdbc"] == [{"partition_column": "o_orderkey", "lower": 0, "upper": 9, "num_partitions": 3}]
     assert {t.rows for t in res.tables.values()} == {orders.count()}
     assert all(s["staged"] and s["rows"] == orders.count() for s in res.summary["sources"])
     with pytest.raises(ConfigError, match="exactly two parts"):
