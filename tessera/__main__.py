@@ -41,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     rd = cmd("read", "one page of an export (closed grammar)")
     rd.add_argument("route")
     rd.add_argument("params", nargs="*", help="grain=value, limit=N, offset=N")
+    rd.add_argument("--after", nargs="*", metavar="grain=value", help="the page that follows this row")
     ex = cmd("expire", "expire old versions and sweep unreferenced files")
     ex.add_argument("--retention-days", type=int, default=30)
     return p
@@ -77,7 +78,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         out = {"from": old, "to": new, "watermarks": [r.asDict() for r in diff.collect()]}
     elif args.command == "read":
         params = dict(p.split("=", 1) for p in args.params)
-        out = [json.loads(r.j) for r in dp.read(args.route, params, as_json=True).collect()]  # ≤ 1000 rows
+        after = dict(p.split("=", 1) for p in args.after) if args.after else None
+        out = [json.loads(r.j) for r in dp.read(args.route, params, as_json=True, after=after).collect()]  # ≤ 1000 rows
     else:
         out = dp.expire(args.retention_days)
     print(json.dumps(out, default=str, indent=1))

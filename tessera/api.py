@@ -125,26 +125,29 @@ class DataProduct:
         e = self.export(route)
         return snapshots.read_export_table(self.spark, self.root, e)
 
-    def read(self, route: str, params: dict[str, str] | None = None, as_json: bool = False) -> DataFrame:
-        """Closed read (I1-I6): grain equality filters, limit/offset pages in grain order."""
+    def read(
+        self, route: str, params: dict[str, str] | None = None, as_json: bool = False, after: dict[str, str | None] | None = None
+    ) -> DataFrame:
+        """Closed read (I1-I6): grain equality filters, limit/offset pages in grain order.
+
+        ``after`` (a value per grain column) gives the page that follows that row, at any depth for the price of the first.
+        """
         e = self.export(route)
         p = params or {}
-        reader.validate_params(e, p)  # fail before any job
+        checked = reader.validate_params(e, p)  # fail before any job
         df = self.table(route)
+        if after is not None:
+            if checked.offset:
+                raise ReadError("give either `offset` or `after`")
+            page = reader.read_after(df, e, after, checked.limit, checked.filters)
+            return reader.to_json_rows(page) if as_json else page
         return reader.read_json(df, e, p) if as_json else reader.read_export(df, e, p)
 
     def probe(self, route: str) -> dict:
         """Coverage, distinct values of string grain columns and an example request (H1-H3)."""
         e = self.export(route)
         df = self.table(route)
-        out = {"coverage": profile.probe_coverage(df, e).first().asDict(), "values": {}}
-        for g in e.grain:
-            if df.schema[g].dataType.simpleString() == "string":
-                rows = profile.probe_values(df, g).collect()  # at most 50 rows
-                complete = all(r.complete for r in rows)
-                out["values"][g] = {"values": [r.value for r in rows] if complete else None, "complete": complete}
-        out["example"] = profile.probe_example(df, e)
-        return out
+        return profile.probe_document(df, e)
 
     # ------------------------------------------------------------ retention
 

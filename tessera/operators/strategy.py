@@ -58,6 +58,26 @@ def keep_latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return agg.select(*key, *[F.col("__w." + c).alias(c) for c in order + rest]).select(*df.columns)
 
 
+def newer_than_stored(store: Store, delta: DataFrame, key: list[str], order: list[str], current: TableState | None) -> DataFrame:
+    """The rows of ``delta`` (one per key) that win over the stored row of their key, by ``keep_latest``'s rule.
+
+    A late older record loses to what an earlier batch has landed, so arrival order does not matter. Only the buckets
+    the delta touches are read, and only rows of its keys are compared; a table of another shape is left to the guards.
+    """
+    if current is None or not current.parts or schema_drift(delta.schema, current.schema):
+        return delta
+    delta = _conform(delta, current.schema)
+    stats = guard_stats(delta, key, current.buckets or 1)
+    laid_out = bool(current.buckets) and [k.lower() for k in current.key or []] == [k.lower() for k in key]
+    stored = store.read_state(current, stats.touched) if laid_out else store.read_state(current)
+    rest = [c for c in delta.columns if c not in key and c not in order]
+    packed = F.struct(*(F.col(c) for c in order + rest))
+    keys = delta.select(*key)
+    bound = F.broadcast(keys) if stats.key_bytes <= BROADCAST_DELTA_BYTES else keys
+    old = stored.select(*key, packed.alias("__old")).join(bound, key, "left_semi")
+    return delta.join(old, key, "left").where(F.col("__old").isNull() | (packed > F.col("__old"))).select(*delta.columns)
+
+
 # ------------------------------------------------------------------ guards
 
 
@@ -66,12 +86,6 @@ def null_key_counts(df: DataFrame, key: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in key])
 
 
-def check_null_keys(df: DataFrame, key: list[str], label: str) -> None:
-    row = null_key_counts(df, key).first()
-    stats = GuardStats({k: int(row[k] or 0) for k in key}, 0, set())
-    enforce_guards(df, key, stats, label)
-
-
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, with their count and a display string."""
     return (

@@ -496,6 +496,27 @@ def q_warehouse_view_delta(spark, sf):
     return Store(spark, root).read_table("events_acc")
 
 
+@register(
+    "land_stream_order",
+    """
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS r FROM events
+  WHERE user_id IS NOT NULL) t
+WHERE r = 1
+""",
+)
+def q_land_stream_order(spark, sf):
+    """B14 with a sequence column: one row per user, the latest, though every batch brings older records as well."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value").where("user_id IS NOT NULL")
+    src = scratch_path(spark, "stream_in", "events_order")
+    ev.repartition(3, "event_id").write.parquet(src)
+    root = root_for(spark, "events_order")
+    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = land_stream(sdf, root, "latest", ["user_id"], "upsert", checkpoint=scratch_path(spark, "stream_ckpt", "events_order"), order=["ts", "event_id"])
+    q.awaitTermination()
+    return Store(spark, root).read_table("latest")
+
+
 # =====================================================================  2.C transforms
 
 
@@ -719,20 +740,23 @@ def q_multiset_diff(spark, sf):
 
 @register(
     "replay_diff",
-    "SELECT event_id, ts, user_id, event_type, value, 'added' AS change, CAST(1 AS BIGINT) AS copies "
-    "FROM events WHERE event_id IS NULL AND event_id IS NOT NULL",
+    """
+SELECT event_id, ts, user_id, event_type, value + 1 AS value, 'added' AS change, CAST(1 AS BIGINT) AS copies
+FROM events WHERE event_id % 100 = 0 AND value IS NOT NULL
+UNION ALL
+SELECT event_id, ts, user_id, event_type, value, 'removed', 1 FROM events WHERE event_id % 100 = 0 AND value IS NOT NULL
+""",
 )
 def q_replay_diff(spark, sf):
+    """A run that replays alike passes its check; a SELECT that gives other rows the second time shows them."""
     root = root_for(spark, "events_replay")
-    prod = _events_product(f"{sf}/events.parquet")
-    res = run(spark, prod, root, replay_check=True)
-    store = Store(spark, root)
-    before = store.read_table("events_acc", res.version)
-    # Replay by hand to expose the (empty) difference as rows.
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    again = spark.sql(EVENTS_ACC_SQL)
-    after = strategy.upsert_by_key(before, again, ["event_id"])
-    return checks.multiset_diff(before, after)
+    res = run(spark, _events_product(f"{sf}/events.parquet"), root, replay_check=True)
+    before = Store(spark, root).read_table("events_acc", res.version)
+    events = table(spark, sf, "events").select(*before.columns)
+    again = events.withColumn("value", F.when(F.col("event_id") % 100 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    if not checks.is_same_multiset(before, strategy.upsert_by_key(before, events, ["event_id"])):
+        raise AssertionError("the same rows once more must not differ")
+    return checks.multiset_diff(before, strategy.upsert_by_key(before, again, ["event_id"]))
 
 
 SHRINK_BEFORE = "SELECT o_orderstatus AS table_name, count(*) AS \"rows\" FROM orders GROUP BY o_orderstatus"
@@ -1138,6 +1162,33 @@ def q_probe_example(spark, sf):
     return first.select(profile.example_request(export))
 
 
+PROBE_EXPORT = Export(name="orders_seen", version="1.0.0", grain=["O_ORDERSTATUS", "order_date", "o_orderkey"])
+PROBE_SQL = f"SELECT o_orderstatus, order_date, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM ({ORDERS_BY_DATE}) t"
+
+
+@register(
+    "probe_export",
+    f"""
+WITH t AS ({PROBE_SQL})
+SELECT 'O_ORDERSTATUS' AS "column", o_orderstatus AS value, true AS complete, CAST(NULL AS BIGINT) AS "rows", NULL AS least,
+       NULL AS greatest, NULL AS example
+FROM (SELECT DISTINCT o_orderstatus FROM t WHERE o_orderstatus IS NOT NULL) d
+UNION ALL SELECT 'o_orderkey', NULL, false, NULL, NULL, NULL, NULL
+UNION ALL
+SELECT NULL, NULL, NULL, count(*), CAST(min(order_date) AS VARCHAR), CAST(max(order_date) AS VARCHAR),
+       (SELECT concat('orders_seen@1?O_ORDERSTATUS=', o_orderstatus, '&order_date=', CAST(order_date AS VARCHAR), '&o_orderkey=', o_orderkey, '&limit=10')
+        FROM t ORDER BY o_orderstatus NULLS LAST, order_date NULLS LAST, o_orderkey NULLS LAST LIMIT 1)
+FROM t
+""",
+)
+def q_probe_export(spark, sf):
+    """H1 to H3 in one job: grouping sets over the grain columns, named in another case than the table's."""
+    views(spark, sf, "orders")
+    found = profile.probe_export(spark.sql(PROBE_SQL.replace("VARCHAR", "STRING")), PROBE_EXPORT)
+    bound = F.element_at("coverage", 1)
+    return found.select("column", "value", "complete", "rows", bound["least"].alias("least"), bound["greatest"].alias("greatest"), "example")
+
+
 def _catalog_products(sf: str) -> list[Product]:
     down = Product(
         name="orders_monthly",
@@ -1234,6 +1285,19 @@ def q_read_page(spark, sf):
     return reader.read_export(table(spark, sf, "orders"), PAGE_EXPORT, {"offset": "200"})
 
 
+DEEP_EXPORT = Export(name="lines", grain=["l_orderkey", "l_linenumber"], schema={
+    "l_orderkey": ColumnSpec("bigint"), "l_linenumber": ColumnSpec("int"), "l_quantity": ColumnSpec("double")})
+
+
+@register(
+    "read_deep_page",
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey NULLS LAST, l_linenumber NULLS LAST LIMIT 1000 OFFSET 5000",
+)
+def q_read_deep_page(spark, sf):
+    """I4 by rank: ranges are counted until at most 512 skipped rows are left to carry."""
+    return reader.read_export(table(spark, sf, "lineitem"), DEEP_EXPORT, {"offset": "5000", "limit": "1000"}, carried=512)
+
+
 @register(
     "read_filter",
     "SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' "

@@ -5,6 +5,10 @@ stage once -> NULL-key and duplicate-key guards -> drift -> append/upsert ->
 commit. The batch id is recorded in the manifest with the table, so a batch
 Spark retries after a failure (same id) is a no-op: at-least-once delivery
 into an idempotent landing gives exactly-once table contents.
+
+With ``order`` an upsert is sequence-aware: inside a batch and against the
+stored rows the greatest by ``order`` wins, so the table is ``keep_latest`` over
+all records whatever batches they arrive in.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.strategy import compact, keep_latest, land_keyed
+from tessera.operators.strategy import compact, keep_latest, land_keyed, newer_than_stored
 from tessera.plans.store import Store, iso, utc_now
 from tessera.sources.staging import stage_parquet
 
@@ -29,8 +33,12 @@ def _lander(store: Store, table: str, key: list[str], strategy: str, order: list
         if order:
             batch = keep_latest(batch, key, order)  # several deliveries of one key inside a batch
         staged = stage_parquet(batch)
+        late = None
         try:
             tables = store.tables()
+            if order and strategy == "upsert" and tables.get(table) is not None:
+                # A batch may bring records older than what an earlier batch landed: those lose.
+                late, staged = staged, stage_parquet(newer_than_stored(store, staged.df, key, order, tables[table]))
             landing = land_keyed(store, staged, table, key, strategy, tables.get(table), label=f"stream:{table}",
                                  buckets=buckets)
             # A batch a minute must not leave directories behind without end.
@@ -53,6 +61,8 @@ def _lander(store: Store, table: str, key: list[str], strategy: str, order: list
             })
         finally:
             staged.cleanup()
+            if late is not None:
+                late.cleanup()
 
     return land
 

@@ -24,6 +24,11 @@ def test_build_release_read_probe_context(spark, root):
         dp.read("nope@1")
     with pytest.raises(ReadError, match="unknown parameter"):
         dp.read("orders_daily@2", {"revenue": "1"})
+    pages = [r.j for r in dp.read("orders_daily@2", {"limit": "4"}, as_json=True).collect()]
+    last = {k: json.loads(pages[1])[k] for k in ("order_date", "region")}
+    assert [r.j for r in dp.read("orders_daily@2", {"limit": "2"}, as_json=True, after=last).collect()] == pages[2:4]
+    with pytest.raises(ReadError, match="either"):
+        dp.read("orders_daily@2", {"offset": "1"}, after=last)
     p = dp.probe("orders_daily@2")
     assert p["coverage"] == {"rows": 4, "min_order_date": "2025-03-01", "max_order_date": "2025-03-02"}
     assert p["values"]["region"] == {"values": ["north", "south", "west"], "complete": True}

@@ -86,3 +86,59 @@ def test_keyset_pages_follow_the_offset_pages(spark):
     assert pages == whole
     with pytest.raises(ReadError, match="each grain column"):
         reader.read_after(df, e, {"g": "x"})
+
+
+@pytest.mark.parametrize("carried", [3, 40])
+def test_deep_pages_by_rank(spark, carried):
+    rows = [(a, None if b % 11 == 0 else b % 97) for a in ("x", "y", None, "z") for b in range(250)]
+    df = spark.createDataFrame(rows, "g string, h int").repartition(4)
+    for e in (Export(name="t", grain=["G", "H"]), Export(name="t")):
+        whole = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] is None, r[1] or 0))
+        for offset in (0, 41, 500, 777, 995, 1000, 5000):
+            got = [tuple(r) for r in reader.read_export(df, e, {"offset": str(offset), "limit": "30"}, carried=carried).collect()]
+            assert got == whole[offset : offset + 30], (e, offset)
+
+
+def test_deep_pages_of_every_key_type(spark):
+    df = spark.sql(
+        "SELECT CAST(date_add(DATE '2024-01-01', CAST(id % 50 AS INT)) AS DATE) AS d, timestamp_micros(id * 1234567) AS t, "
+        "CAST(id % 13 AS DECIMAL(9,2)) AS m, CAST(id AS DOUBLE) / 7 AS f, id FROM range(2000)"
+    )
+    for grain in (["d", "id"], ["t"], ["m", "t"], ["f"]):
+        order = [F.col(c).asc_nulls_last() for c in grain]
+        want = [r.id for r in df.orderBy(*order).offset(1200).limit(20).collect()]
+        page = reader.read_export(df, Export(name="t", grain=grain), {"offset": "1200", "limit": "20"}, carried=50)
+        assert [r.id for r in page.collect()] == want
+
+
+def test_a_page_amid_equal_rows(spark):
+    df = spark.createDataFrame([("a",)] * 300 + [("b",)] * 5 + [(None,)] * 400, "g string")
+    e, read = Export(name="t"), reader.read_export
+    assert [r.g for r in read(df, e, {"offset": "298", "limit": "10"}, carried=7).collect()] == ["a"] * 2 + ["b"] * 5 + [None] * 3
+    assert [r.g for r in read(df, e, {"offset": "700", "limit": "10"}, carried=7).collect()] == [None] * 5
+
+
+def test_the_deepest_page_carries_few_rows(spark):
+    df = spark.range(1_100_000).select((F.col("id") * 7919 % 1_100_000).alias("k"))
+    page = reader.read_export(df, Export(name="t", grain=["k"]), {"offset": "1000000", "limit": "5"})
+    assert [r.k for r in page.collect()] == [1_000_000 + i for i in range(5)]
+    import re
+
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    kept = [int(n.replace(",", "")) for n in re.findall(r"(?:GlobalLimit|LocalLimit|Offset) (\d+)", plan)]
+    assert kept and max(kept) <= reader.CARRIED + reader.MAX_LIMIT
+
+
+def test_probes_in_one_pass(spark):
+    rows = [("a b", "2024-01-02", f"u{i % 60}") for i in range(200)] + [(None, "2024-01-01", "u1"), ("c", None, None)]
+    df = spark.createDataFrame(rows, "G string, d string, u string").withColumn("d", F.to_date("d"))
+    e = Export(name="x", grain=["g", "D", "u"])  # other case than the table
+    got = profile.probe_document(df, e)
+    assert got["coverage"] == {"rows": 202, "min_D": "2024-01-01", "max_D": "2024-01-02"}
+    assert got["values"] == {"g": {"values": ["a b", "c"], "complete": True}, "u": {"values": None, "complete": False}}
+    assert got["example"] == f"{e.route}?g=a%20b&D=2024-01-02&u=u0&limit=10"
+    assert profile.probe_coverage(df, e).first().rows == 202
+    empty = profile.probe_document(df.limit(0), e)
+    assert empty == {"coverage": {"rows": 0, "min_D": None, "max_D": None}, "example": None,
+                     "values": {"g": {"values": [], "complete": True}, "u": {"values": [], "complete": True}}}
+    assert profile.probe_document(df, Export(name="x")) == {"coverage": {"rows": 202}, "values": {}, "example": None}

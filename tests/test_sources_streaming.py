@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.errors import ConfigError
@@ -85,6 +87,28 @@ def test_land_stream_is_idempotent_per_batch(spark, sf, root):
     assert store.latest() == before
 
 
+def test_late_records_lose_in_any_arrival_order(spark, root):
+    from tessera.operators.strategy import keep_latest
+    from tessera.streaming.land import _lander
+
+    rng = random.Random(9)
+    records = [(k, rng.choice([None, 1, 2, 3, 4, 5]), f"v{rng.randint(0, 9)}") for k in range(12) for _ in range(8)]
+    every = spark.createDataFrame(records, "k int, seq int, v string")
+    want = sorted((tuple(r) for r in keep_latest(every, ["k"], ["seq"]).collect()), key=str)
+    for turn in range(2):
+        rng.shuffle(records)
+        store = Store(spark, f"{root}{turn}")
+        land = _lander(store, "t", ["k"], "upsert", ["seq"], 4)
+        for batch in range(4):
+            land(spark.createDataFrame(records[batch::4], "k int, seq int, v string"), batch)
+        assert sorted((tuple(r) for r in store.read_table("t").collect()), key=str) == want
+    store = Store(spark, f"{root}late")
+    land = _lander(store, "t", ["k"], "upsert", ["seq"], None)
+    land(spark.createDataFrame([(1, 10, "new")], "k int, seq int, v string"), 0)
+    land(spark.createDataFrame([(1, 5, "late")], "k int, seq int, v string"), 1)
+    assert [tuple(r) for r in store.read_table("t").collect()] == [(1, 10, "new")]
+
+
 def test_catalog_status_history_fleet(spark, sf, tmp_path):
     prefix = str(tmp_path / "fleet")
     p = flagship.orders_product(sf)
