@@ -19,6 +19,8 @@ state carried from window to window, and are averaged by tokens in a Spark
 aggregate, parameter by parameter; the next round starts from the average. There
 are as many rounds as replicas in a round, so updates grow with the corpus.
 
+**Reading** turns every text into numbers once; training and scoring start from those.
+
 **Scoring** carries the state through the whole document. The frequent words'
 counts (``COUNTED`` of them, a bound) travel to every task; the counts of all
 other words are joined to the documents' remaining words, so nothing that grows
@@ -36,6 +38,7 @@ import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +127,10 @@ class Layout:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Input numbers of a document's words and its end."""
-        known = self.number.get
-        return np.array([n if (n := known(w)) is not None else self.by_ending(w) for w in words] + [0], dtype=np.int32)
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        for j in np.flatnonzero(found < 0).tolist():
+            found[j] = self.by_ending(words[j])
+        return np.append(found, np.int32(0))
 
     def class_of(self, numbers: np.ndarray) -> np.ndarray:
         return np.where(numbers < len(self.head), numbers // CLASS_WORDS, numbers - len(self.head) + self.head_classes)
@@ -171,7 +176,7 @@ def layout_of(counts: DataFrame) -> Layout:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Network:
@@ -200,13 +205,17 @@ class Network:
         return {k: x.astype(np.float32) for k, x in w.items()}
 
     def step(self, state: np.ndarray, read: np.ndarray):
-        """One unit step: new state, and what the way back needs."""
+        """One unit step from words: new state, and what the way back needs."""
+        state, *memo = self._step(state, self.w["input"][read])
+        return state, memo
+
+    def _step(self, state: np.ndarray, x: np.ndarray):
+        """New state, gates, candidate state and its recurrent part."""
         h = HIDDEN
-        x, u = self.w["input"][read], state @ self.w["recur"]
+        u = state @ self.w["recur"]
         gates = sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-        reset, keep = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h :] + reset * u[:, 2 * h :])
-        return keep * state + (1 - keep) * new, (state, gates, new, u[:, 2 * h :])
+        new = np.tanh(x[:, 2 * h :] + gates[:, :h] * u[:, 2 * h :])
+        return new + gates[:, h:] * (state - new), gates, new, u[:, 2 * h :]
 
     def output(self, states: np.ndarray, target: np.ndarray, real: np.ndarray, learn: bool = False):
         """Natural-log probability of each target given its state (0 where not ``real``); the way back if ``learn``."""
@@ -250,35 +259,44 @@ class Network:
     def window(self, state: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, real: np.ndarray, learn: bool):
         """Lanes x steps. ``fresh``: a document begins, the state starts anew. Returns (log p, last state, gradients)."""
         lanes, steps = read.shape
-        states, kept = [], []
+        h = HIDDEN
+        shape = (steps, lanes, h)
+        x, goes_on = self.w["input"][read.T], (~fresh.T)[:, :, None].astype(np.float32)
+        states = np.empty(shape, np.float32)
+        if learn:
+            before, new, un = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
+            gates = np.empty((steps, lanes, 2 * h), np.float32)
         for t in range(steps):
-            state = state * ~fresh[:, t, None]
-            state, memo = self.step(state, read[:, t])
-            states.append(state)
-            kept.append(memo)
-        flat = np.concatenate(states)
-        logp, grads, back = self.output(flat, target.T.ravel(), real.T.ravel(), learn)
+            state = state * goes_on[t]
+            if learn:
+                before[t] = state
+                state, gates[t], new[t], un[t] = self._step(state, x[t])
+            else:
+                state = self._step(state, x[t])[0]
+            states[t] = state
+        logp, grads, back = self.output(states.reshape(-1, h), target.T.ravel(), real.T.ravel(), learn)
         logp = logp.reshape(steps, lanes).T
         if not learn:
             return logp, state, None
-        h, u_t = HIDDEN, self.w["recur"].T
-        back = back.reshape(steps, lanes, h)
+        u_t, back = self.w["recur"].T, back.reshape(shape)
+        # Everything that does not depend on the way back, for all steps at once.
+        reset, keep = gates[:, :, :h], gates[:, :, h:]
+        to_new = (1 - keep) * (1 - new * new)
+        to_reset = un * reset * (1 - reset)
+        to_keep = (before - new) * keep * (1 - keep)
         d_in = np.empty((steps, lanes, 3 * h), dtype=np.float32)
-        grads["recur"] = np.zeros_like(self.w["recur"])
+        du = np.empty_like(d_in)
         d = np.zeros((lanes, h), dtype=np.float32)
         for t in reversed(range(steps)):
-            before, gates, new, un = kept[t]
-            reset, keep = gates[:, :h], gates[:, h:]
             d = d + back[t]
-            d_new = d * (1 - keep) * (1 - new * new)
             g = d_in[t]
-            g[:, :h] = d_new * un * reset * (1 - reset)
-            g[:, h : 2 * h] = d * (before - new) * keep * (1 - keep)
-            g[:, 2 * h :] = d_new
-            du = g.copy()
-            du[:, 2 * h :] *= reset
-            grads["recur"] += before.T @ du
-            d = (d * keep + du @ u_t) * ~fresh[:, t, None]
+            d_new = np.multiply(d, to_new[t], out=g[:, 2 * h :])
+            np.multiply(d_new, to_reset[t], out=g[:, :h])
+            np.multiply(d, to_keep[t], out=g[:, h : 2 * h])
+            du[t, :, : 2 * h] = g[:, : 2 * h]
+            np.multiply(d_new, reset[t], out=du[t, :, 2 * h :])
+            d = (d * keep[t] + du[t] @ u_t) * goes_on[t]
+        grads["recur"] = before.reshape(-1, h).T @ du.reshape(-1, 3 * h)
         words = read.T.ravel()
         order = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.diff(words[order], prepend=-1))
@@ -357,16 +375,12 @@ def _slices(batches):
         yield held
 
 
-def _dealt(texts: DataFrame, layout: Layout, replicas: int, rounds: int) -> DataFrame:
-    """(numbers, replica, round): documents in parts of at most ``PART`` words, dealt evenly over the replicas whatever the files are."""
-
-    def run(batches):
-        for rows in python_rows(batches):
-            documents = [layout.numbers(tokens_of(t)) for (t,) in rows]
-            parts = [d[at : at + PART].tobytes() for d in documents for at in range(0, len(d), PART)]
-            yield pa.record_batch([pa.array(parts, pa.binary())], names=["numbers"])
-
-    dealt = texts.mapInArrow(run, "numbers binary").repartition(replicas).withColumn("replica", F.spark_partition_id())
+def _dealt(texts: DataFrame, replicas: int, rounds: int) -> DataFrame:
+    """(numbers, replica, round): read documents in parts of at most ``PART`` words, dealt evenly over the replicas whatever the files are."""
+    size = 4 * PART  # bytes of a part
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("numbers") - 1) / size).cast("int"))
+    part = F.explode(F.transform(starts, lambda i: F.substring("numbers", i * size + 1, F.lit(size))))
+    dealt = texts.select(part.alias("numbers")).repartition(replicas).withColumn("replica", F.spark_partition_id())
     return written(dealt.withColumn("round", F.col("replica") % rounds), "lm-parts", "round")
 
 
@@ -385,7 +399,7 @@ def _replicas(batches):
 
 
 def train(texts: DataFrame, layout: Layout) -> dict[str, np.ndarray]:
-    """Weights after one pass over all documents in synchronised rounds.
+    """Weights after one pass over all documents (``numbers``) in synchronised rounds.
 
     The corpus is dealt into replicas of about ``REPLICA_TOKENS``, these into as many rounds as a round has replicas.
     Each round starts from the average (by tokens) of the round before, step sizes included.
@@ -395,7 +409,7 @@ def train(texts: DataFrame, layout: Layout) -> dict[str, np.ndarray]:
         return w
     replicas = -(-layout.total // REPLICA_TOKENS)
     rounds = math.ceil(replicas**0.5)
-    parts = _dealt(texts, layout, replicas, rounds)
+    parts = _dealt(texts, replicas, rounds)
     slim = replace(layout, counts={}, number={})
     seen = {k: np.full_like(x, SEEN) for k, x in w.items()}
     for r in range(rounds):
@@ -408,18 +422,21 @@ def _round(parts: DataFrame, layout: Layout, w: dict[str, np.ndarray], seen: dic
     names = list(w)
 
     def run(batches):
+        tokens, total = 0, 0.0  # of all replicas of this task
         for documents in _replicas(batches):
             learner = Adagrad(Network(layout, {k: x.copy() for k, x in w.items()}))
             learner.seen = {k: x.copy() for k, x in seen.items()}
             run_lanes(Network(layout, learner.w), documents, WINDOW, learn=learner)
-            flat = np.concatenate([x[k].ravel() for x in (learner.w, learner.seen) for k in names]).astype(np.float64) * learner.tokens
-            yield pa.record_batch([pa.array([learner.tokens], pa.int64()), pa.array([flat])], names=["tokens", "weights"])
+            flat = np.concatenate([x[k].ravel() for x in (learner.w, learner.seen) for k in names]).astype(np.float64)
+            tokens, total = tokens + learner.tokens, total + flat * learner.tokens
+        if tokens:
+            yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([total])], names=["tokens", "weights"])
 
     trained = written(parts.mapInArrow(run, "tokens bigint, weights array<double>"), "lm-replicas")
     tokens = trained.agg(F.sum("tokens")).first()[0]
     if not tokens:
         return w, seen
-    # One row per parameter and replica is summed; the driver gets one row per parameter, as many as the network has.
+    # One row per parameter and task is summed; the driver gets one row per parameter, as many as the network has.
     summed = trained.select(F.posexplode("weights").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
     flat = summed.orderBy("at").select("x").toPandas()["x"].to_numpy() / tokens
     out, at = ({}, {}), 0
@@ -430,58 +447,78 @@ def _round(parts: DataFrame, layout: Layout, w: dict[str, np.ndarray], seen: dic
     return out
 
 
-FIRST_PASS = (
-    "row bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, "
+READ = (
+    "row bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, numbers binary, "
     "rest array<struct<word: string, class: int, n: int>>"
 )
 
 
-def _first_pass(docs: DataFrame, layout: Layout, weights: dict[str, np.ndarray]) -> DataFrame:
-    """Per document: the network's part, and the frequent words' part of the counts; other words are listed."""
-    log10 = np.log(10)
+def _read(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Every text turned into numbers, once: the network's input numbers, the frequent words' part of the counts, and
+    the other words listed."""
 
     def run(batches):
-        net = Network(layout, weights)
-        inside = layout.class_total + 0.5 * (layout.class_types + 1)
-        n_head = len(layout.head)
-        parts: dict[bytes, tuple[float, float]] = {}
-        for w, n in [*layout.counts.items(), (END.encode(), layout.counts.get(END.encode(), 0))]:
-            k = layout.number.get(w, 0) - n_head
-            parts[w] = (float(layout.base(np.float64(n))), 0.0 if k < 0 else float(np.log10((n + 0.5) / inside[k])))
-        end_base, end_known = parts[END.encode()][0], int(END.encode() in layout.counts)
+        counts = dict(layout.counts)
+        known_end = int(END.encode() in counts)
+        counts.setdefault(END.encode(), 0)
+        place = {w: i for i, w in enumerate(counts)}
+        n = np.array(list(counts.values()), dtype=float)
+        number = np.array([layout.number.get(w, 0) for w in counts], np.int32)
+        base_of = layout.base(n)
+        inside, n_head = layout.class_total + 0.5 * (layout.class_types + 1), len(layout.head)
+        k = number - n_head
+        model_of = np.where(k < 0, 0.0, np.log10((n + 0.5) / inside[np.maximum(k, 0)]))
+        end = place[END.encode()]
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
-        for rows in _slices(batches):
-            documents, columns, offsets = [], [], [0]
+        for rows in python_rows(batches):
+            columns, offsets = [], [0]
             words_left, classes_left, counts_left = [], [], []
             for i, held, text in rows:
                 words = tokens_of(text)
-                documents.append(layout.numbers(words))
-                known, base, model = end_known, end_base, 0.0
-                for w, n in Counter(words).items():
-                    part = parts.get(w)
-                    if part is None:
-                        words_left.append(w.decode("utf-8"))
-                        classes_left.append(layout.by_ending(w) - n_head)
-                        counts_left.append(n)
-                    else:
-                        known += n
-                        base += n * part[0]
-                        model += n * part[1]
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
+                numbers = np.zeros(len(words) + 1, np.int32)
+                numbers[:-1] = number[at]
+                lost = np.flatnonzero(at < 0)
+                if len(lost):
+                    rest: Counter = Counter()
+                    for j in lost.tolist():
+                        word = words[j]
+                        numbers[j] = layout.by_ending(word)
+                        rest[word] += 1
+                    at = at[at >= 0]
+                    words_left += [w.decode("utf-8") for w in rest]
+                    classes_left += [layout.by_ending(w) - n_head for w in rest]
+                    counts_left += rest.values()
                 offsets.append(len(words_left))
-                columns.append((row, i, held, len(words) + 1, known, base, model))
+                base, model = base_of[at].sum() + base_of[end], model_of[at].sum()
+                columns.append((row, i, held, len(words) + 1, len(at) + known_end, float(base), float(model), numbers.tobytes()))
                 row += 1
-            scores = run_lanes(net, documents, 4 * WINDOW) / log10
-            cols = list(map(list, zip(*columns, strict=True)))
-            cols[6] = [m + s for m, s in zip(cols[6], scores.tolist(), strict=True)]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*columns, strict=True), types, strict=True)]
             rest = pa.StructArray.from_arrays(
                 [pa.array(words_left, pa.string()), pa.array(classes_left, pa.int32()), pa.array(counts_left, pa.int32())], names=["word", "class", "n"]
             )
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest))
-            yield pa.record_batch(arrays, names=["row", "id", "held_out", "n_tokens", "known", "base", "model", "rest"])
+            yield pa.record_batch(arrays, names=["row", "id", "held_out", "n_tokens", "known", "base", "model", "numbers", "rest"])
+
+    return docs.select("id", "held_out", "text").mapInArrow(run, READ)
+
+
+def _network_scores(texts: DataFrame, layout: Layout, weights: dict[str, np.ndarray]) -> DataFrame:
+    """The read texts with the network's log10 probability added to ``model``."""
+    slim = replace(layout, counts={}, number={})
+    names = ["row", "id", "held_out", "n_tokens", "known", "base", "model"]
+
+    def run(batches):
+        net = Network(slim, weights)
+        for rows in _slices(batches):
+            scores = run_lanes(net, [np.frombuffer(r[7], np.int32) for r in rows], 4 * WINDOW) / np.log(10)
+            columns = [list(c) for c in zip(*(r[:7] for r in rows), strict=True)]
+            columns[6] = [m + s for m, s in zip(columns[6], scores.tolist(), strict=True)]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select("id", "held_out", "text").mapInArrow(run, FIRST_PASS)
+    return texts.select(*names, "numbers").mapInArrow(run, READ.split(", numbers")[0])
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,9 +527,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     training = rows.where("not held_out").select("text")
     counts = written(count_words(training), "word-counts")
     layout = layout_of(counts)
-    first = written(_first_pass(rows, layout, train(training, layout)), "lm-first-pass")
+    read = written(_read(rows, layout), "lm-read")
+    weights = train(read.where("not held_out").select("numbers"), layout)
+    first = _network_scores(read, layout, weights)
     # Words outside the frequent ones: none of them is hot, their counts come by a join.
-    rest = first.select("row", F.inline("rest"))
+    rest = read.select("row", F.inline("rest"))
     rest = rest.join(counts.withColumnRenamed("n", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     within = F.element_at(F.array(*map(F.lit, (layout.class_total + 0.5 * (layout.class_types + 1)).tolist())), F.col("class") + 1)
     everywhere = F.lit(layout.total + 0.5 * (layout.types + 1))
@@ -501,7 +540,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / everywhere)).alias("base_rest"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / within)).alias("model_rest"),
     )
-    joined = first.drop("rest").join(rest, "row", "left")
+    joined = first.join(rest, "row", "left")
     base = F.col("base") + F.coalesce("base_rest", F.lit(0.0))
     score = F.col("model") + F.coalesce("model_rest", F.lit(0.0)) if layout.total else base
     return joined.select(
