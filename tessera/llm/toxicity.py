@@ -206,7 +206,11 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, boun
     near = known.withColumn("place", place).where(F.col("place") < F.lit(int((1 << 31) * min(share, 1.0))))
     chosen = near.orderBy("place", "id").limit(bound).drop("place")  # a bounded table: broadcast
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    # The bound is one of rows: repeats of a row are one, and of many texts under the chosen ids the smallest hashes stay.
+    rows = rows.withColumn("print", F.xxhash64("id", "text"))
+    one = rows.groupBy("id", "print").agg(F.min(F.struct("text", "toxic")).alias("r"))
+    return one.orderBy("print", "id").limit(bound).select("id", "r.text", "r.toxic")
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:

@@ -58,3 +58,14 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (2, None), (77, 1)], "doc_id bigint, toxic int")
     kept = T.acceptable(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, None}
+
+
+def test_the_bound_is_one_of_rows(spark):
+    rows = [(1, f"text number {i % 400} you idiot") for i in range(6000)] + [(i, f"a calm text {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id bigint, toxic int")
+    sample = T._sample(docs, labels, "doc_id", "text", 100)
+    assert sample.count() == 100 and sample.distinct().count() == 100
+    few = T._sample(docs, labels, "doc_id", "text", 10_000)
+    held = docs.where(T.is_held_out(docs["doc_id"])).count()
+    assert few.count() == docs.distinct().count() - held  # a repeated row is one
