@@ -8,9 +8,13 @@ any depth. This operator rebuilds who answers whom from the quotes alone:
    are left out of the clean text.
 2. Passages are normalised (case, blanks) and hashed. A passage belongs to the
    earliest message of its group that wrote it unquoted: one minimum per
-   (group, hash), combined before the shuffle, however often it occurs.
-3. Quoted passages are joined to their owners. A message answers the owner of
-   the longest quoted text on its shallowest linked level.
+   (group, hash), combined before the shuffle, however often it occurs. The same
+   is done for the units of a passage: its sentences, its lines and itself, of
+   ``UNIT_WORDS`` words or more.
+3. Quoted passages are joined to their owners. One that nobody wrote whole is
+   looked up unit by unit, so a quote trimmed to a sentence or to some lines
+   links as well. A message answers the owner of the longest linked text (bytes
+   of passages, or of linked units) on its shallowest linked level.
 4. Threads follow from the answers by pointer doubling. Within a thread every
    reply comes after what it answers; reply numbers are counted in blocks of
    positions, so a thread of any size is spread over many tasks.
@@ -35,6 +39,9 @@ from tessera.llm.common import python_rows, table, written
 
 MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"(?:On\b.*\bwrote|.*\b(?:wrote|writes|schrieb|escribió|a écrit)\s*):\s*$")
+#: Words of the shortest sentence or line that counts as a quotation by itself.
+UNIT_WORDS = 3
+SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 #: Positions per block when replies are numbered.
 BLOCK_BITS = 10
 
@@ -48,8 +55,8 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def passages_of(text: str | None) -> tuple[list[tuple[int, str]], str]:
-    """((level, passage) in order, clean text). A passage ends at a blank line or where the level changes."""
+def blocks_of(text: str | None) -> tuple[list[tuple[int, list[str]]], str]:
+    """((level, lines of a passage) in order, clean text). A passage ends at a blank line or where the level changes."""
     lines = lines_of(text)
     own = [
         (n, line)
@@ -61,7 +68,7 @@ def passages_of(text: str | None) -> tuple[list[tuple[int, str]], str]:
     for n, (level, line) in enumerate([*lines, (0, "")]):
         skipped = level == 0 and n < len(lines) and n not in written_here
         if held and (level != level_now or not line.strip() or skipped):
-            found.append((level_now, " ".join(held)))
+            found.append((level_now, held))
             held = []
         if line.strip() and not skipped:
             level_now = level
@@ -69,13 +76,31 @@ def passages_of(text: str | None) -> tuple[list[tuple[int, str]], str]:
     return found, "\n".join(line.rstrip() for _, line in own).strip()
 
 
+def passages_of(text: str | None) -> tuple[list[tuple[int, str]], str]:
+    """((level, passage) in order, clean text), wrapped lines joined."""
+    found, clean = blocks_of(text)
+    return [(level, " ".join(lines)) for level, lines in found], clean
+
+
+def units_of(lines: list[str]) -> set[str]:
+    """What of a passage may be quoted by itself, normalised: its sentences, its lines and the whole."""
+    whole = normal(" ".join(lines))
+    units = {whole, *SENTENCE_END.split(whole), *map(normal, lines)}
+    return {u for u in units if len(u.split()) >= UNIT_WORDS}
+
+
 def normal(passage: str) -> str:
     return " ".join(passage.lower().split())
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """(group, position, level, size, h1, h2) per distinct passage of a message."""
-    schema = pa.schema([("group", pa.int64()), ("position", pa.int64()), ("level", pa.int32()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(group, position, level, unit, size, h1, h2, p1, p2) per distinct passage of a message and per distinct unit of one.
+
+    ``p1``, ``p2`` name the passage; those of a written (unquoted) unit are 0, since only its owner matters.
+    """
+    names = ["group", "position", "level", "unit", "size", "h1", "h2", "p1", "p2"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 5]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def signed(raw: bytes, seed: int) -> int:
         return int.from_bytes(xxhash.xxh64_digest(raw, seed), "big", signed=True)
@@ -84,28 +109,44 @@ def _passages(messages: DataFrame) -> DataFrame:
         for rows in python_rows(batches):
             out = []
             for group, position, text in rows:
-                for level, passage in passages_of(text)[0]:
-                    raw = normal(passage).encode("utf-8")
-                    out.append((group, position, level, len(raw), signed(raw, 1), signed(raw, 2)))
-            columns = list(map(list, zip(*out, strict=True))) if out else [[]] * 6
-            yield pa.record_batch(columns, schema=schema)
+                for level, lines in blocks_of(text)[0]:
+                    raw = normal(" ".join(lines)).encode("utf-8")
+                    passage = (signed(raw, 1), signed(raw, 2))
+                    out.append((group, position, level, False, len(raw), *passage, *passage))
+                    for unit in units_of(lines):
+                        raw = unit.encode("utf-8")
+                        out.append((group, position, level, True, len(raw), signed(raw, 1), signed(raw, 2), *(passage if level else (0, 0))))
+            columns = list(map(list, zip(*out, strict=True))) if out else [[]] * len(names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema=schema)
 
     known = messages.where("group is not null and position is not null").select("group", "position", "text")
-    return known.mapInArrow(run, "group bigint, position bigint, level int, size bigint, h1 bigint, h2 bigint").distinct()
+    types = "group bigint, position bigint, level int, unit boolean, size bigint, h1 bigint, h2 bigint, p1 bigint, p2 bigint"
+    return known.mapInArrow(run, types).distinct()
+
+
+def _owned(rows: DataFrame) -> DataFrame:
+    """Quoted ``rows`` with the earliest writer of each, null if nobody wrote it before."""
+    written_by = rows.where("level = 0").groupBy("group", "h1", "h2").agg(F.min("position").alias("owner"))
+    found = rows.where("level > 0").join(written_by, ["group", "h1", "h2"], "left")
+    # A message cannot quote what was first written later.
+    return found.withColumn("owner", F.when(F.col("owner") < F.col("position"), F.col("owner")))
 
 
 def answers(messages: DataFrame) -> DataFrame:
     """``messages`` (group, position, text) -> (group, position, parent, quoted, linked) for messages that quote."""
     passages = written(_passages(messages), "passages")
-    owners = passages.where("level = 0").groupBy("group", "h1", "h2").agg(F.min("position").alias("owner"))
-    quotes = passages.where("level > 0").join(owners, ["group", "h1", "h2"], "left")
-    # A message cannot quote what was first written later.
-    quotes = quotes.withColumn("owner", F.when(F.col("owner") < F.col("position"), F.col("owner")))
-    per_owner = quotes.groupBy("group", "position", "level", "owner").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    best = F.min_by("owner", F.when(F.col("owner").isNotNull(), F.struct("level", -F.col("size"), -F.col("owner"))))
-    return per_owner.groupBy("group", "position").agg(
-        best.alias("parent"), F.sum("n").alias("quoted"), F.sum(F.when(F.col("owner").isNotNull(), F.col("n")).otherwise(0)).alias("linked")
-    )
+    whole = written(_owned(passages.where("not unit")), "quoted-passages")
+    place = ["group", "position", "level", "p1", "p2"]
+    units = _owned(passages.where("unit")).join(whole.where("owner is null").select(*place), place, "left_semi")
+    # Of a passage's units only those that link count; without any the passage is unlinked.
+    parts = units.where("owner is not null").select(*place, "owner", "size")
+    votes = whole.where("owner is not null").select(*place, "owner", "size").unionByName(parts)
+    per_owner = votes.groupBy("group", "position", "level", "owner").agg(F.sum("size").alias("size"))
+    parents = per_owner.groupBy("group", "position").agg(F.min_by("owner", F.struct("level", -F.col("size"), -F.col("owner"))).alias("parent"))
+    linked = votes.select(*place).distinct().groupBy("group", "position").agg(F.count("*").alias("linked"))
+    quoted = whole.groupBy("group", "position").agg(F.count("*").alias("quoted"))
+    joined = quoted.join(parents, ["group", "position"], "left").join(linked, ["group", "position"], "left")
+    return joined.select("group", "position", "parent", "quoted", F.coalesce("linked", F.lit(0)).alias("linked"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
