@@ -93,54 +93,76 @@ def normal(passage: str) -> str:
     return " ".join(passage.lower().split())
 
 
-def _passages(messages: DataFrame) -> DataFrame:
-    """(group, position, level, unit, size, h1, h2, p1, p2) per distinct passage of a message and per distinct unit of one.
+_KEY = "group bigint, position bigint, level int, size bigint, h1 bigint, h2 bigint"
+
+
+def _signed(raw: bytes, seed: int) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(raw, seed), "big", signed=True)
 
-    ``p1``, ``p2`` name the passage; those of a written (unquoted) unit are 0, since only its owner matters.
-    """
-    names = ["group", "position", "level", "unit", "size", "h1", "h2", "p1", "p2"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 5]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
 
-    def signed(raw: bytes, seed: int) -> int:
-        return int.from_bytes(xxhash.xxh64_digest(raw, seed), "big", signed=True)
+def _hashed(messages: DataFrame, columns: str, rows_of) -> DataFrame:
+    """One row of ``rows_of`` (level, lines) per passage or unit of the messages that have a place."""
+    types = {"bigint": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in columns.split(", ")])
 
     def run(batches):
         for rows in python_rows(batches):
-            out = []
-            for group, position, text in rows:
-                for level, lines in blocks_of(text)[0]:
-                    raw = normal(" ".join(lines)).encode("utf-8")
-                    passage = (signed(raw, 1), signed(raw, 2))
-                    out.append((group, position, level, False, len(raw), *passage, *passage))
-                    for unit in units_of(lines):
-                        raw = unit.encode("utf-8")
-                        out.append((group, position, level, True, len(raw), signed(raw, 1), signed(raw, 2), *(passage if level else (0, 0))))
-            columns = list(map(list, zip(*out, strict=True))) if out else [[]] * len(names)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema=schema)
+            out = [
+                (group, position, *found)
+                for group, position, text in rows
+                for level, lines in blocks_of(text)[0]
+                for found in rows_of(level, lines)
+            ]
+            parts = list(map(list, zip(*out, strict=True))) if out else [[]] * len(schema)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(parts, schema.types, strict=True)], schema=schema)
 
     known = messages.where("group is not null and position is not null").select("group", "position", "text")
-    types = "group bigint, position bigint, level int, unit boolean, size bigint, h1 bigint, h2 bigint, p1 bigint, p2 bigint"
-    return known.mapInArrow(run, types).distinct()
+    return known.mapInArrow(run, columns)
+
+
+def _whole(level: int, lines: list[str]) -> list[tuple]:
+    raw = normal(" ".join(lines)).encode("utf-8")
+    return [(level, len(raw), _signed(raw, 1), _signed(raw, 2))]
+
+
+def _written_units(level: int, lines: list[str]) -> list[tuple]:
+    raws = [] if level else [u.encode("utf-8") for u in units_of(lines)]
+    return [(level, len(raw), _signed(raw, 1), _signed(raw, 2)) for raw in raws]
+
+
+def _quoted_units(level: int, lines: list[str]) -> list[tuple]:
+    """The units of a quoted passage, with the passage's own hashes."""
+    if not level:
+        return []
+    ((_, _, p1, p2),) = _whole(level, lines)
+    raws = [u.encode("utf-8") for u in units_of(lines)]
+    return [(level, len(raw), _signed(raw, 1), _signed(raw, 2), p1, p2) for raw in raws]
 
 
-def _owned(rows: DataFrame) -> DataFrame:
-    """Quoted ``rows`` with the earliest writer of each, null if nobody wrote it before."""
-    written_by = rows.where("level = 0").groupBy("group", "h1", "h2").agg(F.min("position").alias("owner"))
-    found = rows.where("level > 0").join(written_by, ["group", "h1", "h2"], "left")
+def _owned(quoted: DataFrame, written_rows: DataFrame) -> DataFrame:
+    """``quoted`` rows with the earliest writer of each, null if nobody wrote it before."""
+    owners = written_rows.groupBy("group", "h1", "h2").agg(F.min("position").alias("owner"))
+    found = quoted.join(owners, ["group", "h1", "h2"], "left")
     # A message cannot quote what was first written later.
     return found.withColumn("owner", F.when(F.col("owner") < F.col("position"), F.col("owner")))
 
 
 def answers(messages: DataFrame) -> DataFrame:
     """``messages`` (group, position, text) -> (group, position, parent, quoted, linked) for messages that quote."""
-    passages = written(_passages(messages), "passages")
-    whole = written(_owned(passages.where("not unit")), "quoted-passages")
+    passages = written(_hashed(messages, _KEY, _whole), "passages")
+    # Repeated rows of a message quote once; for owners repeats do not matter.
+    whole = written(_owned(passages.where("level > 0").distinct(), passages.where("level = 0")), "quoted-passages")
     place = ["group", "position", "level", "p1", "p2"]
-    units = _owned(passages.where("unit")).join(whole.where("owner is null").select(*place), place, "left_semi")
-    # Of a passage's units only those that link count; without any the passage is unlinked.
-    parts = units.where("owner is not null").select(*place, "owner", "size")
-    votes = whole.where("owner is not null").select(*place, "owner", "size").unionByName(parts)
+    named = whole.withColumnsRenamed({"h1": "p1", "h2": "p2"})
+    votes, lost = named.where("owner is not null").select(*place, "owner", "size"), named.where("owner is null").select(*place)
+    if not lost.isEmpty():
+        units = _hashed(messages, _KEY + ", p1 bigint, p2 bigint", _quoted_units).distinct()
+        units = written(units.join(lost, place, "left_semi"), "quoted-units")
+        # Only what is looked for is gathered of all that was written.
+        wanted = units.select("group", "h1", "h2").distinct()
+        said = _hashed(messages, _KEY, _written_units).join(wanted, ["group", "h1", "h2"], "left_semi")
+        votes = votes.unionByName(_owned(units, said).where("owner is not null").select(*place, "owner", "size"))
+    votes = written(votes, "quotation-votes")
     per_owner = votes.groupBy("group", "position", "level", "owner").agg(F.sum("size").alias("size"))
     parents = per_owner.groupBy("group", "position").agg(F.min_by("owner", F.struct("level", -F.col("size"), -F.col("owner"))).alias("parent"))
     linked = votes.select(*place).distinct().groupBy("group", "position").agg(F.count("*").alias("linked"))
