@@ -84,6 +84,10 @@ class DataProduct:
     def history(self) -> DataFrame:
         return catalog.run_history(self.spark, self.root)
 
+    def sources(self) -> DataFrame:
+        """What every run read from each source (H6)."""
+        return catalog.source_history(self.spark, self.root)
+
     def context(self) -> dict:
         """The discoverable interface as one document (H4/H9)."""
         doc = catalog.catalog_doc(self.product)

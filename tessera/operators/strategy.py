@@ -315,15 +315,17 @@ def land_keyed(
 def _layout_needed(current: TableState, key: list[str], buckets: int | None, incoming: int) -> int | None:
     """The bucket count a stored table must be laid out with before rows can land on ``key``; None if it fits.
 
-    It does not fit when it was written without buckets (``replace``), on another key, or when its buckets
-    have grown past twice their target size. A count the transform names is kept as it is.
+    It does not fit when it was written without buckets (``replace``), on another key, in another number of buckets
+    than the transform names, or, where it names none, when its buckets have grown past twice their target size.
     """
     if not current.parts:
         return None
     stored = current.bytes
     if not current.buckets or [k.lower() for k in current.key] != [k.lower() for k in key]:
         return buckets or buckets_for_bytes(stored + incoming)
-    if buckets is None and stored + incoming > 2 * BUCKET_TARGET_BYTES * current.buckets:
+    if buckets is not None:
+        return buckets if buckets != current.buckets else None
+    if stored + incoming > 2 * BUCKET_TARGET_BYTES * current.buckets:
         wider = buckets_for_bytes(stored + incoming)
         return wider if wider > current.buckets else None
     return None

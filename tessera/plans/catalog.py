@@ -90,29 +90,43 @@ def status(spark: SparkSession, root: str, product: Product, source_checked: boo
     return {"product": product.name, "status": state, "grain_verified": grain_ok, "execution": latest}
 
 
+_TRANSFORM_RUN = "table string, strategy string, rows_written long, rows long, buckets_touched long, rows_rewritten long, seconds double, statement string"
+_SOURCE_RUN = (
+    "name string, kind string, mode string, route string, rows long, bytes long, estimated_bytes long, staged boolean, "
+    "pushed_mark string, product string, version long, data_as_of string"
+)
+_RUN = ["execution", "product", "started_at", "finished_at", "outcome", "full_refresh"]
+
+
+def _summaries(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run summary, failed runs included (their execution is NULL)."""
+    schema = (
+        "execution long, product string, started_at string, finished_at string, outcome string, full_refresh boolean, "
+        f"transforms array<struct<{_typed(_TRANSFORM_RUN)}>>, sources array<struct<{_typed(_SOURCE_RUN)}>>"
+    )
+    return spark.read.schema(schema).option("multiLine", "true").json(Store(spark, root).path("history", "*.json"))
+
+
+def _typed(fields: str) -> str:
+    return ", ".join(":".join(f.split()) for f in fields.split(", "))
+
+
 def run_history(spark: SparkSession, root: str) -> DataFrame:
     """H6: one row per (execution, transform) from the run summaries, read by Spark."""
-    store = Store(spark, root)
-    schema = T.StructType([
-        T.StructField("execution", T.LongType()), T.StructField("product", T.StringType()),
-        T.StructField("started_at", T.StringType()), T.StructField("finished_at", T.StringType()),
-        T.StructField("outcome", T.StringType()), T.StructField("full_refresh", T.BooleanType()),
-        T.StructField("transforms", T.ArrayType(T.StructType([
-            T.StructField("table", T.StringType()), T.StructField("strategy", T.StringType()),
-            T.StructField("rows_written", T.LongType()), T.StructField("rows", T.LongType()),
-            T.StructField("buckets_touched", T.LongType()), T.StructField("rows_rewritten", T.LongType()),
-            T.StructField("seconds", T.DoubleType()),
-            T.StructField("statement", T.StringType())]))),
-        T.StructField("sources", T.ArrayType(T.StructType([
-            T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()),
-            T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()),
-            T.StructField("mode", T.StringType())]))),
-    ])
-    h = spark.read.schema(schema).option("multiLine", "true").json(store.path("history", "*.json"))
-    return h.select(
-        "execution", "product", "started_at", "finished_at", "outcome", "full_refresh",
-        F.explode_outer("transforms").alias("t"),
-    ).select("execution", "product", "started_at", "finished_at", "outcome", "full_refresh", "t.*")
+    runs = _summaries(spark, root).select(*_RUN, F.explode_outer("transforms").alias("t"))
+    return runs.select(*_RUN, "t.*")
+
+
+def source_history(spark: SparkSession, root: str) -> DataFrame:
+    """H6: one row per (execution, source): its kind, how it was read, and the rows and bytes that came.
+
+    ``rows`` and ``bytes`` are counted where a source was staged or its delta measured, else NULL; ``estimated_bytes`` is
+    the plan's estimate before the read. An upstream product's version and data time stand beside them.
+    """
+    runs = _summaries(spark, root).select(*_RUN, F.explode("sources").alias("s"))
+    parts = [f.split()[0] for f in _SOURCE_RUN.split(", ")]
+    renamed = {"name": "source", "product": "upstream"}
+    return runs.select(*_RUN, *(F.col(f"s.{c}").alias(renamed.get(c, c)) for c in parts))
 
 
 def upstreams(spark: SparkSession, product: Product, summary: dict | None) -> DataFrame:

@@ -1224,6 +1224,25 @@ def q_run_history(spark, sf):
     return cat.run_history(spark, store.root).drop("started_at", "finished_at", "seconds")
 
 
+@register(
+    "source_history",
+    f"""
+SELECT CAST(1 AS BIGINT) AS execution, 'success' AS outcome, 'events' AS source, 'raw' AS kind, 'bootstrap' AS mode, count(*) AS "rows"
+FROM events WHERE ts <= TIMESTAMP '{TS_SPLIT}'
+UNION ALL
+SELECT 2, 'success', 'events', 'raw', 'delta', count(*) FROM events
+WHERE ts > (SELECT max(ts) FROM events WHERE ts <= TIMESTAMP '{TS_SPLIT}')
+""",
+)
+def q_source_history(spark, sf):
+    """H6: what each of two runs read from its source, from the run summaries."""
+    ev = table(spark, sf, "events")
+    root = root_for(spark, "events_sources")
+    for uri in (derived_copy(ev.where(F.col("ts") <= F.lit(TS_SPLIT).cast("timestamp_ntz")), "events_first"), f"{sf}/events.parquet"):
+        run(spark, _events_product(uri), root)
+    return cat.source_history(spark, root).select("execution", "outcome", "source", "kind", "mode", "rows")
+
+
 @register("upstreams")
 def q_upstreams(spark, sf):
     up_store, _ = flagship.build_orders(spark, sf)

@@ -242,3 +242,20 @@ def test_large_delta_is_not_held_to_the_bucket_count(spark, root, monkeypatch):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_a_named_bucket_count_lays_a_stored_table_out_anew(spark, root):
+    from tessera.plans.store import Store
+    from tessera.sources.staging import stage_parquet
+
+    store = Store(spark, root)
+    rows = spark.range(200).selectExpr("id", "id AS v")
+    first = strategy.land_keyed(store, stage_parquet(rows), "t", ["id"], "upsert", None, buckets=8).state
+    more = stage_parquet(spark.range(150, 220).selectExpr("id", "-id AS v"))
+    kept = strategy.land_keyed(store, more, "t", ["id"], "upsert", first).state
+    assert kept.buckets == 8
+    wide = strategy.land_keyed(store, more, "t", ["id"], "upsert", first, buckets=64).state
+    assert wide.buckets == 64 and len({p["bucket"] for p in wide.parts}) > 8
+    for state in (kept, wide):
+        got = sorted(tuple(r) for r in store.read_state(state).collect())
+        assert got == sorted([(i, i) for i in range(150)] + [(i, -i) for i in range(150, 220)]) and state.rows == 220
