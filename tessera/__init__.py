@@ -8,7 +8,7 @@ contract and commits all tables plus watermarks as one immutable snapshot.
 """
 
 from tessera.api import DataProduct
-from tessera.model import ColumnSpec, Export, Incremental, Product, Source, Transform, load_product, load_profile
+from tessera.model import ColumnSpec, Export, Incremental, Product, Rollup, Source, Transform, load_product, load_profile
 from tessera.session import ensure_checkpoint_dir, scratch_path
 
 __all__ = [
@@ -18,6 +18,7 @@ __all__ = [
     "Export",
     "Incremental",
     "Product",
+    "Rollup",
     "Source",
     "Transform",
     "load_product",

@@ -10,6 +10,7 @@ A product can be built in Python or loaded from YAML::
     transforms:
       - sql/stg_orders.sql                       # bare path = replace
       - {sql: sql/fct_orders.sql, materialize: upsert, key: [order_id]}
+      - {name: orders_by_day, rollup: {of: fct_orders, by: [order_date], measures: {n: {count: "*"}, top: {max: amount}}}}
     interface:
       - {name: orders_daily, version: 2.1.0, grain: [order_date, region],
          schema: {order_date: date, region: string, revenue: decimal}}
@@ -107,16 +108,54 @@ class Source:
             parse_duration(self.incremental.lookback)
 
 
+@dataclass
+class Rollup:
+    """A grouped aggregate of the keyed table ``of``, declared by parts so that a run can keep it up to date from changes.
+
+    ``by`` names the group columns (a list of columns, or names with expressions over one row); ``measures`` gives
+    each column its aggregate and the expression it aggregates (``"*"`` counts rows).
+    """
+
+    of: str
+    by: list[str] | dict[str, str]
+    measures: dict[str, tuple[str, str]]
+
+    def __post_init__(self):
+        if not isinstance(self.by, dict):
+            self.by = {c: f"`{c}`" for c in self.by}
+        if not self.by or not self.measures:
+            raise ConfigError(f"a rollup of {self.of!r} needs group columns (`by`) and `measures`")
+        names = [c.lower() for c in [*self.by, *self.measures]]
+        if len(set(names)) < len(names):
+            raise ConfigError(f"a rollup of {self.of!r} names a column twice")
+
+    @property
+    def sql(self) -> str:
+        groups = ", ".join(f"{e} AS `{c}`" for c, e in self.by.items())
+        measures = ", ".join(f"{fn}({e}) AS `{c}`" for c, (fn, e) in self.measures.items())
+        return f"SELECT {groups}, {measures} FROM {self.of} GROUP BY {', '.join(self.by.values())}"
+
+
 @dataclass
 class Transform:
-    """One SELECT whose result lands in the table ``name`` with a strategy."""
+    """One SELECT whose result lands in the table ``name`` with a strategy.
+
+    With ``rollup`` in place of ``sql`` the SELECT is the rollup's; the table is a ``replace`` table all the same.
+    """
 
     name: str
-    sql: str
+    sql: str = ""
     strategy: str = "replace"
     key: list[str] = field(default_factory=list)
     path: str | None = None
     buckets: int | None = None
+    rollup: Rollup | None = None
+
+    def __post_init__(self):
+        if self.rollup is not None:
+            if self.sql or self.strategy != "replace":
+                raise ConfigError(f"transform {self.label!r}: a rollup has neither `sql` nor a strategy of its own")
+            self.sql = self.rollup.sql
 
     @property
     def label(self) -> str:
@@ -231,6 +270,15 @@ def _check_transforms(p: Product) -> None:
             raise ConfigError(
                 f"transforms {seen[t.name.lower()]!r} and {t.label!r} both build table {t.name!r}; rename one file"
             )
+        if t.rollup is not None:
+            earlier = {e.name.lower(): e for e in p.transforms[: p.transforms.index(t)]}
+            base = earlier.get(t.rollup.of.lower())
+            if base is None or base.strategy == "replace":
+                raise ConfigError(
+                    f"transform {t.label!r}: a rollup reads a table that an earlier transform appends or upserts; "
+                    f"{t.rollup.of!r} is none"
+                )
+            t.rollup.of = base.name
         seen[t.name.lower()] = t.label
 
 
@@ -433,7 +481,20 @@ def _source(name: str, v: Any, directory: str, profile: dict) -> Source:
     )
 
 
+def _rollup(name: str, d: dict) -> Rollup:
+    if set(d) != {"of", "by", "measures"}:
+        raise ConfigError(f"transform {name!r}: a rollup takes `of`, `by` and `measures`")
+    measures = {}
+    for column, m in d["measures"].items():
+        if not isinstance(m, dict) or len(m) != 1:
+            raise ConfigError(f"transform {name!r}: measure {column!r} must be one aggregate with its expression")
+        measures[column] = next((fn, str(e)) for fn, e in m.items())
+    return Rollup(of=d["of"], by=d["by"], measures=measures)
+
+
 def _transform(entry: Any, directory: str) -> Transform:
+    if isinstance(entry, dict) and "rollup" in entry:
+        return Transform(name=entry["name"], rollup=_rollup(entry["name"], entry["rollup"]), buckets=entry.get("buckets"))
     if isinstance(entry, str):
         path, strategy, key, buckets = entry, "replace", [], None
     elif isinstance(entry, dict):

@@ -149,6 +149,14 @@ def drift_report(staged: T.StructType, table: T.StructType) -> list[tuple[str, s
 # ------------------------------------------------------------------ landing
 
 
+@dataclass
+class Changes:
+    """What a landing did to its table, row by row; read lazily and only by a rollup that needs it."""
+
+    new: DataFrame  # rows that came in
+    old: DataFrame | None = None  # the stored rows whose place they took
+
+
 @dataclass
 class Landing:
     state: TableState
@@ -156,6 +164,7 @@ class Landing:
     buckets_touched: int  # buckets whose stored files were rewritten (upsert) or that received rows (append)
     buckets_total: int | None
     rows_rewritten: int = 0  # stored rows copied into rewritten buckets
+    changes: Changes | None = None  # None: the table was built anew
 
 
 def _conform(delta: DataFrame, schema: T.StructType) -> DataFrame:
@@ -264,7 +273,7 @@ def land_keyed(
         stats.touched = guard_stats(delta, key, nb).touched
     if staged.rows == 0:
         st = TableState(table, current.schema, list(key), nb, current.parts, current.rows, strategy, statement)
-        return Landing(st, 0, 0, nb, rows_rewritten=relaid)
+        return Landing(st, 0, 0, nb, rows_rewritten=relaid, changes=Changes(delta))
     touched = stats.touched
     if not current.parts:
         # Empty table: nothing to reconcile against.
@@ -280,7 +289,8 @@ def land_keyed(
         parts, rows = store.write_bucketed(delta.join(bound(existing), key, "left_anti"), table, key, nb)
         st = TableState(table, current.schema, list(key), nb, _sorted(current.parts + parts), current.rows + rows,
                         strategy, statement)
-        return Landing(st, rows, len(parts), nb, rows_rewritten=relaid)
+        return Landing(st, rows, len(parts), nb, rows_rewritten=relaid,
+                       changes=Changes(store.read_dirs(st, {p["dir"] for p in parts})))
     # Matched keys take every non-key column from the delta; unmatched keys are inserted.
     # 1) Which delta keys already exist, and in which part directories: only the key column (and the
     #    file path) of the touched buckets is read; one aggregate returns the match count and the
@@ -309,7 +319,8 @@ def land_keyed(
     total = current.rows - matched + staged.rows
     st = TableState(table, current.schema, list(key), nb, _sorted(carried + parts), total, strategy, statement,
                     touched=sorted(rewrite))
-    return Landing(st, rows, len(rewrite), nb, rows_rewritten=rows - staged.rows + relaid)
+    replaced = store.read_dirs(current, rewrite_dirs).join(bound(dkeys), key, "left_semi") if rewrite_dirs else None
+    return Landing(st, rows, len(rewrite), nb, rows_rewritten=rows - staged.rows + relaid, changes=Changes(delta, replaced))
 
 
 def _layout_needed(current: TableState, key: list[str], buckets: int | None, incoming: int) -> int | None:

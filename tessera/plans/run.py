@@ -33,7 +33,8 @@ from tessera.operators.delta import (
     validate_cursor,
     watermarks_df,
 )
-from tessera.operators.strategy import append_by_key, compact, land_keyed, land_replace, upsert_by_key
+from tessera.operators.rollup import land_rollup
+from tessera.operators.strategy import Changes, append_by_key, compact, land_keyed, land_replace, upsert_by_key
 from tessera.operators.verify import Verification, verify_all
 from tessera.plans.store import Store, TableState, iso, utc_now
 from tessera.sources.product import data_as_of
@@ -207,12 +208,15 @@ def run(
 
     new_tables = dict(current)
     transforms_info = []
+    changes: dict[str, Changes | None] = {}
     try:
         for t in product.transforms:
             t0 = time.monotonic()
             df = evaluate(spark, t)
             stmt = statement_for(t)
-            if t.strategy == "replace":
+            if t.rollup is not None:
+                landing = land_rollup(store, t, df, current, new_tables, changes.get(t.rollup.of), stmt)
+            elif t.strategy == "replace":
                 landing = land_replace(store, df, t.name, stmt)
             else:
                 staged = stage_parquet(df)
@@ -224,6 +228,7 @@ def run(
                 landing.state, n_compacted = compact(store, landing.state)
                 if n_compacted:
                     warnings.append(f"table {t.name!r}: compacted {n_compacted} bucket(s)")
+            changes[t.name] = landing.changes
             new_tables[t.name] = landing.state
             later = product.transforms[product.transforms.index(t) + 1:]
             if _mentioned(later, t.name) or (replay_check and _mentioned(product.transforms, t.name)):

@@ -24,6 +24,7 @@ create-if-absent, so run one writer per store root.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -65,6 +66,7 @@ class TableState:
     strategy: str = "replace"
     statement: str | None = None
     touched: list[int] | None = None  # buckets rewritten by the landing that produced this state
+    basis: str | None = None  # of a rollup: the digest of the table state it holds
 
     def to_json(self) -> dict:
         return {
@@ -77,6 +79,7 @@ class TableState:
             "strategy": self.strategy,
             "statement": self.statement,
             "touched": self.touched,
+            "basis": self.basis,
             "bucket_function": BUCKET_FUNCTION if self.buckets else None,
         }
 
@@ -92,8 +95,14 @@ class TableState:
             strategy=d.get("strategy", "replace"),
             statement=d.get("statement"),
             touched=d.get("touched"),
+            basis=d.get("basis"),
         )
 
+    @property
+    def digest(self) -> str:
+        """Names the stored rows: part directories are immutable, so equal lists hold equal rows."""
+        return hashlib.sha256("\n".join(sorted(p["dir"] for p in self.parts)).encode()).hexdigest()
+
     @property
     def bytes(self) -> int:
         """Stored bytes of the table's parts, as measured when they were written."""
