@@ -80,7 +80,7 @@ class Source:
     connection: dict[str, Any] | None = None
     connection_name: str | None = None
     query: str | None = None
-    partition: dict[str, Any] | None = None  # a partitioned JDBC table read: column, lower, upper, partitions
+    partition: dict[str, Any] | None = None  # a partitioned JDBC table read: column, partitions; lower and upper for equal strides
     incremental: Incremental | None = None
     columns: dict[str, str] = field(default_factory=dict)  # column descriptions (documented sources)
 
@@ -92,7 +92,8 @@ class Source:
         if self.partition is not None:
             if self.kind != "jdbc" or self.table is None:
                 raise ConfigError(f"source {self.name!r}: `partition` needs a connection and a `table`")
-            lacking = [k for k in ("column", "lower", "upper") if self.partition.get(k) is None]
+            bounded = any(self.partition.get(k) is not None for k in ("lower", "upper"))  # neither: ranges are counted first
+            lacking = [k for k in ("column", *(("lower", "upper") if bounded else ())) if self.partition.get(k) is None]
             if lacking:
                 raise ConfigError(f"source {self.name!r}: `partition` lacks {', '.join(lacking)}")
         if self.kind == "jdbc" and self.query is not None and self.incremental is not None:

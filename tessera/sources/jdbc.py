@@ -2,9 +2,10 @@
 
 A ``table`` source is read with ``dbtable`` so column pruning and filters (the
 watermark predicate included) are pushed to the database. A ``query`` source
-is sent as-is with the ``query`` option and re-read in full every run. Give
-``partition_column``/``bounds``/``num_partitions`` for large tables, or one task
-reads everything. A partitioned read is not one consistent snapshot of the
+is sent as-is with the ``query`` option and re-read in full every run. Name a
+partition column for large tables, or one task reads everything: without bounds
+the database counts its rows per range first (:mod:`tessera.sources.jdbc_plan`),
+with ``lower`` and ``upper`` the reader takes equal strides between them. A partitioned read is not one consistent snapshot of the
 database: stage it once so every transform sees the same rows.
 """
 
@@ -15,6 +16,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.errors import ConfigError
+from tessera.sources import jdbc_plan
 
 # Connection keys passed to the JDBC reader as-is.
 PASSTHROUGH = ("url", "driver", "user", "password", "fetchsize", "sessionInitStatement")
@@ -40,7 +42,10 @@ def jdbc_options(conn: dict) -> dict:
 
 
 def load(spark: SparkSession, fmt: str, options: dict) -> DataFrame:
-    """Open a connector's reader."""
+    """Open a connector's reader; ``predicates`` (one partition each) go through Spark's own JDBC call."""
+    if "predicates" in options:
+        rest = {k: v for k, v in options.items() if k not in ("url", "dbtable", "predicates")}
+        return spark.read.jdbc(options["url"], options["dbtable"], predicates=options["predicates"], properties=rest)
     return spark.read.format(fmt).options(**options).load()
 
 
@@ -55,7 +60,11 @@ def read_jdbc(
     opts = jdbc_options(conn)
     if table is not None:
         opts["dbtable"] = table
-        if partition_column:
+        if partition_column and lower is None and upper is None:
+            opts["predicates"] = jdbc_plan.plan(
+                lambda text: load(spark, "jdbc", {**jdbc_options(conn), "query": text}), table, partition_column, num_partitions
+            )
+        elif partition_column:
             opts.update(partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(num_partitions or 8))
     else:
         opts["query"] = query
