@@ -3,24 +3,32 @@
 1. **Voters.** Each lexicon word, each word or word beginning found to go with
    toxic labels, and each pattern (shouting, symbol runs, repeated words, name
    calling) votes toxic, clean or abstains on a text.
-2. **Label model.** A generative model gives every voter its vote probabilities
-   under either class, estimated by expectation maximisation; the labels take
-   part as one more fallible voter. Voters that agree beyond what the class
+2. **Label model.** Every document votes: one scan writes how many documents
+   share each vote pattern. A generative model gives every voter its vote
+   probabilities under either class, by expectation maximisation whose sums are
+   Spark aggregates over those patterns; the driver holds voters x voters
+   numbers and no documents beyond the bounded sample. The labels of that sample take part as one more fallible
+   voter that abstains everywhere else. Unlabelled documents count together at
+   most as much as the labelled ones, so a large corpus does not move the
+   classes away from the labels. Voters that agree beyond what the class
    explains are correlated: each voter's evidence is divided by its correlated
    weight, so near-copies of one voter do not outvote the rest.
-3. **Classifier.** Logistic regression over words and word beginnings is fitted
-   to the posterior labels and scores every whole text.
+3. **Classifier.** Logistic regression over words, word beginnings and the
+   patterns is fitted to the posterior labels of the labelled rows (of a bounded
+   sample of all rows where there are no labels) and scores every whole text.
 
 Labels are read only for ids whose crc32 modulo ``HELD_OUT`` is not 0. The
 classifier is fitted on at most ``MAX_LABELLED`` labelled rows, the ones with
-the smallest hash of their id; a bounded sample that does not depend on order or
-layout. Scoring needs the text alone, is one narrow stage, and a text of any
-length contributes all its words.
+the smallest hash of their id; without labels on the ``MAX_LABELLED`` rows with
+the smallest hash of their text. These bounded samples do not depend on order or
+layout. The sums of the label model are whole numbers, so they do not
+depend on it either. Scoring needs the text alone, is one narrow stage, and a
+text of any length contributes all its words.
 
 Defined results: null and empty texts get the score of a text without words;
 rows without an id are scored and never held out; several labels of one id
-count as toxic if any is; null labels are ignored; without labels only the
-lexicon decides; an empty table gives an empty result; other columns are
+count as toxic if any is; null labels are ignored; without labels the label
+model starts from what the lexicon and the patterns are believed to say; an empty table gives an empty result; other columns are
 ignored whatever their names.
 """
 
@@ -28,6 +36,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +58,14 @@ BEGINNINGS = range(3, 9)
 #: A lexicon word's weight before any label is seen.
 LEXICON_WEIGHT = 5.0
 CACHE_WORDS = 300_000
+#: Vote patterns a task counts before it passes them on.
+CACHE_PATTERNS = 50_000
+#: Posteriors are rounded to 1 / SCALE, so their sums are whole numbers.
+SCALE = 1 << 16
+#: Rounds of expectation maximisation, and the one that measures correlations over all documents.
+ROUNDS, CORRELATE = 8, 3
+#: How often a label is believed to be right.
+GOLD = 0.97
 
 LEXICON = (
     "idiot idiots moron morons stupid dumb fool loser losers scum trash garbage worthless pathetic disgusting clown "
@@ -56,12 +73,23 @@ LEXICON = (
 ).split()
 
 LETTERS = re.compile(r"[^\W\d_]+")
-PATTERNS = {
-    "shouting": re.compile(r"(?:\b[A-Z]{2,}[,.]?!+\s*){3}"),
-    "symbols": re.compile(r"[%&*$#@!]{4,}"),
-    "repeats": re.compile(r"\b(\w+)(?:\s+\1\b){3}"),
-    "name-calling": re.compile(r"\b(?:you|he|she|they)(?:'re|'s| are| is)? (?:an? |such an? )?(?:complete |total |absolute )?(?:" + "|".join(LEXICON) + r")\b", re.I),
-}
+SHOUT = re.compile(r"(?:\b[A-Z]{2,}[,.]?!+\s*){3}")
+SYMBOLS = re.compile(r"[%&*$#@!]{4,}")
+NAMES = re.compile(r"\b(?:you|he|she|they)(?:'re|'s| are| is)? (?:an? |such an? )?(?:complete |total |absolute )?(?:" + "|".join(LEXICON) + r")\b", re.I)
+#: Pattern voters, and their weight in the classifier before any text is seen. Shouting and repeats are common in
+#: harmless texts too: they start at none and get what the posterior labels give them.
+PATTERNS = {"shouting": 0.0, "symbols": LEXICON_WEIGHT, "repeats": 0.0, "name-calling": LEXICON_WEIGHT}
+
+
+def patterns_of(text: str, names: bool) -> list[int]:
+    """1 or 0 per pattern; ``names`` says whether a lexicon word occurs, without which nobody is called one."""
+    repeats = 0
+    tokens = text.split()
+    if len(tokens) > 3:
+        lowered = text.lower().split()
+        repeats = int(any(a == b == c == d for a, b, c, d in zip(lowered, lowered[1:], lowered[2:], lowered[3:], strict=False)))
+    shouting = int(text.count("!") > 2 and SHOUT.search(text) is not None)
+    return [shouting, int(SYMBOLS.search(text) is not None), repeats, int(names and NAMES.search(text) is not None)]
 
 
 def features_of(token: str) -> list[str]:
@@ -77,12 +105,39 @@ def tokens_of(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
-def votes_of(text: str | None, words: set[str], found: dict[str, int]) -> list[int]:
-    """Votes in voter order: lexicon words, the lexicon as a whole, patterns, found features. 1 toxic, -1 clean, 0 abstains."""
-    hits = [int(w in words) for w in LEXICON]
-    whole = [1 if any(hits) else -1 if len(words) > 5 else 0]
-    patterns = [int(bool(p.search(text or ""))) for p in PATTERNS.values()]
-    return hits + whole + patterns + [int(f in words) for f in found]
+class Voters(dict):
+    """token -> numbers of the word voters it fires; a bounded cache per worker.
+
+    Votes are in the order lexicon words, the lexicon as a whole, patterns, found
+    features: 1 toxic, -1 clean, 0 abstains.
+    """
+
+    def __init__(self, found: list[str]):
+        super().__init__()
+        at = len(LEXICON) + 1 + len(PATTERNS)
+        self.size = at + len(found)
+        self.numbers: dict[str, list[int]] = {}
+        for n, f in [*enumerate(LEXICON), *enumerate(found, at)]:
+            self.numbers.setdefault(f, []).append(n)
+
+    def __missing__(self, token: str) -> tuple:
+        fired = tuple(n for f in features_of(token) for n in self.numbers.get(f, ()))
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = fired
+        return fired
+
+    def votes(self, text: str | None) -> np.ndarray:
+        out = np.zeros(self.size, np.int8)
+        tokens = tokens_of(text)
+        fired = set().union(*map(self.__getitem__, tokens))
+        out[list(fired)] = 1
+        whole = len(LEXICON)
+        said = bool(out[:whole].any())
+        out[whole] = 1 if said else -1 if len(tokens) > 5 else 0
+        out[whole + 1 : whole + 1 + len(PATTERNS)] = patterns_of(text or "", said)
+        return out
 
 
 @dataclass
@@ -103,31 +158,128 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def correlated_weight(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """1 / (1 + variance shared with the other voters beyond what the class explains): m equal voters count as one."""
-    v = votes.astype(float)
-    expected = np.outer(p, (p @ v) / max(p.sum(), 1e-9)) + np.outer(1 - p, ((1 - p) @ v) / max((1 - p).sum(), 1e-9))
-    rest = v - expected
-    scale = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-    r = (rest.T @ rest) / np.outer(scale, scale)
-    np.fill_diagonal(r, 0)
-    return 1 / (1 + np.where(np.abs(r) > 0.2, r * r, 0).sum(axis=1))
-
-
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> tuple[LabelModel, np.ndarray]:
-    """EM from the starting posterior ``start``; returns the model and the posterior labels."""
-    p = start.astype(float)
-    weight = correlated_weight(votes, p)
-    onehot = votes[:, :, None] + 1 == np.arange(3)
-    # Smoothed towards a voter's votes overall, so a voter that never votes is evidence for neither class.
-    overall = (onehot.sum(axis=0) + 0.01) / (len(votes) + 0.03)
-    for _ in range(rounds):
-        prior = float(np.clip(p.mean(), 0.005, 0.995))
-        table = np.stack([(onehot * (1 - p)[:, None, None]).sum(0), (onehot * p[:, None, None]).sum(0)], axis=1) + overall[:, None]
+@dataclass
+class Sums:
+    """Posterior sums in units of 1 / SCALE: documents per class, clean and toxic votes per voter and class, products of votes per class."""
+
+    total: np.ndarray  # 2 classes
+    votes: np.ndarray  # 2 classes x 2 votes (clean, toxic) x voters
+    pairs: np.ndarray | None = None  # 2 classes x voters x voters
+
+    @staticmethod
+    def of(votes: np.ndarray, count: np.ndarray, p: np.ndarray, pairs: bool) -> Sums:
+        toxic = np.rint(p * SCALE)
+        v = votes.astype(float)
+        by_class = [(SCALE - toxic) * count, toxic * count]
+        each = np.stack([np.stack([(v < 0).T @ w, (v > 0).T @ w]) for w in by_class])
+        return Sums(np.array([w.sum() for w in by_class]), each, np.stack([(v * w[:, None]).T @ v for w in by_class]) if pairs else None)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.total, self.votes, self.pairs) if x is not None])
+
+    @staticmethod
+    def unflat(x: np.ndarray, m: int) -> Sums:
+        return Sums(x[:2], x[2 : 2 + 4 * m].reshape(2, 2, m), x[2 + 4 * m :].reshape(2, m, m) if len(x) > 2 + 4 * m else None)
+
+    def plus(self, other: Sums, times: float = 1.0) -> Sums:
+        both = self.pairs is not None and other.pairs is not None
+        return Sums(self.total + times * other.total, self.votes + times * other.votes, self.pairs + times * other.pairs if both else None)
+
+    def weight(self) -> np.ndarray:
+        """1 / (1 + variance shared with the other voters beyond what the class explains): m equal voters count as one."""
+        shared = 0.0
+        for n, (clean, toxic), pairs in zip(self.total, self.votes, self.pairs, strict=True):
+            mean = (toxic - clean) / max(n, 1.0)
+            shared = shared + pairs - n * np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(shared), 0)) + 1e-6
+        r = shared / np.outer(scale, scale)
+        np.fill_diagonal(r, 0)
+        return 1 / (1 + np.where(np.abs(r) > 0.2, r * r, 0).sum(axis=1))
+
+    def model(self, weight: np.ndarray) -> LabelModel:
+        n, votes = self.total / SCALE, self.votes / SCALE
+        onehot = np.stack([votes[:, 0], n[:, None] - votes.sum(axis=1), votes[:, 1]], axis=2).transpose(1, 0, 2)
+        # Smoothed towards a voter's votes overall, so a voter that never votes is evidence for neither class.
+        overall = (onehot.sum(axis=1) + 0.01) / (n.sum() + 0.03)
+        table = np.maximum(onehot, 0) + overall[:, None]
         table /= table.sum(axis=2, keepdims=True)
-        model = LabelModel(prior, table, weight)
-        p = model.posterior(votes)
-    return model, p
+        return LabelModel(float(np.clip(n[1] / max(n.sum(), 1e-9), 0.005, 0.995)), table, weight)
+
+
+def believed(voters: int) -> LabelModel:
+    """The label model before any label: toxic votes are rare, and much rarer on clean texts; half the toxic texts hold no lexicon word."""
+    table = np.tile(np.array([[0.002, 0.996, 0.002], [0.002, 0.898, 0.1]]), (voters, 1, 1))
+    # A toxic text fires few of the words, so the silence of one says little.
+    table[: len(LEXICON)] = [[0.0001, 0.9996, 0.0003], [0.0001, 0.9799, 0.02]]
+    for j, trusted in enumerate(PATTERNS.values(), len(LEXICON) + 1):
+        table[j] = [[0.0001, 0.9994, 0.0005], [0.0001, 0.8999, 0.1]] if trusted else [[0.0001, 0.9799, 0.02], [0.0001, 0.9499, 0.05]]
+    table[len(LEXICON)] = [[0.9, 0.09, 0.01], [0.5, 0.1, 0.4]]
+    return LabelModel(0.05, table, np.ones(voters))
+
+
+def maximise(first: Sums, step: Callable[[LabelModel, bool], Sums], rounds: int = ROUNDS) -> LabelModel:
+    """EM from the sums ``first`` (with pairs); ``step`` gives the sums under a model, with pairs where asked."""
+    weight = first.weight()
+    model = first.model(weight)
+    for r in range(rounds):
+        sums = step(model, r == CORRELATE)
+        weight = weight if sums.pairs is None else sums.weight()
+        model = sums.model(weight)
+    return model
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> tuple[LabelModel, np.ndarray]:
+    """EM over votes in memory from the starting posterior ``start``; returns the model and the posterior labels."""
+    one = np.ones(len(votes))
+    model = maximise(Sums.of(votes, one, start, True), lambda m, pairs: Sums.of(votes, one, m.posterior(votes), pairs), rounds)
+    return model, model.posterior(votes)
+
+
+def with_labels(posterior: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """The posterior after the label of a row, right with probability ``GOLD``, has voted as well."""
+    right = np.where(gold > 0, GOLD, 1 - GOLD)
+    return posterior * right / (posterior * right + (1 - posterior) * (1 - right))
+
+
+def vote_patterns(docs: DataFrame, found: list[str], text_col: str = "text") -> DataFrame:
+    """(votes, n): how many rows of ``docs`` share each vote pattern; counted per task before the shuffle."""
+    schema = pa.schema([("votes", pa.binary()), ("n", pa.int64())])
+
+    def run(batches):
+        voters, seen = Voters(found), Counter()
+        for rows in python_rows(batches):
+            seen.update(voters.votes(text).tobytes() for (text,) in rows)
+            if len(seen) >= CACHE_PATTERNS:
+                yield pa.record_batch([list(seen), list(seen.values())], schema=schema)
+                seen.clear()
+        yield pa.record_batch([list(seen), list(seen.values())], schema=schema)
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "votes binary, n bigint")
+    return counted.groupBy("votes").agg(F.sum("n").alias("n"))
+
+
+def pattern_sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> Sums:
+    """Posterior sums over all documents behind ``patterns``: one aggregate of whole numbers, sized by the voters alone."""
+    m = len(model.weight)
+    schema = pa.schema([("at", pa.int32()), ("value", pa.int64())])
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                votes = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int8).reshape(-1, m)
+                flat = Sums.of(votes, np.array(part.column(1)), model.posterior(votes), pairs).flat()
+                flat = np.rint(flat).astype(np.int64)
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield pa.record_batch([np.arange(len(total), dtype=np.int32), total], schema=schema)
+
+    rows = patterns.select("votes", "n").mapInArrow(run, "at int, value bigint").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    flat = np.zeros(2 + 4 * m + (2 * m * m if pairs else 0))
+    for r in rows:
+        flat[r["at"]] = r["value"]
+    return Sums.unflat(flat, m)
 
 
 def fit_linear(rows: list[np.ndarray], before: np.ndarray, target: np.ndarray, rounds: int = 300, l2: float = 0.2) -> tuple[np.ndarray, float]:
@@ -148,12 +300,17 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, target: np.ndarray, r
     return w, b
 
 
+#: A blank keeps them apart from every word.
+PATTERN_FEATURES = [f"pattern {name}" for name in PATTERNS]
+
+
 class Scorer(dict):
     """token -> numbers of its known features; a bounded cache per worker."""
 
     def __init__(self, features: dict[str, int], weights: np.ndarray, bias: float):
         super().__init__()
         self.features, self.weights, self.bias = features, weights.tolist(), bias
+        self.lexicon = {features[w] for w in LEXICON}
 
     def __missing__(self, token: str) -> tuple:
         known = tuple(n for f in features_of(token) if (n := self.features.get(f)) is not None)
@@ -164,7 +321,9 @@ class Scorer(dict):
         return known
 
     def numbers(self, text: str | None) -> set[int]:
-        return set().union(*map(self.__getitem__, tokens_of(text)))
+        out = set().union(*map(self.__getitem__, tokens_of(text)))
+        said = not out.isdisjoint(self.lexicon)
+        return out.union(self.features[f] for f, hit in zip(PATTERN_FEATURES, patterns_of(text or "", said), strict=True) if hit)
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(self.weights[n] for n in sorted(self.numbers(text)))
@@ -238,38 +397,74 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     evidence = F.abs(odds) / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     counts = _feature_counts(sample).where(t + c >= MIN_SUPPORT).select("feature", "toxic", "clean", odds.alias("odds"), evidence.alias("evidence"))
     top = counts.orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).collect()
-    names = list(dict.fromkeys([*LEXICON, *(r.feature for r in top)]))
+    names = list(dict.fromkeys([*LEXICON, *PATTERN_FEATURES, *(r.feature for r in top)]))
     features = {f: n for n, f in enumerate(names)}
+    before = np.array([LEXICON_WEIGHT] * len(LEXICON) + list(PATTERNS.values()) + [0.0] * (len(names) - len(LEXICON) - len(PATTERNS)))
     # A found voter is right on at least four of five documents it votes on.
-    strong = [r.feature for r in top if r.odds > 0 and r.toxic >= 4 * max(r.clean, 1)][:MAX_VOTERS]
-    found = {f: n for n, f in enumerate(strong)}
-    rows = _observed(sample, features, found)
-    before = np.array([LEXICON_WEIGHT if f in set(LEXICON) else 0.0 for f in names])
-    if not rows:
+    found = [r.feature for r in top if r.odds > 0 and r.toxic >= 4 * max(r.clean, 1)][:MAX_VOTERS]
+    patterns = written(vote_patterns(docs, found, text_col), "votes")
+    documents = patterns.agg(F.sum("n")).first()[0] or 0
+    if not documents:
         return ToxicityModel(features, before, -LEXICON_WEIGHT / 2)
+    rows = _observed(sample, features, found)
     gold = np.array([r[0] for r in rows])
-    votes = np.column_stack([np.array([r[1] for r in rows], dtype=np.int8), np.where(gold > 0, 1, -1)])
-    _, posterior = fit_label_model(votes, np.where(gold > 0, 0.97, 0.03))
-    weights, bias = fit_linear([r[2] for r in rows], before, posterior)
+    model = label_model(patterns, documents, np.array([r[1] for r in rows], np.int8).reshape(len(rows), Voters(found).size), gold)
+    if not rows:
+        rows = _observed(_unlabelled(docs, id_col, text_col, documents, max_labelled), features, found)
+    posterior = model.posterior(np.array([r[1] for r in rows], np.int8))
+    weights, bias = fit_linear([r[2] for r in rows], before, with_labels(posterior, gold) if len(gold) else posterior)
     return ToxicityModel(features, weights, bias)
 
 
-def _observed(sample: DataFrame, features: dict[str, int], found: dict[str, int]) -> list[tuple]:
-    """(label, votes, feature numbers) of the bounded sample, computed on the executors."""
+def label_model(patterns: DataFrame, documents: int, votes: np.ndarray, gold: np.ndarray) -> LabelModel:
+    """The label model over all ``documents`` behind ``patterns``, of which the rows ``votes`` carry the labels ``gold``."""
+    n, one = len(gold), np.ones(len(gold))
+    if not n:
+        start = believed(Voters([]).size)
+        return maximise(pattern_sums(patterns, start, True), lambda m, pairs: pattern_sums(patterns, m, pairs))
+    share = min(1.0, n / max(documents - n, 1))
+
+    def step(model: LabelModel, pairs: bool) -> Sums:
+        p = model.posterior(votes)
+        labelled = Sums.of(votes, one, with_labels(p, gold), pairs)
+        # The labelled rows are among all rows: what they add without their labels is taken off again.
+        unlabelled = pattern_sums(patterns, model, pairs).plus(Sums.of(votes, one, p, pairs), -1.0)
+        return labelled.plus(unlabelled, share)
+
+    return maximise(Sums.of(votes, one, np.where(gold > 0, GOLD, 1 - GOLD), True), step)
+
+
+def _unlabelled(docs: DataFrame, id_col: str, text_col: str, documents: int, bound: int) -> DataFrame:
+    """At most ``bound`` different texts (id, text, toxic null), those of the smallest hashes."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("print", F.xxhash64("text")).withColumn("place", F.pmod("print", F.lit(1 << 31)))
+    # Copies share a print, so the cut by place is repeated with a wider share until it holds enough prints or all.
+    share = min(1.0, 1.25 * bound / documents)
+    while share < 1.0 and _near(rows, share).select("print").distinct().count() < bound:
+        share = min(1.0, 4 * share)
+    one = _near(rows, share).groupBy("place", "print").agg(F.min(F.struct("text", "id")).alias("r"))
+    return one.orderBy("place", "print").limit(bound).select("r.id", "r.text", F.lit(None).cast("int").alias("toxic"))
+
+
+def _near(rows: DataFrame, share: float) -> DataFrame:
+    return rows.where(F.col("place") < F.lit(int((1 << 31) * share)))
+
+
+def _observed(sample: DataFrame, features: dict[str, int], found: list[str]) -> list[tuple]:
+    """(label, votes, feature numbers) of a bounded sample, computed on the executors."""
     schema = pa.schema([("toxic", pa.int32()), ("votes", pa.binary()), ("numbers", pa.binary())])
 
     def run(batches):
-        scorer = Scorer(features, np.zeros(len(features)), 0.0)
+        scorer, voters = Scorer(features, np.zeros(len(features)), 0.0), Voters(found)
         for rows in python_rows(batches):
             out = []
             for text, toxic in rows:
-                seen = {f for t in tokens_of(text) for f in features_of(t)}
-                votes = np.array(votes_of(text, seen, found), dtype=np.int8)
                 numbers = np.array(sorted(scorer.numbers(text)), dtype=np.int32)
-                out.append((toxic, votes.tobytes(), numbers.tobytes()))
+                out.append((toxic, voters.votes(text).tobytes(), numbers.tobytes()))
             yield pa.record_batch(list(map(list, zip(*out, strict=True))), schema=schema)
 
-    got = sample.orderBy("id").select("text", "toxic").mapInArrow(run, "toxic int, votes binary, numbers binary").collect()
+    ordered = sample.orderBy("id", F.xxhash64("text")).select("text", "toxic")
+    got = ordered.mapInArrow(run, "toxic int, votes binary, numbers binary").collect()
     return [(r.toxic, np.frombuffer(bytes(r.votes), np.int8), np.frombuffer(bytes(r.numbers), np.int32)) for r in got]
 
 
