@@ -60,6 +60,8 @@ LEXICON_WEIGHT = 5.0
 CACHE_WORDS = 300_000
 #: Vote patterns a task counts before it passes them on.
 CACHE_PATTERNS = 50_000
+#: Sums in one row.
+CHUNK = 4096
 #: Posteriors are rounded to 1 / SCALE, so their sums are whole numbers.
 SCALE = 1 << 16
 #: Rounds of expectation maximisation, and the one that measures correlations over all documents.
@@ -259,9 +261,12 @@ def vote_patterns(docs: DataFrame, found: list[str], text_col: str = "text") ->
 
 
 def pattern_sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> Sums:
-    """Posterior sums over all documents behind ``patterns``: one aggregate of whole numbers, sized by the voters alone."""
+    """Posterior sums over all documents behind ``patterns``: whole numbers, as many as the voters need.
+
+    A task passes its sums on in a few rows of ``CHUNK`` numbers; they meet per chunk.
+    """
     m = len(model.weight)
-    schema = pa.schema([("at", pa.int32()), ("value", pa.int64())])
+    schema = pa.schema([("chunk", pa.int32()), ("sums", pa.list_(pa.int64()))])
 
     def run(batches):
         total = None
@@ -273,12 +278,17 @@ def pattern_sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> Sums:
                 flat = np.rint(flat).astype(np.int64)
                 total = flat if total is None else total + flat
         if total is not None:
-            yield pa.record_batch([np.arange(len(total), dtype=np.int32), total], schema=schema)
+            parts = [total[k : k + CHUNK] for k in range(0, len(total), CHUNK)]
+            yield pa.record_batch([list(range(len(parts))), parts], schema=schema)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "sums": [np.sum(np.stack(rows["sums"]), axis=0)]})
 
-    rows = patterns.select("votes", "n").mapInArrow(run, "at int, value bigint").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    fields = "chunk int, sums array<bigint>"
+    rows = patterns.select("votes", "n").mapInArrow(run, fields).groupBy("chunk").applyInPandas(add, fields).collect()
     flat = np.zeros(2 + 4 * m + (2 * m * m if pairs else 0))
     for r in rows:
-        flat[r["at"]] = r["value"]
+        flat[r.chunk * CHUNK : r.chunk * CHUNK + len(r.sums)] = r.sums
     return Sums.unflat(flat, m)
 
 
