@@ -19,7 +19,8 @@ state carried from window to window, and are averaged by tokens in a Spark
 aggregate, parameter by parameter; the next round starts from the average. There
 are as many rounds as replicas in a round, so updates grow with the corpus.
 
-**Reading** turns every text into numbers once; training and scoring start from those.
+**Reading** turns every text into numbers once; training and scoring start from those. Words are cut, counted and looked
+up as Arrow arrays of many texts, never as Python objects one by one.
 
 **Scoring** carries the state through the whole document. The frequent words'
 counts (``COUNTED`` of them, a bound) travel to every task; the counts of all
@@ -36,12 +37,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from dataclasses import dataclass, field, replace
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,15 +65,49 @@ RATE, SEEN = 0.04, 0.03
 PART = 2048
 #: Training tokens of a replica of the network in one round.
 REPLICA_TOKENS = 1 << 19
-#: Documents turned into lanes at a time, and counted words held by a task before it gives them out.
+#: Documents turned into lanes at a time, and words held by a task before it counts them and gives the counts out.
 SLICE = 6144
-HELD_WORDS = 400_000
+HELD_WORDS = 3_000_000
+#: Bytes of text cut into words at a time; a longer text goes alone.
+PIECE = 1 << 22
 END = "\n"
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words between ASCII blanks with A-Z lowered; the end is not among them."""
-    return (text or "").encode("utf-8").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, between ASCII blanks with A-Z lowered, and their number per text.
+
+    The end is not among them.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes, words = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
+    # A text that starts or ends with a blank, or is empty, gives empty words.
+    full = pc.greater(pc.binary_length(words), 0)
+    empty = np.flatnonzero(~full.to_numpy(zero_copy_only=False))
+    if len(empty):
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), empty, "right"), minlength=len(sizes))
+        words = words.filter(full)
+    return words, sizes
+
+
+def _pieces(batches, column: int):
+    """Record batches with up to ``PIECE`` bytes in the text ``column``, or one longer text, whatever the batches are."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, before + PIECE - size, "right"))
+            if to == at and held:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+    if held:
+        yield pa.concat_batches(held)
 
 
 def is_held_out(id_col: Column) -> Column:
@@ -83,19 +118,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``texts`` (text), the end among the words."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
-    def out(counts: Counter):
-        return pa.record_batch([[w.decode("utf-8") for w in counts], list(counts.values())], schema=schema)
+    def out(words: list[pa.Array], rows: int):
+        found = pa.chunked_array(words, pa.string()).value_counts()
+        word, n = found.field("values"), found.field("counts")
+        return pa.record_batch([pa.concat_arrays([word, pa.array([END])]), pa.concat_arrays([n, pa.array([rows])])], schema=schema)
 
     def run(batches):
-        held: Counter = Counter()
-        for rows in python_rows(batches):
-            for (text,) in rows:
-                held.update(tokens_of(text))
-            held[END.encode()] += len(rows)
-            if len(held) >= HELD_WORDS:
-                yield out(held)
-                held = Counter()
-        yield out(held)
+        held, size, rows = [], 0, 0
+        for piece in _pieces(batches, 0):
+            words, _ = words_of(piece.column(0))
+            held.append(words)
+            size, rows = size + len(words), rows + piece.num_rows
+            if size >= HELD_WORDS:
+                yield out(held, rows)
+                held, size, rows = [], 0, 0
+        if rows:
+            yield out(held, rows)
 
     return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -125,12 +163,10 @@ class Layout:
     def by_ending(self, word: bytes) -> int:
         return self.ending_number.get(word.decode("utf-8")[-ENDING:], len(self.head) + len(self.endings))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Input numbers of a document's words and its end."""
-        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-        for j in np.flatnonzero(found < 0).tolist():
-            found[j] = self.by_ending(words[j])
-        return np.append(found, np.int32(0))
+    def by_endings(self, words: pa.Array) -> np.ndarray:
+        """Input numbers by the endings of words that are not counted."""
+        at = pc.index_in(pc.utf8_slice_codeunits(words, -ENDING), value_set=pa.array(self.endings, pa.string()))
+        return len(self.head) + at.fill_null(len(self.endings)).to_numpy()
 
     def class_of(self, numbers: np.ndarray) -> np.ndarray:
         return np.where(numbers < len(self.head), numbers // CLASS_WORDS, numbers - len(self.head) + self.head_classes)
@@ -175,10 +211,6 @@ def layout_of(counts: DataFrame) -> Layout:
     )
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 class Network:
     """Gated recurrent unit with a class-factored softmax. ``w`` maps parameter names to float32 arrays."""
 
@@ -206,102 +238,127 @@ class Network:
 
     def step(self, state: np.ndarray, read: np.ndarray):
         """One unit step from words: new state, and what the way back needs."""
-        state, *memo = self._step(state, self.w["input"][read])
-        return state, memo
+        state, *memo = self._step(state.T, self.w["input"][read].T, self.w["recur"].T)
+        return state.T, memo
 
-    def _step(self, state: np.ndarray, x: np.ndarray):
-        """New state, gates, candidate state and its recurrent part."""
+    def _step(self, state: np.ndarray, x: np.ndarray, recur: np.ndarray):
+        """New state, gates, candidate state and its recurrent part; features x lanes."""
         h = HIDDEN
-        u = state @ self.w["recur"]
-        gates = sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-        new = np.tanh(x[:, 2 * h :] + gates[:, :h] * u[:, 2 * h :])
-        return new + gates[:, h:] * (state - new), gates, new, u[:, 2 * h :]
+        u = recur @ state
+        gates = x[: 2 * h] + u[: 2 * h]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        new = gates[:h] * u[2 * h :]
+        new += x[2 * h :]
+        np.tanh(new, out=new)
+        after = state - new
+        after *= gates[h:]
+        after += new
+        return after, gates, new, u[2 * h :]
 
     def output(self, states: np.ndarray, target: np.ndarray, real: np.ndarray, learn: bool = False):
         """Natural-log probability of each target given its state (0 where not ``real``); the way back if ``learn``."""
+        logp, grads, back = self._output(states.T, target, real, learn)
+        return logp, grads, None if back is None else back.T
+
+    def _output(self, states: np.ndarray, target: np.ndarray, real: np.ndarray, learn: bool):
+        """``output`` over features x states, so that sums over classes run along the states."""
         v, w = self.layout, self.w
-        cls = v.class_of(target)
+        cls = v.class_of(target).astype(np.int16)
         at = np.arange(len(target))
-        logits = states @ w["class"] + w["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        logp = logits[at, cls] - np.log(total)
+        p = w["class"].T @ states
+        p += w["class_bias"][:, None]
+        p -= p.max(axis=0)
+        logp = p[cls, at]
+        np.exp(p, out=p)
+        total = p.sum(axis=0)
+        logp -= np.log(total)
         grads, back = {}, None
         if learn:
-            p /= total[:, None]
-            p[at, cls] -= 1
-            p[~real] = 0
-            grads["class"], grads["class_bias"] = states.T @ p, p.sum(axis=0)
-            back = p @ w["class"].T
+            p *= real / total
+            p[cls, at] -= real
+            grads["class"], grads["class_bias"] = states @ p.T, p.sum(axis=1)
+            back = w["class"] @ p
             grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
-        headed = np.flatnonzero((cls < v.head_classes) & real)
-        order = headed[np.argsort(cls[headed], kind="stable")]
+        # States of the head words by class: a product per class, everything else at once.
+        cls[~real] = v.head_classes
+        order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(v.head_classes + 1))
-        for c in range(v.head_classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
-                continue
-            s, word, k = states[rows], target[rows] % CLASS_WORDS, np.arange(len(rows))
-            inner = s @ w["word"][c] + w["word_bias"][c]
-            inner -= inner.max(axis=1, keepdims=True)
-            q = np.exp(inner)
-            sums = q.sum(axis=1)
-            logp[rows] += inner[k, word] - np.log(sums)
-            if learn:
-                q /= sums[:, None]
-                q[k, word] -= 1
-                grads["word"][c], grads["word_bias"][c] = s.T @ q, q.sum(axis=0)
-                back[rows] += q @ w["word"][c].T
+        order = order[: edges[-1]]
+        s, word, k = states.T[order], target[order] % CLASS_WORDS, at[: len(order)]
+        inner = w["word_bias"][cls[order]]
+        spans = [(c, slice(edges[c], edges[c + 1])) for c in range(v.head_classes) if edges[c] < edges[c + 1]]
+        for c, rows in spans:
+            inner[rows] += s[rows] @ w["word"][c]
+        inner -= inner.max(axis=1, keepdims=True)
+        picked = inner[k, word]
+        np.exp(inner, out=inner)
+        sums = inner @ np.ones(CLASS_WORDS, inner.dtype)
+        logp[order] += picked - np.log(sums)
+        if learn:
+            inner /= sums[:, None]
+            inner[k, word] -= 1
+            way = np.empty_like(s)
+            for c, rows in spans:
+                grads["word"][c], grads["word_bias"][c] = s[rows].T @ inner[rows], inner[rows].sum(axis=0)
+                np.matmul(inner[rows], w["word"][c].T, out=way[rows])
+            back[:, order] += way.T
         logp[~real] = 0
         return logp, grads, back
 
     def window(self, state: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, real: np.ndarray, learn: bool):
         """Lanes x steps. ``fresh``: a document begins, the state starts anew. Returns (log p, last state, gradients)."""
         lanes, steps = read.shape
-        h = HIDDEN
-        shape = (steps, lanes, h)
-        x, goes_on = self.w["input"][read.T], (~fresh.T)[:, :, None].astype(np.float32)
-        states = np.empty(shape, np.float32)
+        h, kind = HIDDEN, self.w["input"].dtype
+        state, recur = state.T, np.ascontiguousarray(self.w["recur"].T)
+        words, goes_on, inputs = np.ascontiguousarray(read.T), (~fresh.T).astype(kind), np.ascontiguousarray(self.w["input"].T)
+        # A feature's lanes lie side by side.
+        states = np.empty((h, steps, lanes), kind)
         if learn:
-            before, new, un = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
-            gates = np.empty((steps, lanes, 2 * h), np.float32)
+            shape = (steps, h, lanes)
+            before, new, un = np.empty(shape, kind), np.empty(shape, kind), np.empty(shape, kind)
+            gates = np.empty((steps, 2 * h, lanes), kind)
         for t in range(steps):
             state = state * goes_on[t]
+            x = inputs.take(words[t], axis=1)
             if learn:
                 before[t] = state
-                state, gates[t], new[t], un[t] = self._step(state, x[t])
+                state, gates[t], new[t], un[t] = self._step(state, x, recur)
             else:
-                state = self._step(state, x[t])[0]
-            states[t] = state
-        logp, grads, back = self.output(states.reshape(-1, h), target.T.ravel(), real.T.ravel(), learn)
+                state = self._step(state, x, recur)[0]
+            states[:, t] = state
+        logp, grads, back = self._output(states.reshape(h, -1), target.T.ravel(), real.T.ravel(), learn)
         logp = logp.reshape(steps, lanes).T
         if not learn:
-            return logp, state, None
-        u_t, back = self.w["recur"].T, back.reshape(shape)
+            return logp, state.T, None
+        back = back.reshape(h, steps, lanes)
         # Everything that does not depend on the way back, for all steps at once.
-        reset, keep = gates[:, :, :h], gates[:, :, h:]
+        reset, keep = gates[:, :h], gates[:, h:]
         to_new = (1 - keep) * (1 - new * new)
         to_reset = un * reset * (1 - reset)
         to_keep = (before - new) * keep * (1 - keep)
-        d_in = np.empty((steps, lanes, 3 * h), dtype=np.float32)
-        du = np.empty_like(d_in)
-        d = np.zeros((lanes, h), dtype=np.float32)
+        d_in = np.empty((steps, lanes, 3 * h), kind)
+        du = np.empty((3 * h, lanes), kind)
+        grads["recur"] = np.zeros_like(self.w["recur"])
+        d = np.zeros((h, lanes), kind)
         for t in reversed(range(steps)):
-            d = d + back[t]
-            g = d_in[t]
-            d_new = np.multiply(d, to_new[t], out=g[:, 2 * h :])
-            np.multiply(d_new, to_reset[t], out=g[:, :h])
-            np.multiply(d, to_keep[t], out=g[:, h : 2 * h])
-            du[t, :, : 2 * h] = g[:, : 2 * h]
-            np.multiply(d_new, reset[t], out=du[t, :, 2 * h :])
-            d = (d * keep[t] + du[t] @ u_t) * goes_on[t]
-        grads["recur"] = before.reshape(-1, h).T @ du.reshape(-1, 3 * h)
-        words = read.T.ravel()
-        order = np.argsort(words, kind="stable")
+            d = d + back[:, t]
+            np.multiply(d, to_new[t], out=du[2 * h :])
+            np.multiply(d, to_keep[t], out=du[h : 2 * h])
+            np.multiply(du[2 * h :], to_reset[t], out=du[:h])
+            d_in[t] = du.T
+            du[2 * h :] *= reset[t]
+            grads["recur"] += before[t] @ du.T
+            d *= keep[t]
+            d += self.w["recur"] @ du
+            d *= goes_on[t]
+        words = words.ravel()
+        order = np.argsort(words.astype(np.int16) if self.layout.inputs < 1 << 15 else words, kind="stable")
         first = np.flatnonzero(np.diff(words[order], prepend=-1))
         grads["input"] = (words[order][first], np.add.reduceat(d_in.reshape(-1, 3 * h)[order], first, axis=0))
-        return logp, state, grads
+        return logp, state.T, grads
 
 
 def lanes_of(documents: list[np.ndarray], lanes: int, start: int):
@@ -469,36 +526,42 @@ def _read(docs: DataFrame, layout: Layout) -> DataFrame:
         k = number - n_head
         model_of = np.where(k < 0, 0.0, np.log10((n + 0.5) / inside[np.maximum(k, 0)]))
         end = place[END.encode()]
+        words_of_counts = pa.array([w.decode("utf-8") for w in counts], pa.string())
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
-        for rows in python_rows(batches):
-            columns, offsets = [], [0]
-            words_left, classes_left, counts_left = [], [], []
-            for i, held, text in rows:
-                words = tokens_of(text)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
-                numbers = np.zeros(len(words) + 1, np.int32)
-                numbers[:-1] = number[at]
-                lost = np.flatnonzero(at < 0)
-                if len(lost):
-                    rest: Counter = Counter()
-                    for j in lost.tolist():
-                        word = words[j]
-                        numbers[j] = layout.by_ending(word)
-                        rest[word] += 1
-                    at = at[at >= 0]
-                    words_left += [w.decode("utf-8") for w in rest]
-                    classes_left += [layout.by_ending(w) - n_head for w in rest]
-                    counts_left += rest.values()
-                offsets.append(len(words_left))
-                base, model = base_of[at].sum() + base_of[end], model_of[at].sum()
-                columns.append((row, i, held, len(words) + 1, len(at) + known_end, float(base), float(model), numbers.tobytes()))
-                row += 1
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            arrays = [pa.array(c, t) for c, t in zip(zip(*columns, strict=True), types, strict=True)]
-            rest = pa.StructArray.from_arrays(
-                [pa.array(words_left, pa.string()), pa.array(classes_left, pa.int32()), pa.array(counts_left, pa.int32())], names=["word", "class", "n"]
+        for piece in _pieces(batches, 2):
+            words, sizes = words_of(piece.column(2))
+            # Every text's words and its end, one text after the other.
+            ends = np.cumsum(sizes + 1) - 1
+            starts = ends - sizes
+            is_word = np.ones(int(ends[-1]) + 1, bool)
+            is_word[ends] = False
+            at = np.full(len(is_word), end, np.int32)
+            at[is_word] = pc.index_in(words, value_set=words_of_counts).fill_null(-1).to_numpy()
+            lost = np.flatnonzero(at < 0)
+            numbers = number[at].astype(np.int32)
+            base, model = base_of[at], model_of[at]
+            base[lost], model[lost] = 0, 0
+            rest = words.take(pa.array(lost - np.searchsorted(ends, lost))).dictionary_encode()
+            distinct, code = rest.dictionary, rest.indices.to_numpy()
+            by_ending = layout.by_endings(distinct)
+            numbers[lost] = by_ending[code]
+            # Lost words once per text, with their number.
+            owner = np.searchsorted(ends, lost)
+            pairs, times = np.unique(owner * max(len(distinct), 1) + code, return_counts=True)
+            owner, code = np.divmod(pairs, max(len(distinct), 1))
+            offsets = np.searchsorted(owner, np.arange(piece.num_rows + 1)).astype(np.int32)
+            listed = pa.StructArray.from_arrays(
+                [distinct.take(pa.array(code)), pa.array((by_ending[code] - n_head).astype(np.int32)), pa.array(times.astype(np.int32))], names=["word", "class", "n"]
             )
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest))
+            known = sizes + known_end - np.bincount(np.searchsorted(ends, lost), minlength=piece.num_rows)
+            bytes_at = np.append(0, 4 * (ends + 1)).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer(bytes_at), pa.py_buffer(numbers)])
+            arrays = [
+                pa.array(np.arange(row, row + piece.num_rows)), piece.column(0), piece.column(1), pa.array(sizes + 1), pa.array(known),
+                pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model, starts)), binary,
+                pa.ListArray.from_arrays(pa.array(offsets), listed),
+            ]
+            row += piece.num_rows
             yield pa.record_batch(arrays, names=["row", "id", "held_out", "n_tokens", "known", "base", "model", "numbers", "rest"])
 
     return docs.select("id", "held_out", "text").mapInArrow(run, READ)

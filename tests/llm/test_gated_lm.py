@@ -1,9 +1,11 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import gated_lm as G
@@ -145,3 +147,81 @@ def test_fine_partitions_do_not_lower_the_score(spark, monkeypatch):
     whole, fine = (mean(G.scored(d).where("held_out").collect()) for d in (docs.coalesce(1), docs.repartition(64)))
     print("held-out score per token:", whole, fine)
     assert fine > whole - 0.01
+
+
+class Tasks:
+    """Stands for a table; keeps the function that a task runs."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, column):
+        return self
+
+    def agg(self, column):
+        return self
+
+
+ODD = ["The cat", None, "", " ", "\x0b\x0c\x1c\x1f\x00 b\x85c\u2028d \u00a0", "\tQ\r\n", "ÉÀ ǅ É", "a " * 50, "x"]
+
+
+def test_words_of_odd_texts():
+    texts = ["cut off", *ODD * 3, None]
+    words, sizes = G.words_of(pa.array(texts, pa.string()).slice(1))
+    want = [tokens(t)[:-1] for t in texts[1:]]
+    assert words.to_pylist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    words, sizes = G.words_of(pa.array([None, " "], pa.string()))
+    assert words.to_pylist() == [] and sizes.tolist() == [0, 0]
+
+
+def test_read_and_counts_whatever_the_batches(spark, layout, monkeypatch):
+    v, _ = layout
+    texts = [*ODD, "w3 W3 newing newing xyzzy w299 xyzzy r1", *ODD, "w299 " * 40 + "newing"]
+    rows = pa.table({"id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": pa.array(texts)})
+
+    def run(size):
+        task, counted = Tasks(), Tasks()
+        G._read(task, v), G.count_words(counted)
+        read = [r for b in task.run(rows.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        counts = Counter()
+        for b in counted.run(rows.select(["text"]).to_batches(max_chunksize=size)):
+            for r in b.to_pylist():
+                counts[r["word"]] += r["n"]
+        return read, counts
+
+    for size, piece in ((len(texts), 1 << 22), (3, 1 << 22), (3, 20), (len(texts), 1)):
+        monkeypatch.setattr(G, "PIECE", piece)
+        read, counts = run(size)
+        assert [r["id"] for r in read] == [r["row"] for r in read] == list(range(len(texts)))
+        assert counts == Counter(w for t in texts for w in tokens(t))
+        for r, t in zip(read, texts, strict=True):
+            ws = tokens(t)
+            known = [w for w in ws if w.encode() in v.counts]
+            lost = Counter(w for w in ws if w.encode() not in v.counts)
+            assert np.frombuffer(r["numbers"], np.int32).tolist() == [v.number.get(w.encode(), v.by_ending(w.encode())) for w in ws[:-1]] + [0]
+            assert (r["n_tokens"], r["known"]) == (len(ws), len(known))
+            assert r["base"] == pytest.approx(sum(v.base(np.array([v.counts[w.encode()]]))[0] for w in known))
+            assert sorted((x["word"], x["class"], x["n"]) for x in r["rest"]) == sorted((w, v.by_ending(w.encode()) - len(v.head), n) for w, n in lost.items())
+
+
+def test_reading_costs_less_than_words_as_python_objects(spark, layout):
+    v, _ = layout
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toPandas()["text"].tolist() * 4
+    rows = pa.table({"id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": pa.array(texts)})
+
+    def seconds(work):
+        taken = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    task = Tasks()
+    G._read(task, v)
+    plain = seconds(lambda: [Counter((t or "").encode().lower().split()) for t in texts])
+    assert seconds(lambda: list(task.run(rows.to_batches()))) < 2 * plain
